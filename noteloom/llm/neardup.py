@@ -140,7 +140,8 @@ def components(edges: DataFrame) -> DataFrame:
 def inverted_lists(classes: DataFrame) -> DataFrame:
     """value, class, weight (how common the class's values are): each class under its rarest values, where it is not alone."""
     pairs = classes.select("class", F.explode("sketch").alias("value"))
-    shared = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # written, so that both sides of the join are shuffled for it, and Spark can split a value that many classes have
+    shared = materialize(pairs.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     listed = pairs.join(shared, "value").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.sum(F.log2("df")).alias("weight"))
     sizes = classes.select("class", F.size("sketch").alias("size"), need(F.col("n_shingles")).alias("need"))
     room = F.size("found") - F.col("need") + 1  # values with no other class come first among the rarest
@@ -159,7 +160,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     sets = materialize(full_sets(documents, wanted, width), "sets")
     free_shuffles(spark)
 
-    led = lists.groupBy("value").agg(F.max(F.struct("weight", "class")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", F.col("top.class").alias("leader"))
+    led = materialize(lists.groupBy("value").agg(F.max(F.struct("weight", "class")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", F.col("top.class").alias("leader")), "leaders")
     members = materialize(lists.join(led, "value").select("value", "class", "leader"), "members")
     stars = members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     judged = materialize(compared(stars, classes, sets, FAR_FLOOR), "stars")
