@@ -2,7 +2,7 @@
 
 Each stage works on all that the one before kept: its result is written as Parquet in the folder that driver and
 executors share and read again. Documents keep their columns until the last stage; n_chars follows the text.
-Null ids are kept by the near-duplicate stage. Empty tables pass through.
+Documents without an id count as those with the largest. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id; of equal rows one."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    chosen = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    return chosen.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
+    # a document without an id gets one from its text, above all others
+    known = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))))
+    kept = neardup.near_duplicates(known.select(F.col("_id").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    same = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
+    return known.join(kept, "_id", "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

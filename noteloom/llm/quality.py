@@ -168,9 +168,12 @@ def filter_documents(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The documents that are kept, with their own columns. Measures are computed twice (to fit, to filter), so that no text is written or shuffled."""
     _, model = judge(documents.select("text"), rounds)
     names = [F.col(f"`{n}`") for n in documents.columns]
+    p = "q_"
+    while any(n.lower().startswith(p) for n in documents.columns):
+        p += "_"
     # the row number keeps Catalyst from moving the filter below the measures, where each would be computed many times over
-    voted = with_features(documents).select(*names, F.monotonically_increasing_id().alias("q_row"), base_failed().alias("q_base_failed"), *(v.alias(f"q_v_{r}") for r, v in votes().items()))
-    return voted.where((F.col("q_row") >= 0) & ~F.col("q_base_failed") & (posterior(model) >= 0.5)).select(*names)
+    voted = with_features(documents, p).select(*names, F.monotonically_increasing_id().alias(f"{p}row"), base_failed(p).alias(f"{p}base_failed"), *(v.alias(f"{p}v_{r}") for r, v in votes(p).items()))
+    return voted.where((F.col(f"{p}row") >= 0) & ~F.col(f"{p}base_failed") & (posterior(model, f"{p}v_") >= 0.5)).select(*names)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
