@@ -7,9 +7,13 @@
 3. Each list's most central class (the one whose values are the commonest) is its leader; all members are compared
    with it: the union's sketch estimates the similarity, full sets then decide. Pairs within a list of n copies are
    thus n, not n squared.
-4. Members that fall outside their leader's component are compared with the other members of the list, except those
-   that the triangle inequality of the Jaccard distance rules out (linked to a leader from which the member is
-   further than 0.4). So no link is lost between components, whatever the size of the list.
+4. Lists that still span several components are looked through again. Where few members are outside
+   the main component they are compared with all. Else all members are compared with its smallest set L. Let x and y be linked members of different components: one of
+   them is not linked to L, so it shares too few values with L, and since y is not smaller than L, x and y must share
+   values that L lacks: at least 4/9 (|x| + |y|) less what either shares with L. Members are therefore listed anew under
+   (L, value) for the rarest of their values outside L, by the same prefix rule, and the lists so made are looked
+   through in the same way. Each such list lacks L, so this ends. No link between components is lost, whatever the
+   size of a list, and no list of n members is turned into n squared pairs.
 5. Components: minimum labels with pointer jumping.
 
 Words are runs of bytes other than space and 0x09-0x0D, A-Z as a-z. Fewer words than a shingle: the whole sequence
@@ -33,8 +37,10 @@ from .words import U64, hash_words, mix
 
 K = 64
 WIDTH, PERCENT = 5, 80
-#: Estimates under these are taken as below 0.8, and as below 0.6: over 4.9 standard deviations of a sketch's estimate.
-LINK_FLOOR, FAR_FLOOR = 0.5, 0.3
+#: Estimates under this are taken as below 0.8: over 5.9 standard deviations of a sketch's estimate.
+LINK_FLOOR = 0.5
+#: In lists with no more members than this outside their main component, these are compared with all; it steers cost only, not results.
+SHORT_LIST = 16
 FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -100,10 +106,10 @@ def estimate(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
 
 
-def compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
-    """pairs (a, b): those with an estimate of floor or more, with common and joint (sizes of intersection and union)."""
+def compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b): those with an estimate of LINK_FLOOR or more, with common and joint (sizes of intersection and union)."""
     side = lambda x: classes.select(F.col("class").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= floor).select("a", "b")
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= LINK_FLOOR).select("a", "b")
     whole = lambda x: sets.select(F.col("class").alias(x), F.col("members").alias(f"set_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,6 +143,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links (a, b)."""
+    name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    ends = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    ends = materialize(ends.where("a <> b").distinct(), "ends")
+    if ends.isEmpty():
+        return labels
+    over = components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    moved = labels.join(over, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
+    # labels that are nodes themselves, without links until now
+    return materialize(moved.union(over.select(F.col("label").alias("node"), F.col("to").alias("label"))).distinct(), "labels")
+
+
 def inverted_lists(classes: DataFrame) -> DataFrame:
     """value, class, weight (how common the class's values are): each class under its rarest values, where it is not alone."""
     pairs = classes.select("class", F.explode("sketch").alias("value"))
@@ -148,6 +167,61 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     return listed.join(sizes, "class").where(room > 0).select("class", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("f")).select(F.col("f.value").alias("value"), "class", "weight")
 
 
+def beside(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """stars (leader, class, ...): also size and leader_size of the two sets, common, and extras: class's values that leader lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = [], batch.select(["leader", "class", "weight"])
+            for x, y in zip(batch.column("led"), batch.column("own"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                extra = y[x[at] != y]
+                rows.append((len(x), len(y), len(y) - len(extra), extra.astype(np.int64)))
+            sizes = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(r[3]) for r in rows]))), pa.int32())
+            extras = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[3] for r in rows] or [np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *sizes, extras], names=[*kept.schema.names, "leader_size", "size", "common", "extras"])
+
+    pairs = stars.join(sets.select(F.col("class").alias("leader"), F.col("members").alias("led")), "leader").join(sets.select("class", F.col("members").alias("own")), "class")
+    return pairs.select("leader", "class", "weight", "led", "own").mapInArrow(run, "leader long, class long, weight double, leader_size long, size long, common long, extras array<long>")
+
+
+def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """lists (key, class, weight): node, label, the components by edges and by all links between lists' members."""
+    share = PERCENT / (100 + PERCENT)
+    linked = 100 * F.col("common") >= PERCENT * (F.col("size") + F.col("leader_size") - F.col("common"))
+    sizes = classes.select("class", F.col("n_shingles").alias("n"))
+    labels, near = components(edges), None
+    while True:
+        told = lists.join(sizes, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        told = materialize(told, "told")
+        parts = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("n", (-F.col("weight")).alias("w"), "class")).alias("least"))
+        spans = parts.groupBy("key").agg(F.sum("members").alias("members"), F.max(F.struct("members", "label")).alias("main"), F.min("least").getField("class").alias("leader"))
+        spans = materialize(spans.where("members > main.members").select("key", "leader", F.col("main.label").alias("main"), (F.col("members") - F.col("main.members")).alias("others")), "spans")
+        # each member outside the list's main component with all members: at most SHORT_LIST pairs a member
+        short = told.join(spans.where(F.col("others") <= SHORT_LIST), "key")
+        one, two = (short.select("key", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"), "main") for x in "ab")
+        fits = (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+        pairs = one.where("label_a <> main").drop("main").join(two.drop("main"), "key").where(fits)
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+        near = pairs if near is None else near.union(pairs)
+        long = spans.where(F.col("others") > SHORT_LIST)
+        if long.isEmpty():
+            break
+        stars = told.join(long, "key").where("class <> leader").select("leader", "class", "weight").distinct()
+        seen = materialize(beside(stars, sets), "beside")
+        labels = joined(labels, seen.where(linked).select(F.col("leader").alias("a"), F.col("class").alias("b")))
+        held = seen.select("leader", "class", "weight", F.greatest(F.lit(1), F.ceil((F.col("size") + F.col("leader_size")) * share - 1e-6) - F.col("common")).cast("int").alias("need"), F.explode("extras").alias("value"))
+        shared = materialize(held.groupBy("leader", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+        found = held.join(shared, ["leader", "value"]).groupBy("leader", "class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.first("weight").alias("weight"), F.first("need").alias("need"))
+        room = F.size("found") - F.col("need") + 1
+        listed = found.where(room > 0).select("leader", "class", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("f"))
+        lists = materialize(listed.select(F.xxhash64("leader", "f.value").alias("key"), "class", "weight"), "lists")
+    rest = compared(near.distinct(), classes, sets).where(100 * F.col("common") >= PERCENT * F.col("joint"))
+    return joined(labels, materialize(rest.select("a", "b"), "rest"))
+
+
 def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """documents (doc_id, text): doc_id, n_shingles, component_id, kept, in one row for each of documents."""
     spark = documents.sparkSession
@@ -163,25 +237,8 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     led = materialize(lists.groupBy("value").agg(F.max(F.struct("weight", "class")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", F.col("top.class").alias("leader")), "leaders")
     members = materialize(lists.join(led, "value").select("value", "class", "leader"), "members")
     stars = members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    judged = materialize(compared(stars, classes, sets, FAR_FLOOR), "stars")
-    linked = 100 * F.col("common") >= PERCENT * F.col("joint")
-    edges = judged.where(linked)
-    labels = components(edges)
-
-    # members outside their leader's component, and how they stand to it
-    label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
-    known = members.join(label("class"), "class", "left").join(label("leader"), "leader", "left")
-    known = known.withColumns({"class_label": F.coalesce("class_label", "class"), "leader_label": F.coalesce("leader_label", "leader")})
-    stands = judged.select(F.col("a").alias("leader"), F.col("b").alias("class"), linked.alias("direct"), (10 * F.col("common") >= 6 * F.col("joint")).alias("close"))
-    known = materialize(known.join(stands, ["leader", "class"], "left").select("value", "class", "class_label", "leader_label", F.coalesce("direct", F.col("class") == F.col("leader")).alias("direct"), F.coalesce("close", F.col("class") == F.col("leader")).alias("close")), "known")
-    outside = known.where("class_label <> leader_label").select("value", F.col("class").alias("a"), F.col("class_label").alias("a_label"), "close")
-    inside = known.join(outside.select("value").distinct(), "value", "left_semi").select("value", F.col("class").alias("b"), F.col("class_label").alias("b_label"), "direct")
-    differ = F.col("a_label") != F.col("b_label")
-    pairs = outside.where("close").join(inside.where("direct"), "value").where(differ).union(outside.join(inside.where("not direct"), "value").where(differ))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(compared(pairs.join(judged, ["a", "b"], "left_anti"), classes, sets, LINK_FLOOR).where(linked), "rest")
-    if not rest.isEmpty():
-        labels = components(edges.select("a", "b").union(rest.select("a", "b")))
+    edges = materialize(compared(stars, classes, sets).where(100 * F.col("common") >= PERCENT * F.col("joint")).select("a", "b"), "stars")
+    labels = across(lists.withColumnRenamed("value", "key"), classes, sets, edges)
 
     # classes that share a document are one component too
     placed = rows.where("n_shingles > 0").select("doc_id", "class").join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("doc_id", "class", F.coalesce("label", "class").alias("label"))
