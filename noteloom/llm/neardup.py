@@ -40,7 +40,7 @@ WIDTH, PERCENT = 5, 80
 #: Estimates under this are taken as below 0.8: over 5.9 standard deviations of a sketch's estimate.
 LINK_FLOOR = 0.5
 #: In lists with no more members than this outside their main component, these are compared with all; it steers cost only, not results.
-SHORT_LIST = 16
+SHORT_LIST = 64
 FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
