@@ -192,7 +192,8 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
     share = PERCENT / (100 + PERCENT)
     linked = 100 * F.col("common") >= PERCENT * (F.col("size") + F.col("leader_size") - F.col("common"))
     sizes = classes.select("class", F.col("n_shingles").alias("n"))
-    labels, near = components(edges), None
+    # links found on the way join the components at the end: members linked to one leader need no link of their own
+    labels, near, links = components(edges), None, edges.select("a", "b")
     while True:
         told = lists.join(sizes, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         told = materialize(told, "told")
@@ -211,7 +212,7 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
             break
         stars = told.join(long, "key").where("class <> leader").select("leader", "class", "weight").distinct()
         seen = materialize(beside(stars, sets), "beside")
-        labels = joined(labels, seen.where(linked).select(F.col("leader").alias("a"), F.col("class").alias("b")))
+        links = links.union(seen.where(linked).select(F.col("leader").alias("a"), F.col("class").alias("b")))
         held = seen.select("leader", "class", "weight", F.greatest(F.lit(1), F.ceil((F.col("size") + F.col("leader_size")) * share - 1e-6) - F.col("common")).cast("int").alias("need"), F.explode("extras").alias("value"))
         shared = materialize(held.groupBy("leader", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
         found = held.join(shared, ["leader", "value"]).groupBy("leader", "class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.first("weight").alias("weight"), F.first("need").alias("need"))
@@ -219,7 +220,7 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
         listed = found.where(room > 0).select("leader", "class", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("f"))
         lists = materialize(listed.select(F.xxhash64("leader", "f.value").alias("key"), "class", "weight"), "lists")
     rest = compared(near.distinct(), classes, sets).where(100 * F.col("common") >= PERCENT * F.col("joint"))
-    return joined(labels, materialize(rest.select("a", "b"), "rest"))
+    return joined(labels, links.union(rest.select("a", "b")))
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -160,3 +160,29 @@ def test_pipeline(spark, docs, none, tmp_path):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/0").collect()}
     assert 4 in kept and not kept & {0, 1, 2, 3, 6, 11}
     assert corpus_pipeline.run(spark, f"{tmp_path}/1").count() == 0
+
+
+def test_near_duplicates_of_an_edited_family_against_brute_force(spark, monkeypatch):
+    """Copies of one text with edits, near 0.8 to each other: long lists that span components, looked through in rounds."""
+    monkeypatch.setattr(neardup, "SHORT_LIST", 2)
+    r = random.Random(11)
+    base = [f"w{r.randrange(500)}" for _ in range(150)]
+    family = []
+    for _ in range(90):
+        words = list(base)
+        for _ in range(r.choice([0, 2, 3, 4, 5, 6])):
+            at = r.randrange(150)
+            words[at] = f"{words[at]}x{r.randrange(2)}"
+        family.append(" ".join(words))
+    family = family[:40] + [" ".join(t.split()[:130]) for t in family[40:60]] + family[60:]
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) for w in (t.split() for t in family)]
+    least = list(range(len(family)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    assert len(set(least)) > 3
+    docs = spark.createDataFrame(list(enumerate(family)), "doc_id long, text string")
+    found = {row.doc_id: row.component_id for row in neardup.near_duplicates(docs, 4).collect()}
+    assert found == dict(enumerate(least))
