@@ -8,7 +8,7 @@
    with it: the union's sketch estimates the similarity, full sets then decide. Pairs within a list of n copies are
    thus n, not n squared.
 4. Lists that still span several components are looked through again. Where few members are outside
-   the main component they are compared with all. Else all members are compared with its smallest set L. Let x and y be linked members of different components: one of
+   the main component (more in each round) they are compared with all. Else all members are compared with its smallest set L. Let x and y be linked members of different components: one of
    them is not linked to L, so it shares too few values with L, and since y is not smaller than L, x and y must share
    values that L lacks: at least 4/9 (|x| + |y|) less what either shares with L. Members are therefore listed anew under
    (L, value) for the rarest of their values outside L, by the same prefix rule, and the lists so made are looked
@@ -40,7 +40,8 @@ WIDTH, PERCENT = 5, 80
 #: Estimates under this are taken as below 0.8: over 5.9 standard deviations of a sketch's estimate.
 LINK_FLOOR = 0.5
 #: In lists with no more members than this outside their main component, these are compared with all; it steers cost only, not results.
-SHORT_LIST = 64
+#: Each round allows GROWTH times as many: lists get smaller and fewer with each round, and the last ones would take many rounds of little work.
+SHORT_LIST, GROWTH = 64, 2
 FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -193,21 +194,22 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
     linked = 100 * F.col("common") >= PERCENT * (F.col("size") + F.col("leader_size") - F.col("common"))
     sizes = classes.select("class", F.col("n_shingles").alias("n"))
     # links found on the way join the components at the end: members linked to one leader need no link of their own
-    labels, near, links = components(edges), None, edges.select("a", "b")
+    labels, near, links, limit = components(edges), None, edges.select("a", "b"), SHORT_LIST
     while True:
         told = lists.join(sizes, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         told = materialize(told, "told")
         parts = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("n", (-F.col("weight")).alias("w"), "class")).alias("least"))
         spans = parts.groupBy("key").agg(F.sum("members").alias("members"), F.max(F.struct("members", "label")).alias("main"), F.min("least").getField("class").alias("leader"))
         spans = materialize(spans.where("members > main.members").select("key", "leader", F.col("main.label").alias("main"), (F.col("members") - F.col("main.members")).alias("others")), "spans")
-        # each member outside the list's main component with all members: at most SHORT_LIST pairs a member
-        short = told.join(spans.where(F.col("others") <= SHORT_LIST), "key")
+        # each member outside the list's main component with all members: at most `limit` pairs a member
+        short = told.join(spans.where(F.col("others") <= limit), "key")
         one, two = (short.select("key", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"), "main") for x in "ab")
         fits = (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
         pairs = one.where("label_a <> main").drop("main").join(two.drop("main"), "key").where(fits)
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
         near = pairs if near is None else near.union(pairs)
-        long = spans.where(F.col("others") > SHORT_LIST)
+        long = spans.where(F.col("others") > limit)
+        limit *= GROWTH
         if long.isEmpty():
             break
         stars = told.join(long, "key").where("class <> leader").select("leader", "class", "weight").distinct()
