@@ -8,7 +8,8 @@
    with it: the union's sketch estimates the similarity, full sets then decide. Pairs within a list of n copies are
    thus n, not n squared.
 4. Lists that still span several components are looked through again. Where few members are outside
-   the main component (more in each round) they are compared with all. Else all members are compared with its smallest set L. Let x and y be linked members of different components: one of
+   the main component (more in each round) they are compared with all,
+   first by odd sketches, which bound from below by how many values two sets differ and so lose no link. Else all members are compared with its smallest set L. Let x and y be linked members of different components: one of
    them is not linked to L, so it shares too few values with L, and since y is not smaller than L, x and y must share
    values that L lacks: at least 4/9 (|x| + |y|) less what either shares with L. Members are therefore listed anew under
    (L, value) for the rarest of their values outside L, by the same prefix rule, and the lists so made are looked
@@ -42,6 +43,8 @@ LINK_FLOOR = 0.5
 #: In lists with no more members than this outside their main component, these are compared with all; it steers cost only, not results.
 #: Each round allows GROWTH times as many: lists get smaller and fewer with each round, and the last ones would take many rounds of little work.
 SHORT_LIST, GROWTH = 64, 2
+#: Bits of an odd sketch; they steer cost only.
+ODD_BITS = 512
 FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -68,24 +71,41 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """For each of ODD_BITS buckets, whether an odd number of the set's values fall into it.
+
+    Where the bits of two sets differ, one of them has a value that the other lacks; so two sets differ by no fewer
+    values than by bits, whatever they have in common.
+    """
+    counts = np.bincount((values & U64(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
+def may_link(n: Column, odd_a: Column, odd_b: Column) -> Column:
+    """False where sets of n values in all differ by too many bits to be linked."""
+    bits = sum((F.bit_count(odd_a[k].bitwiseXOR(odd_b[k])) for k in range(ODD_BITS // 64)), F.lit(0))
+    return (100 + PERCENT) * bits <= (100 - PERCENT) * n
+
+
 def need(n: Column) -> Column:
     """How many sketch values a set of n shingles shares with any set that is 80 % similar."""
     return F.when(n <= 51, F.ceil(n * PERCENT / 100)).otherwise(F.lit(K // 2)).cast("int")
 
 
 def sketches(documents: DataFrame, width: int) -> DataFrame:
-    """documents (doc_id, text): doc_id, text_hash, n_shingles, class (of the whole set), sketch."""
+    """documents (doc_id, text): doc_id, text_hash, n_shingles, class (of the whole set), sketch, odd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_blocks(batches):
             sets = shingle_sets(texts, width)
             sketch = [s[:K].astype(np.int64) for s in sets]
             classes = [int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+            odd = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([odd_sketch(s) for s in sets])), ODD_BITS // 64).cast(pa.list_(pa.int64()))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sketch])))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sketch)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), lists], names=["doc_id", "text_hash", "n_shingles", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), lists, odd], names=["doc_id", "text_hash", "n_shingles", "class", "sketch", "odd"])
 
-    return documents.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class long, sketch array<long>")
+    return documents.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class long, sketch array<long>, odd array<long>")
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -192,7 +212,7 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
     """lists (key, class, weight): node, label, the components by edges and by all links between lists' members."""
     share = PERCENT / (100 + PERCENT)
     linked = 100 * F.col("common") >= PERCENT * (F.col("size") + F.col("leader_size") - F.col("common"))
-    sizes = classes.select("class", F.col("n_shingles").alias("n"))
+    sizes = classes.select("class", F.col("n_shingles").alias("n"), "odd")
     # links found on the way join the components at the end: members linked to one leader need no link of their own
     labels, near, links, limit = components(edges), None, edges.select("a", "b"), SHORT_LIST
     while True:
@@ -203,8 +223,8 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
         spans = materialize(spans.where("members > main.members").select("key", "leader", F.col("main.label").alias("main"), (F.col("members") - F.col("main.members")).alias("others")), "spans")
         # each member outside the list's main component with all members: at most `limit` pairs a member
         short = told.join(spans.where(F.col("others") <= limit), "key")
-        one, two = (short.select("key", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"), "main") for x in "ab")
-        fits = (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+        one, two = (short.select("key", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"), F.col("odd").alias(f"odd_{x}"), "main") for x in "ab")
+        fits = (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & may_link(F.col("n_a") + F.col("n_b"), F.col("odd_a"), F.col("odd_b"))
         pairs = one.where("label_a <> main").drop("main").join(two.drop("main"), "key").where(fits)
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
         near = pairs if near is None else near.union(pairs)
@@ -230,7 +250,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = documents.sparkSession
     documents = only(documents, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     rows = materialize(sketches(documents, width), "sketches")
-    classes = materialize(rows.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    classes = materialize(rows.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd")), "classes")
     lists = materialize(inverted_lists(classes), "lists")
     free_shuffles(spark)
     wanted = classes.join(lists.select("class").distinct(), "class", "left_semi").select("class", "one.doc_id", "one.text_hash")
