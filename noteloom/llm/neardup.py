@@ -2,7 +2,7 @@
 
 1. Documents with equal shingle sets form a class; only classes go on.
 2. A class's sketch is its K least shingle hashes. Two sets with Jaccard similarity 0.8 or more share at least
-   need(n) values of their sketches (surely for sets up to 51, else with a chance of loss under 1e-8 at exactly 0.8),
+   need(n) values of their sketches (surely for sets up to 51, else with a chance of loss under 2e-8 at exactly 0.8: that of fewer than 32 in 64 draws),
    so it is enough to list a class under its size(sketch) - need(n) + 1 rarest values: the inverted lists.
 3. Each list's most central class (the one whose values are the commonest) is its leader; all members are compared
    with it: the union's sketch estimates the similarity, full sets then decide. Pairs within a list of n copies are
@@ -40,6 +40,8 @@ K = 64
 WIDTH, PERCENT = 5, 80
 #: Estimates under this are taken as below 0.8: over 5.9 standard deviations of a sketch's estimate.
 LINK_FLOOR = 0.5
+#: Sketch values have this bit flipped: as signed longs, in which Spark sorts, they are then in the order of the hashes.
+SIGN = U64(1 << 63)
 #: In lists with no more members than this outside their main component, these are compared with all; it steers cost only, not results.
 #: Each round allows GROWTH times as many: lists get smaller and fewer with each round, and the last ones would take many rounds of little work.
 SHORT_LIST, GROWTH = 64, 2
@@ -98,7 +100,7 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_blocks(batches):
             sets = shingle_sets(texts, width)
-            sketch = [s[:K].astype(np.int64) for s in sets]
+            sketch = [(s[:K] ^ SIGN).view(np.int64) for s in sets]
             classes = [int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
             odd = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([odd_sketch(s) for s in sets])), ODD_BITS // 64).cast(pa.list_(pa.int64()))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sketch])))

@@ -67,6 +67,18 @@ def test_neardup(docs, none):
     assert len(rows) == 15 and found[6] == found[5] == found[7] == 5 and found[0] == 0 and found[8] == 8
 
 
+def test_neardup_contained(spark):
+    """One set inside the other at exactly 0.8: sketches reach far up into the hashes, beyond the signed longs."""
+    r, rows = random.Random(11), []
+    for n in range(70, 155, 5):
+        for _ in range(12):
+            words = [f"w{r.getrandbits(60):x}" for _ in range(n + 4)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: n * 4 // 5 + 4]))]
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i][0] * 4 == found[i + 1][0] * 5 for i in range(0, len(rows), 2))
+    assert [i for i in range(0, len(rows), 2) if not found[i][1] == found[i + 1][1] == i] == []
+
+
 def test_quality(docs, none):
     assert quality.judge(none.select("doc_id", "text"))[0].count() == 0 and quality.filter_documents(none).count() == 0
     kept = quality.filter_documents(docs)
