@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and guess costs of values in a credential context.
 
 Spans are code points, end exclusive. Base kinds: assign, access, hex. The method adds kind guess: the value of a
-credential-like name is segmented into words, dates, repeats, keyboard walks and brute-force characters so that the
+credential-like name is segmented into words (of the tokenizers' vocabularies), dates, repeats, keyboard walks and brute-force characters so that the
 logarithm of the guesses is least; values that still take 10 ** GUESS_LIMIT guesses or more are reported.
 Null and empty texts have no spans; texts are scanned whole, the cost is linear in a value's length. Repeated rows
 and ids are scanned each. An empty table gives an empty result.
@@ -9,23 +9,32 @@ and ids are scanned each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import only, table, text_blocks
+from .tokens import vocabulary_path
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # runs end where [0-9a-f]+ ends: the same spans as [0-9a-f]+ of 24 or more
-CONTEXT = re.compile(r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|auth)[_-]?(?:key|secret|token)|credentials?|auth(?:orization)?|bearer|login)["']?[\x20\t]*[:=][\x20\t]*["']?([!-&(-~]{6,})""")
+#: Names of credentials. Those that end ordinary words too (compass, Reisepass) start a word or a camelCase hump; the others may
+#: follow letters (dbpassword). A scheme before the value is no part of it.
+CONTEXT = re.compile(
+    r"""(?:(?ai:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|client|auth)[_-]?(?:key|secret|token)|credentials?|authorization)"""
+    r"""|(?:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z]))(?ai:pass|auth|bearer|login))["']?[\x20\t]*[:=][\x20\t]*["']?(?ai:(?:bearer|basic|token)[\x20\t]+)?([!-&(-~À-ÖØ-öø-ɏ]{6,})"""
+)
 GUESS_LIMIT = 10.0
-#: Common words of passwords and placeholders, commonest first.
+#: Common words of passwords and placeholders, commonest first; those of the vocabularies follow.
 WORDS = """password secret token admin user login test example changeme default root guest welcome letmein master access
 dragon monkey shadow sunshine princess football baseball superman batman iloveyou trustno hello freedom whatever
 ninja mustang michael jordan hunter killer soccer hockey george charlie andrew thomas robert daniel jessica ashley
@@ -35,10 +44,32 @@ redacted masked hidden undefined empty""".split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("013457$@", "oleastsa")
 DATE = re.compile(r"(?:19|20)\d{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d{2}|(?:19|20)\d{2}")
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
 NEXT = {row[i : i + 2] for line in ROWS for row in (line, line[::-1]) for i in range(len(line) - 1)}
 SEGMENT = math.log10(2)
+#: Vocabularies in order of merges, so the commoner the earlier: English words, and words of many languages.
+VOCABULARIES = ("word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken")
+
+
+def vocabulary_words(name: str) -> list[str]:
+    """The tokens that are four letters or more, in their order."""
+    with open(vocabulary_path(name), encoding="utf-8") as f:
+        if name.endswith(".json"):
+            ids = json.load(f)["model"]["vocab"]
+            tokens = [t.removesuffix("</w>") for t in sorted(ids, key=ids.get) if t.isascii()]  # others are bytes in disguise
+        else:
+            tokens = [base64.b64decode(line.split()[0]).decode("utf-8", "replace").strip(" ") for line in f if line.strip()]
+    return [t.lower() for t in tokens if len(t) >= 4 and t.isalpha()]
+
+
+@cache
+def ranks() -> tuple[dict[str, int], int]:
+    """Each word's rank, and the length of the longest."""
+    found = {w: i + 1 for i, w in enumerate(WORDS)}
+    for name in VOCABULARIES:
+        words = dict.fromkeys(w for w in vocabulary_words(name) if w not in WORDS)
+        for i, w in enumerate(words, len(WORDS) + 1):
+            found[w] = min(i, found.get(w, i))
+    return found, max(map(len, found))
 
 
 def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
@@ -78,9 +109,10 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         i = max(j - 1, i + 1)
     for m in DATE.finditer(value):
         spans[m.end()].append((m.start(), math.log10(365 * 120 * 4 if len(m[0]) > 4 else 120), "date"))
+    rank_of, longest = ranks()
     for end in range(4, n + 1):
-        for start in range(max(0, end - LONGEST), end - 3):
-            rank = RANK.get(plain[start:end])
+        for start in range(max(0, end - longest), end - 3):
+            rank = rank_of.get(plain[start:end])
             if rank:
                 raw = value[start:end]
                 changed = (2 if raw != low[start:end] else 1) * (2 if low[start:end] != plain[start:end] else 1)
@@ -111,10 +143,12 @@ def scan(text: str, guess_limit: float = GUESS_LIMIT) -> list[tuple[int, int, in
     spans = []
     if ":" in text or "=" in text:
         spans += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= 6]
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip("\",;)]}")
+        at = 0
+        while m := CONTEXT.search(text, at):
+            value, at = m[1].rstrip("\",;)]}"), m.start(1)
             if len(value) >= 6 and guess_cost(value)[0] >= guess_limit:
                 spans.append((m.start(1), m.start(1) + len(value), 3))
+                at = m.end()  # else the value may hold, or be, the name before a secret
     if "AKIA" in text:
         spans += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]

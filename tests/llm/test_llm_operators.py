@@ -93,6 +93,14 @@ def test_secrets(docs, none):
     assert secrets.guess_cost("password1234")[0] < 6 < secrets.guess_cost("x9$Kq2!vLp")[0]
 
 
+def test_secret_values():
+    guesses = lambda t: [t[a:b] for a, b, k in secrets.scan(t) if k == 3]
+    clean = ["Login: Register", "mountain pass: elevation", "compass: northwest", "Reisepass: x9$Kq2!vLp", "login: required", "Login: gesellschaft", "pass: montagne", "login: desarrollo", "Login: Straßenbahn", "login: nécessaire", "Auth: Bearer"]
+    assert [t for t in clean if guesses(t)] == []
+    for t in ["Authorization: Bearer {}", "authorization: basic {}", "Authorization: Token {}", "auth: token: {}", "dbpassword={}", "userPass: {}", "db_pass={}", "login: login: {}"]:
+        assert guesses(t.format("x9$Kq2!vLp")) == ["x9$Kq2!vLp"], t
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_tokens(path):
     library, ours, fast = Tokenizer.from_file(path), bpe.Bpe(path), TextEncoder(path)
