@@ -28,12 +28,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id; of equal rows one."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id; of rows equal in id and text one.
+
+    An id that several documents have links none of them: each stays unless its own text is a near-duplicate of a kept one.
+    """
     # a document without an id gets one from its text, above all others
-    known = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))))
-    kept = neardup.near_duplicates(known.select(F.col("_id").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    same = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
-    return known.join(kept, "_id", "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
+    known = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))), "_text": F.xxhash64("text")})
+    kept = neardup.representatives(known.select(F.col("_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
+    same = Window.partitionBy("_id", "_text").orderBy("text")
+    return known.join(kept, ["_id", "_text"], "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

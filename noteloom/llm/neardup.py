@@ -247,8 +247,8 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
     return joined(labels, links.union(rest.select("a", "b")))
 
 
-def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """documents (doc_id, text): doc_id, n_shingles, component_id, kept, in one row for each of documents."""
+def linked(documents: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """documents (doc_id, text): their sketches, a row each, and the classes' components by their links (node, label)."""
     spark = documents.sparkSession
     documents = only(documents, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     rows = materialize(sketches(documents, width), "sketches")
@@ -263,8 +263,23 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     members = materialize(lists.join(led, "value").select("value", "class", "leader"), "members")
     stars = members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     edges = materialize(compared(stars, classes, sets).where(100 * F.col("common") >= PERCENT * F.col("joint")).select("a", "b"), "stars")
-    labels = across(lists.withColumnRenamed("value", "key"), classes, sets, edges)
+    return rows, across(lists.withColumnRenamed("value", "key"), classes, sets, edges)
+
 
+def representatives(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """documents (doc_id, text): doc_id and text_hash of the row with the least of each group of linked texts, and of each row with an empty set.
+
+    Rows with equal doc_id are texts like any others here: only links put them into one group.
+    """
+    rows, labels = linked(documents, width)
+    placed = rows.where("n_shingles > 0").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    least = placed.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    return least.union(rows.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
+
+
+def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """documents (doc_id, text): doc_id, n_shingles, component_id, kept, in one row for each of documents."""
+    rows, labels = linked(documents, width)
     # classes that share a document are one component too
     placed = rows.where("n_shingles > 0").select("doc_id", "class").join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("doc_id", "class", F.coalesce("label", "class").alias("label"))
     repeated = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("a", "b")

@@ -79,6 +79,25 @@ def test_neardup_contained(spark):
     assert [i for i in range(0, len(rows), 2) if not found[i][1] == found[i + 1][1] == i] == []
 
 
+def test_repeated_ids(spark):
+    """Documents that share an id go only if their own text is a near-duplicate, as comparing all pairs says."""
+    r = random.Random(3)
+    say = lambda n: [f"w{r.getrandbits(40):x}" for _ in range(n)]
+    one, two, three = say(90), say(90), say(90)
+    texts = [(1, one), (1, two), (1, two), (1, [*three, "end"]), (1, three), (2, [*one, "end"]), (3, two), (4, [*two, "end"]), (5, say(90)), (6, []), (6, ["!"]), (None, three), (None, say(90))]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    found = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} if len(t) >= 5 else {tuple(t)} if t else set() for _, t in texts]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a] == rows[b] or sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = [min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if group[i] == g) for g in sorted(set(group))]
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in found) == sorted(least)
+    assert {(1, rows[0][1]), (1, rows[1][1])} <= {(x.doc_id, x.text) for x in found}
+
+
 def test_quality(docs, none):
     assert quality.judge(none.select("doc_id", "text"))[0].count() == 0 and quality.filter_documents(none).count() == 0
     kept = quality.filter_documents(docs)
