@@ -7,24 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hyperlink, loader, normalise_tags, note_body, note_name
+from ..functions.columns import hyperlink, last_segment, loader, normalise_tags, note_body, note_name
 from ..operators.enrich import Client, Stub, enrich
 from ..operators.requests import split_valid, validate
 from ..operators.resolve import Judge, drop_merged, resolve, rewrite_links, topic_rows
+from ..operators.sinks import write_artefacts
 from ..operators.windows import first_writes, last_writes
-from ..sources.readers import extract_pages, fetch, split_fetched
+from ..schemas import Model
+from ..sources.readers import fetch, load_contents, split_fetched
 
 
-def ingest_batch(raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest_batch(
+    raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub,
+    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """raw requests (seq, ...): new topic notes, new content notes, and failures with their reason.
 
     All contents of the batch meet the notes as they were before it; the sequential order of contents is the
     caller's to keep, one batch after the other, where later contents must see what earlier ones wrote.
+    Web pages are parsed, texts taken whole, and of PDFs, whose pages extract gives, the first of at most token_limit / 2
+    words in all; without extract they are failures. With a vault the PDFs are saved there at once, and what was fetched is kept.
     """
     valid, invalid = split_valid(validate(raw))
-    loaded, unloaded = split_fetched(fetch(valid.withColumn("loader", loader(F.col("link"))), get))
-    pages = extract_pages(loaded, "body").drop("body", "anchors", "status", "error")
-    done = enrich(pages, client).withColumn("content_seq", F.col("seq").cast("long"))
+    fetched = fetch(valid.withColumn("loader", loader(F.col("link"))), get)
+    loaded, unloaded = split_fetched(fetched if vault is None else fetched.persist())
+    if vault is not None:
+        write_artefacts(loaded.where("loader = 'pdf'").select(last_segment(F.col("link")).alias("name"), F.col("body").alias("content")), vault)
+    contents, unread = load_contents(loaded, extract, token_limit / 2)
+    done = enrich(contents.drop("body", "status", "error"), client).withColumn("content_seq", F.col("seq").cast("long"))
     topics = done.select("content_seq", F.posexplode("topics").alias("topic_idx", "t")).select("content_seq", "topic_idx", "t.type", "t.name", "t.description")
     resolved = resolve(topics, topic_notes, judge)
     new_topics = first_writes(topic_rows(resolved, done.select("content_seq", "upload_date")), ["type", "name"], ["content_seq", "topic_idx"], drop_merged(topic_notes, resolved)).select("type", "name", "date", "description")
@@ -38,4 +48,5 @@ def ingest_batch(raw: DataFrame, topic_notes: DataFrame, content_notes: DataFram
     contents = last_writes(notes, ["content_type", "title"], ["content_seq"]).drop("content_seq")
     contents = kept.join(contents.select("content_type", "title"), ["content_type", "title"], "left_anti").unionByName(contents)
     failed = invalid.select("seq", "link", "reason").unionByName(unloaded.select("seq", "link", F.coalesce("error", F.concat(F.lit("status "), F.col("status"))).alias("reason")))
+    failed = failed.unionByName(unread.select("seq", "link", F.col("error").alias("reason")))
     return drop_merged(topic_notes, resolved).unionByName(new_topics), contents, failed

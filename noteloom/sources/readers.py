@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.windows import prefix_cut_array
 from ..schemas import RAW_REQUEST
 
 
@@ -142,6 +143,46 @@ def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFr
     return files.select("path", F.posexplode(pages("content")).alias("page", "text"))
 
 
+def pdf_texts(body: Column, extract: Callable[[bytes], list[str]] | None) -> Column:
+    """PDFs as bytes: struct(pages: their texts, error: why they could not be read); null pages for null."""
+
+    @F.pandas_udf("pages array<string>, error string")
+    def read(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in content:
+            try:
+                rows.append((None if raw is None else [t or "" for t in extract(bytes(raw))], None))
+            except Exception as e:  # any failure is the row's, not the batch's
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["pages", "error"])
+
+    if extract is None:
+        return F.struct(F.lit(None).cast("array<string>").alias("pages"), F.when(body.isNotNull(), "no PDF extractor").alias("error"))
+    return read(body)
+
+
+def plain_text(body: Column) -> Column:
+    """Whole text files as bytes: their text, line ends as \\n."""
+
+    @F.pandas_udf("string")
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(lambda raw: None if raw is None else bytes(raw).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
+
+    return decoded(body)
+
+
+def load_contents(loaded: DataFrame, extract: Callable[[bytes], list[str]] | None, limit: float) -> tuple[DataFrame, DataFrame]:
+    """loaded (loader, body, ...) with content and content_links (null but for web pages), and those that could not be read, with error.
+
+    PDFs give their first pages of at most limit words in all. Bodies are read in one pass, whatever their loader.
+    """
+    of = lambda kind: F.when(F.col("loader") == kind, F.col("body"))
+    pages = extract_pages(loaded.withColumn("html", of("url")), "html").withColumns({"pdf": pdf_texts(of("pdf"), extract), "plain": plain_text(of("text"))})
+    content = F.when(F.col("loader") == "pdf", prefix_cut_array(F.col("pdf.pages"), limit)["content"]).when(F.col("loader") == "text", F.col("plain")).otherwise(F.col("content"))
+    read = pages.withColumns({"content": content, "content_links": F.when(F.col("loader") == "url", F.col("content_links")), "error": F.col("pdf.error")}).drop("html", "pdf", "plain", "anchors")
+    return read.where("error is null"), read.where("error is not null")
+
+
 def read_notes(spark: SparkSession, vault: str, directory: str) -> DataFrame:
     """Notes of vault/directory/<type>/<name>.md: type, name, meta (front matter), body."""
     note = spark.read.option("wholetext", True).text(f"{vault}/{directory}/*/*.md").select("value", F.col("_metadata.file_path").alias("file"))

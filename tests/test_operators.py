@@ -65,3 +65,32 @@ def test_batch_and_stream(spark, tmp_path):
     seen = []
     watch(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda df, n: seen.extend(df.collect())).awaitTermination()
     assert [r.link for r in seen] == ["https://x.com/"]
+
+
+def test_batch_of_each_loader(spark, tmp_path):
+    """A PDF by its extractor, cut at half the token limit, a text as it is; both unparsed."""
+    bodies = {"https://x.com/p.pdf": b"%PDF <b>one two</b>|three|four", "notes/t.txt": b"a <b>tag</b>\r\nend", "https://x.com/h": b"<p>page</p>", "https://arxiv.org/pdf/bad": b"broken"}
+    raw = spark.createDataFrame([(i, k, "2024-09-04", None, None, None) for i, k in enumerate(bodies)], "seq int, link string, upload_date string, already_read string, read_priority string, source string")
+    topics = spark.createDataFrame([], "type string, name string, date string, description string")
+    notes = spark.createDataFrame([], "content_type string, title string, link string, upload_date string, already_read boolean, read_priority int, source string, tags array<string>, body string")
+
+    def web():
+        return lambda link: (200, bodies[link])
+
+    def judge():
+        return lambda new, old: None
+
+    def extract(raw):
+        if not raw.startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        return raw.decode().split("|")
+
+    _, contents, failed = ingest_batch(raw, topics, notes, web, judge, extract=extract, vault=str(tmp_path), token_limit=8)
+    found = {r.link: r.body.split("\n## Topics")[0] for r in contents.collect()}
+    assert {k: v.rstrip() for k, v in found.items()} == {
+        "https://x.com/p.pdf": "![](artefacts/p.pdf)\n## Summary\n\n%PDF <b>one two</b>three", "notes/t.txt": "notes/t.txt\n## Summary\n\na <b>tag</b> end", "https://x.com/h": "https://x.com/h\n## Summary\n\npage\n## Links\n\nno links",
+    }
+    assert {r.link: r.reason for r in failed.collect()} == {"https://arxiv.org/pdf/bad": "ValueError: no PDF"}
+    assert {f.name: f.read_bytes() for f in (tmp_path / "artefacts").iterdir() if not f.name.startswith(".")} == {"p.pdf": bodies["https://x.com/p.pdf"], "bad": b"broken"}
+    _, _, failed = ingest_batch(raw, topics, notes, web, judge)
+    assert {r.link: r.reason for r in failed.collect()} == {k: "no PDF extractor" for k in ("https://x.com/p.pdf", "https://arxiv.org/pdf/bad")}
