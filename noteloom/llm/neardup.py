@@ -43,8 +43,7 @@ LINK_FLOOR = 0.5
 #: Sketch values have this bit flipped: as signed longs, in which Spark sorts, they are then in the order of the hashes.
 SIGN = U64(1 << 63)
 #: In lists with no more members than this outside their main component, these are compared with all; it steers cost only, not results.
-#: Each round allows GROWTH times as many: lists get smaller and fewer with each round, and the last ones would take many rounds of little work.
-SHORT_LIST, GROWTH = 64, 2
+SHORT_LIST = 256
 #: Bits of an odd sketch; they steer cost only.
 ODD_BITS = 512
 FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -195,7 +194,7 @@ def beside(stars: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, kept = [], batch.select(["leader", "class", "weight"])
+            rows, kept = [], batch.select(["leader", "class", "weight", "outside"])
             for x, y in zip(batch.column("led"), batch.column("own"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
@@ -207,7 +206,37 @@ def beside(stars: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept.columns, *sizes, extras], names=[*kept.schema.names, "leader_size", "size", "common", "extras"])
 
     pairs = stars.join(sets.select(F.col("class").alias("leader"), F.col("members").alias("led")), "leader").join(sets.select("class", F.col("members").alias("own")), "class")
-    return pairs.select("leader", "class", "weight", "led", "own").mapInArrow(run, "leader long, class long, weight double, leader_size long, size long, common long, extras array<long>")
+    return pairs.select("leader", "class", "weight", "outside", "led", "own").mapInArrow(run, "leader long, class long, weight double, outside boolean, leader_size long, size long, common long, extras array<long>")
+
+
+def spanning(told: DataFrame) -> DataFrame:
+    """told (key, class, n, weight, label): of the lists with several components key, leader (the smallest class), main (the largest component), others (members outside it).
+
+    Lists with the same members say the same, so one of them is enough: members are told apart by 128 bits.
+    """
+    marks = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"mark_{k}") for k in (0, 1)]
+    least = F.min(F.struct("n", (-F.col("weight")).alias("w"), "class")).alias("least")
+    parts = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), least, *marks)
+    both = [F.bit_xor(f"mark_{k}").alias(f"mark_{k}") for k in (0, 1)]
+    lists = parts.groupBy("key").agg(F.sum("members").alias("members"), F.max(F.struct("members", "label")).alias("main"), F.min("least").getField("class").alias("leader"), *both)
+    found = lists.where("members > main.members").select("key", "leader", F.col("main.label").alias("main"), (F.col("members") - F.col("main.members")).alias("others"), "members", "mark_0", "mark_1")
+    one = found.groupBy("members", "mark_0", "mark_1").agg(F.min(F.struct("key", "leader", "main", "others")).alias("one"))
+    return one.select("one.*")
+
+
+def pairs_within(short: DataFrame) -> DataFrame:
+    """short (key, class, n, label, odd, main): each member outside its list's main component with the members of other components that it may be linked to: a, b.
+
+    A pair that meets in several lists is made in the least of them only.
+    """
+    own = materialize(short.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys")), "own-lists")
+    short = materialize(short.join(own.hint("merge"), "class").select("key", "class", "n", "label", "odd", "main", "keys"), "short")
+    one, two = (short.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "label", "odd", "keys")), "main") for x in "ab")
+    close = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    fits = (F.col("label_a") != F.col("label_b")) & close & may_link(F.col("n_a") + F.col("n_b"), F.col("odd_a"), F.col("odd_b"))
+    first = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key")
+    pairs = one.where("label_a <> main").drop("main").join(two.drop("main"), "key").where(fits & first)
+    return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
 def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -216,30 +245,26 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
     linked = 100 * F.col("common") >= PERCENT * (F.col("size") + F.col("leader_size") - F.col("common"))
     sizes = classes.select("class", F.col("n_shingles").alias("n"), "odd")
     # links found on the way join the components at the end: members linked to one leader need no link of their own
-    labels, near, links, limit = components(edges), None, edges.select("a", "b"), SHORT_LIST
+    labels, near, links = components(edges), None, edges.select("a", "b")
     while True:
         told = lists.join(sizes, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         told = materialize(told, "told")
-        parts = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("n", (-F.col("weight")).alias("w"), "class")).alias("least"))
-        spans = parts.groupBy("key").agg(F.sum("members").alias("members"), F.max(F.struct("members", "label")).alias("main"), F.min("least").getField("class").alias("leader"))
-        spans = materialize(spans.where("members > main.members").select("key", "leader", F.col("main.label").alias("main"), (F.col("members") - F.col("main.members")).alias("others")), "spans")
-        # each member outside the list's main component with all members: at most `limit` pairs a member
-        short = told.join(spans.where(F.col("others") <= limit), "key")
-        one, two = (short.select("key", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"), F.col("odd").alias(f"odd_{x}"), "main") for x in "ab")
-        fits = (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & may_link(F.col("n_a") + F.col("n_b"), F.col("odd_a"), F.col("odd_b"))
-        pairs = one.where("label_a <> main").drop("main").join(two.drop("main"), "key").where(fits)
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+        spans = materialize(spanning(told), "spans")
+        short = told.join(spans.where(F.col("others") <= SHORT_LIST).select("key", "main"), "key")
+        pairs = materialize(pairs_within(short), "near")
         near = pairs if near is None else near.union(pairs)
-        long = spans.where(F.col("others") > limit)
-        limit *= GROWTH
+        long = spans.where(F.col("others") > SHORT_LIST)
         if long.isEmpty():
             break
-        stars = told.join(long, "key").where("class <> leader").select("leader", "class", "weight").distinct()
+        stars = told.join(long, "key").where("class <> leader").groupBy("leader", "class").agg(F.first("weight").alias("weight"), F.max(F.col("label") != F.col("main")).alias("outside"))
         seen = materialize(beside(stars, sets), "beside")
         links = links.union(seen.where(linked).select(F.col("leader").alias("a"), F.col("class").alias("b")))
-        held = seen.select("leader", "class", "weight", F.greatest(F.lit(1), F.ceil((F.col("size") + F.col("leader_size")) * share - 1e-6) - F.col("common")).cast("int").alias("need"), F.explode("extras").alias("value"))
-        shared = materialize(held.groupBy("leader", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-        found = held.join(shared, ["leader", "value"]).groupBy("leader", "class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.first("weight").alias("weight"), F.first("need").alias("need"))
+        need = F.greatest(F.lit(1), F.ceil((F.col("size") + F.col("leader_size")) * share - 1e-6) - F.col("common")).cast("int")
+        held = seen.select("leader", "class", "weight", "outside", need.alias("need"), F.explode("extras").alias("value"))
+        # of two linked members of different components one is outside the main one, so that only its values count
+        shared = held.groupBy("leader", "value").agg(F.count(F.lit(1)).alias("df"), F.max("outside").alias("outside")).where("df > 1 and outside").drop("outside")
+        shared = materialize(shared, "shared")
+        found = held.drop("outside").join(shared, ["leader", "value"]).groupBy("leader", "class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.first("weight").alias("weight"), F.first("need").alias("need"))
         room = F.size("found") - F.col("need") + 1
         listed = found.where(room > 0).select("leader", "class", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("f"))
         lists = materialize(listed.select(F.xxhash64("leader", "f.value").alias("key"), "class", "weight"), "lists")
