@@ -2,7 +2,9 @@
 
 Each stage works on all that the one before kept: its result is written as Parquet in the folder that driver and
 executors share and read again. Documents keep their columns until the last stage; n_chars follows the text.
-Documents without an id count as those with the largest. Empty tables pass through.
+Documents without an id count as those with the largest. Null, empty and wordless texts fail the quality rules. Of
+rows equal in id and text one stays, as of all near-duplicates; of equal rows it is all the same which. Texts are worked
+on whole, however long. Further columns, whatever their names, come through as they are. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noteloom.llm import neardup, packing, quality, secrets, suffixes
-from noteloom.llm.common import materialize
+from noteloom.llm.common import materialize, numbered
+
+#: Strings of so many bytes that occur twice are taken out: 50 words of five bytes, the blank included, so that a passage of
+#: more words is caught unless its words are shorter on average. op1_suffix_dedup keeps its contract's 400.
+PASSAGE_BYTES = 250
 
 
 def _counted(documents: DataFrame) -> DataFrame:
@@ -33,15 +39,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     An id that several documents have links none of them: each stays unless its own text is a near-duplicate of a kept one.
     """
     # a document without an id gets one from its text, above all others
-    known = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))), "_text": F.xxhash64("text")})
-    kept = neardup.representatives(known.select(F.col("_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
-    same = Window.partitionBy("_id", "_text").orderBy("text")
-    return known.join(kept, ["_id", "_text"], "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
+    rows, at = numbered(docs)
+    own = F.coalesce(F.col(at["doc_id"]).cast("long"), F.shiftrightunsigned(F.xxhash64(at["text"]), 2).bitwiseOR(F.lit(1 << 62)))
+    known = rows.withColumns({"id": own, "text_hash": F.xxhash64(at["text"])})
+    kept = neardup.representatives(known.select(F.col("id").alias("doc_id"), F.col(at["text"]).alias("text"))).select(F.col("doc_id").alias("id"), "text_hash")
+    same = Window.partitionBy("id", "text_hash").orderBy(at["text"])
+    return known.join(kept, ["id", "text_hash"], "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1").select(*at.values()).toDF(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated 400-byte strings; those of which nothing is left go."""
-    return _counted(suffixes.remove_repeats(docs)).where("text <> ''")
+    """Documents without their repeated strings of PASSAGE_BYTES; those of which nothing is left go."""
+    return _counted(suffixes.remove_repeats(docs, PASSAGE_BYTES)).where("text <> ''")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
