@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text handed to one round of numpy work, in characters.
 BLOCK_CHARS = 1 << 21
+#: Folders of the tables that materialize() has written in this session and that are still there.
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one given to setCheckpointDir().
+
+    Where neither is set, a folder of this machine, if all tasks run on it (local master: tests); else an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        spark.sparkContext.setCheckpointDir("/tmp/noteloom-checkpoints")
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"{tempfile.gettempdir()}/noteloom-checkpoints")
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -36,15 +43,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/noteloom-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s result, written; the tables that it wrote on the way are deleted, as only the result read them."""
+    point = len(_written)
+    result = make()
+    spark = result.sparkSession
+    out = materialize(result, label)
+    for path in _written[point:-1]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    del _written[point:-1]
+    free_shuffles(spark)
+    return out
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns (name=type), cast; further columns, whatever their names, go."""
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns as c0, c1 ..., so that no name clashes with another or needs quotes, and the new name of each; toDF(*df.columns) gives the names back."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with at most about `chars` of text each (a longer text comes alone); null texts come as ''."""
     for batch in batches:

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, only, table
+from .common import materialize, numbered, only, table, tidied
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -165,15 +165,21 @@ def judge(documents: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
 
 
 def filter_documents(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The documents that are kept, with their own columns. Measures are computed twice (to fit, to filter), so that no text is written or shuffled."""
-    _, model = judge(documents.select("text"), rounds)
-    names = [F.col(f"`{n}`") for n in documents.columns]
-    p = "q_"
-    while any(n.lower().startswith(p) for n in documents.columns):
-        p += "_"
-    # the row number keeps Catalyst from moving the filter below the measures, where each would be computed many times over
-    voted = with_features(documents, p).select(*names, F.monotonically_increasing_id().alias(f"{p}row"), base_failed(p).alias(f"{p}base_failed"), *(v.alias(f"{p}v_{r}") for r, v in votes(p).items()))
-    return voted.where((F.col(f"{p}row") >= 0) & ~F.col(f"{p}base_failed") & (posterior(model, f"{p}v_") >= 0.5)).select(*names)
+    """The documents that are kept, with their own columns, whatever their names.
+
+    Texts are measured once; what is kept is told by 128 bits of the text's hash, so that equal texts share a verdict.
+    """
+    rows, at = numbered(documents)
+    text = F.col(at["text"])
+    marks = {"mark_0": F.xxhash64(text), "mark_1": F.xxhash64(F.lit(1), text)}
+
+    def kept() -> DataFrame:
+        measured = with_features(rows.select(text.alias("text"), *(c.alias(n) for n, c in marks.items())))
+        voted = materialize(measured.select(*marks, base_failed().alias("q_base_failed"), *(v.cast("tinyint").alias(f"q_v_{r}") for r, v in votes().items())), "votes")
+        model = fit(count_patterns(voted), rounds)
+        return voted.where(~F.col("q_base_failed") & (posterior(model) >= 0.5)).select(*marks).distinct()
+
+    return rows.withColumns(marks).join(tidied("kept-texts", kept), list(marks), "left_semi").select(*at.values()).toDF(*documents.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
