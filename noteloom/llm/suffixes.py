@@ -4,14 +4,18 @@
    equal windows have equal anchors at equal offsets. An anchor stands for all windows that chose it, about one for each
    170 bytes of text. Only anchors whose hash occurs twice or more go on.
 2. Fragments. The bytes of an anchor's windows travel, with those of all anchors of that hash, to one task.
-3. Sorting. The suffixes that start at anchors are sorted deep-shallow: multikey quicksort, eight bytes a character,
+3. Groups too large for one task (over GROUP fragments) are split by further bytes, until none is. Equal fragments of
+   a group are one from then on, and all their windows are repeated. The windows of the others are dealt, by the
+   anchor's offset in the window, to PARTS ranges; all windows of a range share more bytes than the anchor's, and these
+   bytes are the new group's key. A range of one offset has whole windows as keys, so this ends.
+4. Sorting. The suffixes that start at anchors are sorted deep-shallow: multikey quicksort, eight bytes a character,
    to a shallow depth, then a blind trie for each group that still shares a prefix. So are the reversed strings before
    the anchors. A window is repeated if and only if it has the same right class (from the common prefixes of sorted
-   suffixes) and the same left class as another; no hash decides.
-4. Anchors with more than GROUP members are extended to the whole window: the windows themselves, as 128-bit hashes,
-   are counted, first within each task, so that a task sends each one once. This bounds every group at any size.
+   suffixes) and the same left class as another.
 
-Texts that equal another as a whole are repeated as a whole, and only one of them is a witness for the others.
+Keys of 64 bits only bring fragments together; sorting decides. Two things are taken as equal by 128 bits of SHA-256:
+whole texts, and fragments of groups that are split. Texts that equal another as a whole are repeated as a whole, and
+only one of them is a witness for the others.
 Null texts count as empty. Texts shorter than LENGTH keep all bytes. Rows with equal doc_id are documents of their
 own, so equal rows repeat each other. An empty table gives an empty result. The id -2^63 stands for null.
 """
@@ -20,25 +24,30 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, free_shuffles, materialize, table
+from .common import byte_blocks, free_shuffles, materialize, numbered, table, tidied
 from .words import U64, mix
 
 LENGTH, GRAM = 400, 64
-GROUP = 256
-#: Members sorted at once (whole groups, so up to GROUP more), and windows that a task compares before it sends them.
-SORT_MEMBERS, HELD_WINDOWS = 4000, 1_000_000
-BUCKET_WINDOWS = 500_000
+#: Fragments of one group that a task sorts at most (3 MB at LENGTH 400); larger groups are split PARTS ways a round. It steers cost, not results.
+GROUP, PARTS = 4000, 4
+#: Fragments sorted at once (whole groups, so up to GROUP more).
+SORT_MEMBERS = 4000
 NO_ID = -(1 << 63)
 _PLACE_BITS = 21
 _random = np.random.Generator(np.random.PCG64(77))
 _BYTES = _random.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASES = [0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1]
+#: A fragment: the bytes of spans windows from first on, with `before` bytes before the anchor; the anchor's offset in a window is from low to high.
+FRAGMENT = {"key": pa.int64(), "same": pa.binary(), "k1": pa.int64(), "k2": pa.int64(), "copied": pa.bool_(), "low": pa.int32(), "high": pa.int32(), "first": pa.int64(), "before": pa.int64(), "spans": pa.int64(), "data": pa.binary()}
+FRAGMENTS = "key long, same binary, k1 long, k2 long, copied boolean, low int, high int, first long, before long, spans long, data binary"
+RUNS = "k1 long, k2 long, start long, end long"
 
 
 # --- anchors -----------------------------------------------------------------
@@ -250,9 +259,9 @@ def deep_shallow(strings: list[bytes], shallow: int = GRAM) -> tuple[np.ndarray,
 
 
 def repeated_windows(fragments: list[bytes], before: np.ndarray, spans: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which windows of fragments occur in another fragment with the same anchor: a row for each, by the window's start.
+    """Which windows of fragments occur in another fragment: a row for each, by the window's start.
 
-    before: bytes before the anchor; spans: the number of windows.
+    before: bytes before the anchor; spans: the number of windows. Fragments of several groups may come together: windows of different groups differ.
     """
     n = len(fragments)
     rights = [f[b:] for f, b in zip(fragments, before.tolist(), strict=True)]
@@ -315,151 +324,149 @@ def anchors(documents: DataFrame, length: int, gram: int) -> DataFrame:
     return documents.mapInArrow(run, "k1 long, k2 long, n_bytes long, same binary, found array<struct<hash: long, place: int, first: int, last: int>>")
 
 
-def repeated_runs(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """documents (k1, k2, text): k1, k2, runs (array of start and end of repeated bytes; they may overlap)."""
-    spark = documents.sparkSession
-    scanned = materialize(anchors(documents, length, gram), "anchors")
-    copies = materialize(scanned.groupBy("same").agg(F.min(F.struct("k1", "k2")).alias("one"), F.count(F.lit(1)).alias("n")), "copies")
-    witness = scanned.where(f"n_bytes >= {length}").join(copies, "same").where((F.col("k1") == F.col("one.k1")) & (F.col("k2") == F.col("one.k2")))
-    placed = witness.dropDuplicates(["k1", "k2"]).select("k1", "k2", (F.col("n") > 1).alias("copied"), F.explode("found").alias("f")).select("k1", "k2", "copied", "f.*")
-    counts = placed.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    wanted = materialize(placed.join(counts, "hash").groupBy("k1", "k2").agg(F.first("copied").alias("copied"), F.collect_list(F.struct("hash", "place", "first", "last", (F.col("members") > group).alias("hot"))).alias("found")), "wanted")
-    free_shuffles(spark)
-    hot = wanted.select(F.aggregate("found", F.lit(0).cast("long"), lambda a, f: a + F.when(f["hot"], f["last"] - f["first"] + 1).otherwise(0)).alias("n")).agg(F.sum("n").alias("n")).first().n or 0
-    buckets = -(-hot // BUCKET_WINDOWS)
-
-    names = ["kind", "key", "k1", "k2", "copied", "first", "before", "spans", "data"]
-    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    schema = "kind tinyint, key long, k1 long, k2 long, copied boolean, first long, before long, spans long, data binary"
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kinds: 0 fragment, 1 windows of a bucket, 2 a run that is already known (first, spans: start, bytes)."""
-        held: list[tuple] = []
-        n_held = 0
-
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
-
-        def windows() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n_held
-            if not held:
-                return
-            one, two, starts = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
-            owner = np.repeat(np.arange(len(held)), [len(h[5]) for h in held])
-            order = np.lexsort((two, one))
-            one, two, starts, owner = one[order], two[order], starts[order], owner[order]
-            new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            several = ~new | ~np.append(new[1:], True)
-            # known here: merged runs of each document; copied documents need none
-            known = np.flatnonzero(several)
-            if len(known):
-                known = known[np.lexsort((starts[known], owner[known]))]
-                s, o = starts[known], owner[known]
-                edge = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1] + 1) | (o[1:] != o[:-1]))))
-                last = np.append(edge[1:], len(s)) - 1
-                yield from (rows(part) for part in [[(2, h[0] ^ h[1], h[0], h[1], False, a, 0, b - a + length, None) for h, a, b in zip((held[i] for i in o[edge].tolist()), s[edge].tolist(), s[last].tolist(), strict=True) if not h[2]]] if part)
-            one, two, starts, owner, alone = one[new], two[new], starts[new], owner[new], ~several[new]
-            alone &= ~np.array([h[2] for h in held], bool)[owner]
-            k1, k2 = np.array([h[0] for h in held], np.int64)[owner], np.array([h[1] for h in held], np.int64)[owner]
-            bucket = (one % U64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            found = []
-            for at in np.split(by, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1]):
-                if len(at):
-                    data = np.concatenate((one[at].view(np.int64), two[at].view(np.int64), k1[at], k2[at], np.where(alone[at], starts[at], -1))).tobytes()
-                    found.append((1, int(bucket[at[0]]), None, None, None, None, None, None, data))
-            yield rows(found)
-            held, n_held = [], 0
+def part_of(row: dict, low: int, high: int, length: int) -> dict | None:
+    """A fragment's windows whose anchor's offset is from low to high, as a fragment of the group that shares their common bytes; None without such windows."""
+    least, most = max(low, row["before"] - row["spans"] + 1), min(high, row["before"])
+    if least > most:
+        return None
+    start = row["before"] - most  # in row's data
+    data = row["data"][start : row["before"] - least + length]
+    common = data[most - low : most + length - high]
+    key = hashlib.sha256(b"%d %d %d " % (row["key"], low, high) + common).digest()[:8]
+    same = hashlib.sha256(b"%d %d " % (least, most) + data).digest()[:16]
+    changed = {"key": int.from_bytes(key, "little", signed=True), "same": same, "low": low, "high": high, "first": row["first"] + start, "before": most, "spans": most - least + 1, "data": data}
+    return row | changed
 
+
+def fragments_of(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows (k1, k2, copied, found, text): the fragment of each anchor found."""
+
+    def rows() -> Iterator[dict]:
         for batch in batches:
-            found: list[tuple] = []
-            size = 0
             for row in range(batch.num_rows):
                 k1, k2, copied, text = (batch.column(c)[row].as_py() for c in ("k1", "k2", "copied", "text"))
-                text = text.encode()
-                mine = []
+                raw = text.encode()
                 for f in batch.column("found")[row].as_py():
-                    if f["hot"]:
-                        mine.append((f["first"], f["last"]))
-                    else:
-                        first, last = f["first"], f["last"]
-                        found.append((0, f["hash"], k1, k2, copied, first, f["place"] - first, last - first + 1, text[first : last + length]))
-                        size += last - first + length
-                if mine:
-                    raw = np.frombuffer(text, np.uint8)
-                    at = np.concatenate([np.arange(a, b + 1) for a, b in mine])
-                    held.append((k1, k2, copied, rolling(raw, length, 0)[at], rolling(raw, length, 1)[at], at))
-                    n_held += len(at)
-                    if n_held >= HELD_WINDOWS:
-                        yield from windows()
-                if size > 4 << 20:
-                    yield rows(found)
-                    found, size = [], 0
-            if found:
-                yield rows(found)
-        yield from windows()
+                    first, last = f["first"], f["last"]
+                    yield {"key": f["hash"], "same": None, "k1": k1, "k2": k2, "copied": copied, "low": 0, "high": length - gram, "first": first, "before": f["place"] - first, "spans": last - first + 1, "data": raw[first : last + length]}
+
+    yield from fragment_batches(rows())
+
+
+def fragment_batches(rows: Iterator[dict], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row["data"])
+        if size > limit:
+            yield pa.RecordBatch.from_pylist(held, pa.schema(FRAGMENT))
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, pa.schema(FRAGMENT))
+
+
+def split_groups(fragments: DataFrame, length: int, group: int, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+    """fragments of groups of any size: fragments of groups of at most `group`, and the runs (k1, k2, start, end) found while splitting."""
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    width = -(-(row["high"] - row["low"] + 1) // parts)
+                    for low in range(row["low"], row["high"] + 1, width):
+                        part = part_of(row, low, min(low + width - 1, row["high"]), length)
+                        if part:
+                            yield part
+
+        yield from fragment_batches(rows())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fragment_batches(part_of(row, row["low"], row["high"], length) for batch in batches for row in batch.to_pylist())
+
+    rest, runs = [], []
+    large = fragments.mapInArrow(whole, FRAGMENTS)
+    while True:
+        large = materialize(large, "large")
+        # written before they are joined, so that Spark can split a group with many rows
+        same = large.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one"))
+        kinds = materialize(same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("members")).where("members > 1"), "kinds")
+        same = materialize(same.join(kinds, "key").where("n > 1 or kinds > 1"), "same")
+        told = materialize(large.join(same.select("key", "same", "n", "one", "kinds"), ["key", "same"]), "told")
+        repeated = told.where("n > 1 and not copied")
+        runs.append(repeated.select("k1", "k2", F.col("first").alias("start"), (F.col("first") + F.col("spans") - 1 + length).alias("end")))
+        first = F.struct("k1", "k2", "first") == F.col("one")
+        # an anchor occurs once at a place, so that this leaves one row of each kind; equal rows of a table are one witness
+        left = told.where(first & (F.col("kinds") > 1)).withColumn("copied", F.col("copied") | (F.col("n") > 1))
+        rest.append(left.where(F.col("kinds") <= group).select(*FRAGMENT))
+        large = left.where(F.col("kinds") > group).select(*FRAGMENT)
+        if large.isEmpty():
+            return reduce(DataFrame.union, rest), reduce(DataFrame.union, runs)
+        large = large.mapInArrow(children, FRAGMENTS)
+
+
+def sorted_runs(fragments: DataFrame, length: int) -> DataFrame:
+    """fragments of groups of bounded size: the runs (k1, k2, start, end) of windows that two of a group have."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of kind and key."""
+        """Rows in order of key."""
         held: list[dict] = []
-        blobs: list[bytes] = []
-        current: tuple | None = None
+        groups = 0
 
-        def runs(k1, k2, start, end) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (k1, k2, start, end)], names=["k1", "k2", "start", "end"])
-
-        def fragments() -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if len(held) > 1:
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) > groups:  # else each is alone
                 first = np.array([h["first"] for h in held], np.int64)
                 flags = repeated_windows([h["data"] for h in held], np.array([h["before"] for h in held], np.int64), np.array([h["spans"] for h in held], np.int64), length)
                 flags[[h["copied"] for h in held]] = False
                 row, a, b = runs_of(flags)
                 if len(row):
-                    yield runs(np.array([h["k1"] for h in held], np.int64)[row], np.array([h["k2"] for h in held], np.int64)[row], first[row] + a, first[row] + b + length)
-            held = []
-
-        def bucket() -> Iterator[pa.RecordBatch]:
-            nonlocal blobs
-            if blobs:
-                parts = [np.frombuffer(x, np.int64).reshape(5, -1) for x in blobs]
-                one, two, k1, k2, start = np.concatenate(parts, 1)
-                order = np.lexsort((two, one))
-                one, two = one[order], two[order]
-                new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-                several = ~new | ~np.append(new[1:], True)
-                at = order[several]
-                at = at[start[at] >= 0]
-                at = at[np.lexsort((start[at], k2[at], k1[at]))]
-                if len(at):
-                    s, a, b = start[at], k1[at], k2[at]
-                    edge = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1] + 1) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                    last = np.append(edge[1:], len(s)) - 1
-                    yield runs(a[edge], b[edge], s[edge], s[last] + length)
-            blobs = []
+                    k1, k2 = (np.array([h[k] for h in held], np.int64)[row] for k in ("k1", "k2"))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, first[row] + a, first[row] + b + length)], names=["k1", "k2", "start", "end"])
 
+        current = None
         for batch in batches:
             for row in batch.to_pylist():
-                now = (row["kind"], row["key"])
-                if now != current:
-                    if current and current[0] == 1:
-                        yield from bucket()
-                    elif len(held) >= SORT_MEMBERS or held and now[0] != 0:
-                        yield from fragments()
-                    current = now
-                if now[0] == 0:
-                    held.append(row)
-                elif now[0] == 1:
-                    blobs.append(row["data"])
-                else:
-                    yield runs([row["k1"]], [row["k2"]], [row["first"]], [row["first"] + row["spans"]])
-        yield from fragments()
-        yield from bucket()
-
-    sent = documents.join(wanted, ["k1", "k2"]).select("k1", "k2", "copied", "found", "text").mapInArrow(send, schema)
-    found = sent.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(find, "k1 long, k2 long, start long, end long")
+                if row["key"] != current:
+                    if len(held) >= SORT_MEMBERS:
+                        yield from flush()
+                        held, groups = [], 0
+                    current = row["key"]
+                    groups += 1
+                held.append(row)
+        yield from flush()
+
+    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(find, RUNS)
+
+
+def repeated_runs(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """documents (k1, k2, text): k1, k2, runs (array of start and end of repeated bytes; they may overlap)."""
+    return tidied("runs", lambda: found_runs(documents, length, gram, group))
+
+
+def found_runs(documents: DataFrame, length: int, gram: int, group: int) -> DataFrame:
+    spark = documents.sparkSession
+    scanned = materialize(anchors(documents, length, gram), "anchors")
+    copies = materialize(scanned.groupBy("same").agg(F.min(F.struct("k1", "k2")).alias("one"), F.count(F.lit(1)).alias("n")), "copies")
+    witness = scanned.where(f"n_bytes >= {length}").join(copies, "same").where((F.col("k1") == F.col("one.k1")) & (F.col("k2") == F.col("one.k2")))
+    placed = witness.dropDuplicates(["k1", "k2"]).select("k1", "k2", (F.col("n") > 1).alias("copied"), F.explode("found").alias("f")).select("k1", "k2", "copied", "f.*")
+    # written, so that both sides of the join are shuffled for it, and Spark can split a hash that many places have
+    counts = materialize(placed.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "counts")
+    found = F.collect_list(F.struct("hash", "place", "first", "last"))
+    wanted = materialize(placed.join(counts, "hash").withColumn("large", F.col("members") > group).groupBy("k1", "k2", "large").agg(F.first("copied").alias("copied"), found.alias("found")), "wanted")
+    free_shuffles(spark)
+
+    def fragments(large: bool) -> DataFrame:
+        rows = documents.join(wanted.where(F.col("large") == large).drop("large"), ["k1", "k2"])
+        return rows.select("k1", "k2", "copied", "found", "text").mapInArrow(lambda batches: fragments_of(batches, length, gram), FRAGMENTS)
+
+    sent, runs = fragments(False), None
+    if not wanted.where("large").isEmpty():
+        rest, runs = split_groups(fragments(True), length, group)
+        sent = sent.union(rest)
+    found = sorted_runs(sent.drop("same", "low", "high"), length)
     whole = scanned.where(f"n_bytes >= {length}").join(copies.where("n > 1"), "same").select("k1", "k2", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")).distinct()
-    return found.union(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    found = found.union(whole) if runs is None else found.union(whole).union(runs)
+    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
 def merged(runs: list[dict] | None) -> list[tuple[int, int]]:
@@ -495,23 +502,25 @@ def within_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[in
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """documents with repeated bytes taken out of text (whole characters only); null texts stay null. Other columns stay as they are."""
+    """documents with repeated bytes taken out of text (whole characters only); null texts stay null. Other columns, whatever their names, stay as they are."""
+    rows, at = numbered(documents)
+    text, id_ = F.col(at["text"]), F.col(at["doc_id"])
     runs = repeated_runs(keyed(documents), length)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = documents.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_k2": F.xxhash64(text)}).join(runs.withColumnsRenamed({"k1": "_k1", "k2": "_k2", "runs": "_runs"}), ["_k1", "_k2"], "left").select(*(F.col(f"`{c}`") for c in documents.columns), "_runs")
+    keys = {"k1": F.coalesce(id_.cast("long"), F.lit(NO_ID)), "k2": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))}
+    joined = rows.withColumns(keys).join(runs, ["k1", "k2"], "left").select(*at.values(), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.schema.get_field_index("text")
+            place = batch.schema.get_field_index(at["text"])
             out = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist(), strict=True):
+            for text, runs in zip(batch.column(place).to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 if text and runs:
                     raw = text.encode()
                     text = without(raw, within_characters(raw, merged(runs))).decode()
                 out.append(text)
-            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.column(place).type)).drop_columns(["_runs"])
+            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.column(place).type)).drop_columns(["runs"])
 
-    return joined.mapInArrow(run, documents.schema)
+    return joined.mapInArrow(run, rows.schema).toDF(*documents.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,4 +540,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffix_dedup": op1}
-ORACLES: dict[str, str] = {}
+#: All strings of 400 bytes, two hexadecimal digits a byte; texts are cut into overlapping parts first, as substr() walks a string from its start.
+ORACLES = {
+    "op1_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT r, doc_id, h, length(h) // 2 AS n_bytes FROM d),
+c AS (SELECT r, j, substr(h, 4000 * j + 1, 4798) AS h, least(2000, n_bytes - 399 - 2000 * j) AS k FROM (SELECT r, h, n_bytes, unnest(range(0, (n_bytes - 400) // 2000 + 1)) AS j FROM n WHERE n_bytes >= 400)),
+w AS (SELECT r, 2000 * j + i AS i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, j, h, unnest(range(0, k)) AS i FROM c)),
+t AS (SELECT r, i FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+s AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM t),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM s),
+runs AS (SELECT r, k, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, k),
+cuts AS (SELECT r, 0 AS p, coalesce(min(a), any_value(n_bytes)) AS q, any_value(n_bytes) AS n_bytes FROM n LEFT JOIN runs USING (r) GROUP BY r
+ UNION ALL SELECT r, b, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), n_bytes), n_bytes FROM runs JOIN n USING (r)),
+kept AS (SELECT r, string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS h FROM cuts JOIN n USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT n.doc_id, n.n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM n JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
+}
