@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +54,16 @@ def last_segment(link: Column) -> Column:
     return F.element_at(F.split(path(link), "/"), -1)
 
 
-def hyperlink(link: Column, artefacts: str = "artefacts") -> Column:
-    return F.when(loader(link) == "pdf", F.concat(F.lit(f"![]({artefacts}/"), last_segment(link), F.lit(")"))).otherwise(link)
+def absolute(path: Column, base: str | None = None) -> Column:
+    """A path from the root: relative ones start at base (the driver's folder); empty and `.` parts go, `..` stays."""
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit((base or os.getcwd()).rstrip("/") + "/"), path))
+    return F.concat(F.lit("/"), F.array_join(F.filter(F.split(full, "/"), lambda part: ~part.isin("", ".")), "/"))
+
+
+def hyperlink(link: Column, artefacts: str = "artefacts", base: str | None = None) -> Column:
+    """What a note shows for its content: the saved PDF, the page's link, or the text's absolute path."""
+    kind = loader(link)
+    return F.when(kind == "pdf", F.concat(F.lit(f"![]({artefacts}/"), last_segment(link), F.lit(")"))).when(kind == "text", absolute(link, base)).otherwise(link)
 
 
 def note_name(name: Column) -> Column:

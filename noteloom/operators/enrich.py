@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -10,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import keep_valid
-from ..schemas import TAGS, TOPIC_CATEGORIES
+from ..schemas import TAGS, TOPIC_CATEGORIES, Extraction
+from ..sources.readers import load_prompt
 
 
 class Client(Protocol):
@@ -37,13 +40,49 @@ class Stub:
         return "\n".join(f"- {x}" for x in links.split("\n")[:5]) if links else "no links"
 
 
+def filled(prompt: str, values: dict[str, str]) -> str:
+    """Each {name} of the prompt that has a value gives way to it, once: what a value contains is not looked at again."""
+    return re.sub(r"\{(\w+)\}", lambda m: values.get(m[1], m[0]), prompt)
+
+
+class Prompted:
+    """A client that renders the prompts and hands them to complete(prompt), which gives a model's answer; structured answers are JSON."""
+
+    def __init__(self, complete: Callable[[str], str], directory: str | None = None, settings: Extraction | None = None):
+        settings = settings or Extraction()
+        self.complete = complete
+        self.prompts = {name: load_prompt(f"{name}.txt", directory) for name in ("summary", "description", "topics", "links", "resolution")}
+        self.values = {"tags": ", ".join(settings.tags), "content_types": ", ".join(settings.content_types), "topic_categories": ", ".join(settings.topic_categories)}
+
+    def ask(self, name: str, **values: str) -> str:
+        return self.complete(filled(self.prompts[name], self.values | values))
+
+    def summary(self, content: str) -> str:
+        return self.ask("summary", content=content)
+
+    def description(self, content: str) -> dict:
+        return json.loads(self.ask("description", content=content))
+
+    def topics(self, content: str) -> list[dict]:
+        return json.loads(self.ask("topics", content=content))
+
+    def links(self, url: str, content: str, links: str) -> str:
+        return self.ask("links", url=url, content=content, links=links)
+
+    def judge(self, new: dict, stored: dict) -> dict | None:
+        """The merged topic, or None: merge without a topic counts as no merge."""
+        pairs = {f"{k}_{i}": t.get(k) or "" for i, t in ((1, new), (2, stored)) for k in ("type", "name", "description")}
+        answer = json.loads(self.ask("resolution", **pairs))
+        return answer.get("topic") if answer.get("merge_topic") else None
+
+
 OUT = "summary string, description struct<title:string,content_type:string,tags:array<struct<name:string>>>, topics array<struct<type:string,name:string,description:string>>, links string"
 
 
-def enrich(contents: DataFrame, client: Callable[[], Client] = Stub, tags: list[str] = TAGS, categories: list[str] = TOPIC_CATEGORIES) -> DataFrame:
+def enrich(contents: DataFrame, client: Callable[[], Client] = Stub, tags: list[str] = TAGS, categories: list[str] = TOPIC_CATEGORIES, most_topics: int | None = None) -> DataFrame:
     """contents (link, loader, content, content_links, ...) with summary, description, topics, links, n_bad_tags, n_bad_topics.
 
-    One client a task. Links are asked for web pages only; write the result before it is used twice, as each use asks anew.
+    One client a task. most_topics keeps the first so many valid topics; by default all, as the prompt alone asks for five. Links are asked for web pages only; write the result before it is used twice, as each use asks anew.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contents.schema) + ", " + OUT
 
@@ -57,4 +96,6 @@ def enrich(contents: DataFrame, client: Callable[[], Client] = Stub, tags: list[
     asked = contents.mapInPandas(run, schema)
     good_tags, bad_tags = keep_valid(F.col("description.tags"), tags)
     good_topics, bad_topics = keep_valid(F.col("topics"), categories, "type")
+    if most_topics is not None:
+        good_topics = F.slice(good_topics, 1, most_topics)
     return asked.withColumns({"n_bad_tags": bad_tags, "n_bad_topics": bad_topics, "description": F.col("description").withField("tags", good_tags), "topics": good_topics})

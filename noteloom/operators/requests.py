@@ -26,6 +26,11 @@ def validate(raw: DataFrame) -> DataFrame:
     return typed.withColumn("reason", reason)
 
 
+def from_offset(requests: DataFrame, start: int, seq: str = "seq") -> DataFrame:
+    """Requests from a place in the list on: by their number, as a DataFrame has no order."""
+    return requests.where(F.col(seq) >= start)
+
+
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.where("reason is null").drop("reason"), validated.where("reason is not null")
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime
 import shutil
-from collections.abc import Iterator
+import subprocess
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -22,6 +23,11 @@ def write_failures(failed: DataFrame, path: str) -> bool:
     return True
 
 
+def with_type(notes: DataFrame) -> DataFrame:
+    """Front matter of content notes names their type."""
+    return notes.withColumn("type", F.lit("Content"))
+
+
 def snapshot(content_notes: DataFrame) -> DataFrame:
     """Front matter of content notes without type, tags and body: what a batch can read again."""
     return content_notes.drop("type", "content_type", "title", "tags", "body")
@@ -51,12 +57,15 @@ def export_notes(notes: DataFrame, vault: str, directory: str, kind: str, name:
 
 
 def write_artefacts(files: DataFrame, vault: str, directory: str = "artefacts") -> int:
-    """files (name, content binary) as files."""
+    """files (name, content binary) as files of that folder; of a name that is a path only the last part counts, and what names no file is refused."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                file = Path(vault) / directory / r.name
+                name = r.name.replace("\\", "/").rsplit("/", 1)[-1]
+                if name in {"", ".", ".."}:
+                    raise ValueError(f"no file name: {r.name!r}")
+                file = Path(vault) / directory / name
                 file.parent.mkdir(parents=True, exist_ok=True)
                 file.write_bytes(r.content)
             yield pd.DataFrame({"n": [len(frame)]})
@@ -64,6 +73,26 @@ def write_artefacts(files: DataFrame, vault: str, directory: str = "artefacts")
     return files.select("name", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_text(rows: DataFrame, column: str, path: str) -> None:
+    """A line for each row."""
+    rows.select(column).write.mode("overwrite").text(path)
+
+
+def synced(vault: str, work: Callable[[], object], git: Callable[[list[str]], object] | None = None) -> object:
+    """work between a pull and an add, commit and push of the vault's repository, and the time of the update; what git answers is not looked at."""
+    run = git or (lambda arguments: subprocess.run(["git", "-C", vault, *arguments], check=False))
+    run(["pull"])
+    result = work()
+    write_status(vault)
+    for arguments in (["add", "."], ["commit", "-m", "Update of the vault"], ["push"]):
+        run(arguments)
+    return result
+
+
 def write_status(vault: str) -> None:
     (Path(vault) / "status.md").write_text(f"Last update on : {datetime.datetime.now().isoformat()}")
 

@@ -49,3 +49,8 @@ def last_writes(df: DataFrame, key: list[str], order: list[str], existing: DataF
     """Overwrite: of each key the last row; existing rows of other keys stay."""
     last = df.groupBy(*key).agg(F.max(F.struct(*order, *[c for c in df.columns if c not in {*order, *key}])).alias("_r")).select(*key, "_r.*").select(df.columns)
     return last if existing is None else existing.join(last.select(*key), key, "left_anti").unionByName(last)
+
+
+def known_only(df: DataFrame, key: str, allowed: DataFrame, name: str | None = None) -> DataFrame:
+    """Rows whose key is in a table of allowed values: an enumeration too long for a list of literals."""
+    return df.join(allowed.select(F.col(name or key).alias(key)), key, "left_semi")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import windows
 from ..operators.enrich import enrich
-from ..operators.requests import validate
+from ..operators.requests import from_offset, validate
 from ..operators.resolve import resolve, rewrite_links, similar_names
 from ..operators.sinks import snapshot
 from ..sources import readers
+from .ingest import ingest_batch
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,12 +25,14 @@ LINKS = """CASE CAST(page_id % 7 AS INT) WHEN 0 THEN url WHEN 1 THEN concat('htt
  WHEN 3 THEN concat('https://www.arxiv.org/pdf/', page_id) WHEN 4 THEN concat('../data/', page_id, '.txt') WHEN 5 THEN concat('https://x.org/', page_id, '.PDF') ELSE concat('ftp://x.org/', page_id, '.pdf') END"""
 HOSTS = """CASE CAST(page_id % 5 AS INT) WHEN 0 THEN concat('https://medium.com/a/', page_id) WHEN 1 THEN concat('https://www.medium.com/a/', page_id) WHEN 2 THEN concat('https://TowardsDataScience.com/', page_id)
  WHEN 3 THEN concat('notes/medium.com/', page_id) ELSE url END"""
+#: Pages with anchors of all kinds: with http in small letters, which alone counts, and not.
+LINKED = """concat(html, '<p><a href="https://x.org/', page_id, '">x</a> <a href="httpfoo">y</a> <a href="HTTP://z.org">z</a>', CASE WHEN page_id % 2 = 0 THEN ' <a href="http://even.org">e</a>' ELSE '' END, '</p>')"""
 BODY = "concat('[[topics/segment/', c_mktsegment, ']] and [[topics/nation/', c_nationkey, ']] and [[topics/segment/', c_mktsegment, ']]')"
 
 
 def route_loader(spark: SparkSession, d: str) -> DataFrame:
     links = _t(spark, d, "pages").select("page_id", F.expr(LINKS).alias("link"))
-    return links.select("page_id", "link", C.loader(F.col("link")).alias("loader"), C.hyperlink(F.col("link")).alias("hyperlink"))
+    return links.select("page_id", "link", C.loader(F.col("link")).alias("loader"), C.hyperlink(F.col("link"), base="/home/notes/").alias("hyperlink"))
 
 
 def medium_redirect(spark: SparkSession, d: str) -> DataFrame:
@@ -35,16 +40,17 @@ def medium_redirect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchor_links(spark: SparkSession, d: str) -> DataFrame:
-    found = _t(spark, d, "pages").select("page_id", F.posexplode(readers.anchor_hrefs(F.col("html"))).alias("pos", "href"))
+    found = _t(spark, d, "pages").select("page_id", F.posexplode(readers.anchor_hrefs(F.expr(LINKED))).alias("pos", "href"))
     return found.select("page_id", "pos", "href", F.col("href").startswith("http").alias("is_http"))
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pages").select("page_id", readers.html_text(F.col("html")).alias("content"))
+    pages = readers.extract_pages(_t(spark, d, "pages").select("page_id", "html")).withColumn("plain", readers.html_text(F.col("html")))
+    return pages.select("page_id", "content", (F.col("plain") == F.col("content")).alias("patterns_agree"))
 
 
 def page_extract(spark: SparkSession, d: str) -> DataFrame:
-    pages = readers.extract_pages(_t(spark, d, "pages").select("page_id", "html"))
+    pages = readers.extract_pages(_t(spark, d, "pages").select("page_id", F.expr(LINKED).alias("html")))
     return pages.select("page_id", F.size("anchors").cast("long").alias("n_anchors"), F.size("content_links").cast("long").alias("n_http"))
 
 
@@ -101,7 +107,11 @@ def edges_backlinks(spark: SparkSession, d: str) -> DataFrame:
 
 def link_replace(spark: SparkSession, d: str) -> DataFrame:
     notes = _t(spark, d, "customer").select(F.lit("Customer").alias("content_type"), F.col("c_name").alias("title"), F.expr(BODY).alias("body"))
-    merges = _t(spark, d, "region").where("r_regionkey = 0").select(F.lit("segment").alias("merged_type"), F.lit("BUILDING").alias("merged_name"), F.lit("Concept").alias("type"), F.lit("House/Home").alias("name"), F.lit(0).alias("topic_idx"))
+    region = _t(spark, d, "region").where("r_regionkey < 3")
+    merges = region.select(
+        F.lit("segment").alias("merged_type"), F.expr("element_at(array('BUILDING', 'MACHINERY', 'FURNITURE'), r_regionkey + 1)").alias("merged_name"), F.lit("Concept").alias("type"),
+        F.expr("element_at(array('House/Home', 'Tool', 'Chair'), r_regionkey + 1)").alias("name"), F.col("r_regionkey").cast("int").alias("topic_idx"),
+    )
     return rewrite_links(notes, merges).select("title", "body")
 
 
@@ -122,7 +132,7 @@ def snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offset_slice(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "orders").where("o_orderkey >= 500").select("o_orderkey", "o_custkey")
+    return from_offset(_t(spark, d, "orders"), 500, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 def failed_split(spark: SparkSession, d: str) -> DataFrame:
@@ -150,20 +160,63 @@ def resolved_topics(spark: SparkSession, d: str) -> DataFrame:
         return lambda new, old: {"type": old["type"], "name": old["name"], "description": new["description"]} if new["name"][:3] == old["name"][:3] else None
 
     parts = _t(spark, d, "part")
-    topics = parts.where("p_partkey % 2 = 1").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("names")).select(F.xxhash64("p_brand").alias("content_seq"), F.posexplode("names").alias("topic_idx", "name"))
+    topics = parts.where("p_partkey % 2 = 1").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("names")).select(F.substring("p_brand", 7, 10).cast("long").alias("content_seq"), F.posexplode("names").alias("topic_idx", "name"))
     notes = parts.where("p_partkey % 2 = 0").select(F.lit("Concept").alias("type"), F.col("p_name").alias("name"), F.lit("stored").alias("description")).distinct()
     return resolve(topics.select("content_seq", "topic_idx", F.lit("Concept").alias("type"), "name", F.lit("new").alias("description")), notes, judge)
 
 
+def pdf_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as PDFs whose pages are their lines; every tenth can't be read."""
+
+    def extract(raw: bytes) -> list[str]:
+        if raw.startswith(b"broken"):
+            raise ValueError("no PDF")
+        return raw.decode().split("\n")
+
+    body = F.when(F.col("doc_id") % 10 == 7, F.lit("broken")).otherwise(F.coalesce("text", F.lit("")))
+    files = _t(spark, d, "documents").select("doc_id", F.lit("pdf").alias("loader"), F.encode(body, "UTF-8").alias("body"))
+    read, unread = readers.load_contents(files, extract, 200.0)
+    return read.select("doc_id", "content", F.col("error").alias("reason")).unionByName(unread.select("doc_id", F.lit(None).cast("string").alias("content"), F.col("error").alias("reason")))
+
+
+def ingested_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A whole batch: pages that answer or fail, the stub's notes, stored topics that the judge merges or not."""
+    day = "2024-09-04"
+    link = F.concat(F.lit("https://x.org/p"), F.col("page_id").cast("string"))
+    raw = _t(spark, d, "pages").select(
+        F.col("page_id").cast("int").alias("seq"), link.alias("link"), F.when(F.col("page_id") % 11 == 5, "bad").otherwise(day).alias("upload_date"), F.lit(None).cast("string").alias("already_read"), F.lit("2").alias("read_priority"), F.lit(None).cast("string").alias("source"),
+    )
+    topics = spark.createDataFrame([("Concept", "Numbers", "2020-01-01", "old")], "type string, name string, date string, description string")
+    notes = spark.createDataFrame([("Blog post", "kept", "l", "2020-01-01", False, 1, None, None, "see [[topics/Concept/Numbers]]")], "content_type string, title string, link string, upload_date string, already_read boolean, read_priority int, source string, tags array<string>, body string")
+
+    def web():
+        def get(link: str) -> tuple[int, bytes]:
+            number = int(link.rsplit("p", 1)[1])
+            return (404, b"") if number % 10 == 3 else (200, f"<h1>Number {number}</h1>\n<p>Pages of <a href='http://y.org/{number}'>Python</a></p>".encode())
+
+        return get
+
+    def judge():
+        return lambda new, old: {"type": "Library", "name": "Counting", "description": "merged"} if (new["name"], old["name"]) == ("Number", "Numbers") else None
+
+    new_topics, contents, failed = ingest_batch(raw, topics, notes, web, judge)
+    rows = [
+        new_topics.select(F.lit("topic").alias("kind"), F.concat_ws("/", "type", "name").alias("name"), F.concat_ws(" ", "date", "description").alias("value")),
+        contents.select(F.lit("content").alias("kind"), F.col("title").alias("name"), F.concat_ws("|", "link", "upload_date", F.array_join("tags", ","), "body").alias("value")),
+        failed.select(F.lit("failed").alias("kind"), F.col("link").alias("name"), F.col("reason").alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def tags_known(spark: SparkSession, d: str) -> DataFrame:
     """Membership in a vocabulary as a semi-join: the enumeration is a table."""
-    allowed = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey")).where("c_nationkey % 2 = 0")
-    return _t(spark, d, "customer").join(allowed, "c_nationkey", "left_semi").select("c_custkey", "c_nationkey")
+    allowed = _t(spark, d, "nation").where("n_nationkey % 2 = 0")
+    return windows.known_only(_t(spark, d, "customer"), "c_nationkey", allowed, "n_nationkey").select("c_custkey", "c_nationkey")
 
 
 QUERIES = {f.__name__: f for f in (
     route_loader, medium_redirect, anchor_links, html_text, page_extract, prefix_cut, word_counts, forward_fill, topic_candidates, best_candidate, enum_filter, insert_if_absent, last_write_wins,
-    edges_backlinks, link_replace, note_body, tag_normalise, snapshot_rows, offset_slice, failed_split, validated_requests, enriched_stub, resolved_topics, tags_known,
+    edges_backlinks, link_replace, note_body, tag_normalise, snapshot_rows, offset_slice, failed_split, validated_requests, enriched_stub, resolved_topics, tags_known, pdf_cut, ingested_pages,
 )}
 
 _LOADER = """CASE WHEN NOT regexp_matches(link, '^https?://[^/?#]') THEN 'text' WHEN regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1) LIKE '%.pdf'
@@ -173,13 +226,16 @@ _PAIRS = """names AS (SELECT DISTINCT p_name FROM part), pairs AS (SELECT a.p_na
 
 ORACLES = {
     "route_loader": f"""WITH l AS (SELECT page_id, {LINKS} AS link FROM pages), r AS (SELECT page_id, link, {_LOADER} AS loader FROM l)
-SELECT page_id, link, loader, CASE WHEN loader = 'pdf' THEN '![](artefacts/' || regexp_extract(regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) || ')' ELSE link END AS hyperlink FROM r""",
+SELECT page_id, link, loader, CASE WHEN loader = 'pdf' THEN '![](artefacts/' || regexp_extract(regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) || ')'
+ WHEN loader = 'text' THEN regexp_replace('/home/notes/' || link, '/+', '/', 'g') ELSE link END AS hyperlink FROM r""",
     "medium_redirect": f"""WITH l AS (SELECT page_id, {HOSTS} AS link FROM pages)
 SELECT page_id, CASE WHEN lower(regexp_extract(link, '^https?://([^/?#]*)', 1)) IN ('medium.com', 'towardsdatascience.com') THEN 'https://readmedium.com/' || link ELSE link END AS link FROM l""",
-    "anchor_links": """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages), e AS (SELECT page_id, unnest(h) AS href, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS pos FROM a)
+    "anchor_links": f"""WITH a AS (SELECT page_id, regexp_extract_all({LINKED}, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages), e AS (SELECT page_id, unnest(h) AS href, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS pos FROM a)
 SELECT page_id, pos, href, starts_with(href, 'http') AS is_http FROM e""",
-    "html_text": """SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'gs') AS content FROM pages""",
-    "page_extract": """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages)
+    "html_text": """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'gs') AS plain FROM pages),
+c AS (SELECT page_id, plain, regexp_replace(replace(replace(replace(plain, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g') AS content FROM p)
+SELECT page_id, content, plain = content AS patterns_agree FROM c""",
+    "page_extract": f"""WITH a AS (SELECT page_id, regexp_extract_all({LINKED}, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages)
 SELECT page_id, CAST(len(h) AS BIGINT) AS n_anchors, CAST(len(list_filter(h, lambda x: starts_with(x, 'http'))) AS BIGINT) AS n_http FROM a""",
     "prefix_cut": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), e AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM l),
 r AS (SELECT doc_id, i, t, len(string_split(t, ' ')) AS w, sum(len(string_split(t, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM e)
@@ -194,7 +250,8 @@ SELECT key, doc_id, lang FROM k WHERE n = 1 AND key NOT IN (SELECT md5(text) FRO
     "last_write_wins": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
     "edges_backlinks": f"""WITH n AS (SELECT c_custkey, {BODY} AS body FROM customer), e AS (SELECT c_custkey, unnest(regexp_extract_all(body, '\\[\\[([^\\]|]+)\\]\\]', 1)) AS target FROM n)
 SELECT target, count(*) AS n_links, count(DISTINCT c_custkey) AS n_notes FROM e GROUP BY target""",
-    "link_replace": f"SELECT c_name AS title, replace({BODY}, '[[topics/segment/BUILDING]]', '[[topics/Concept/House Home]]') AS body FROM customer",
+    "link_replace": f"""SELECT c_name AS title, replace(replace(replace({BODY}, '[[topics/segment/BUILDING]]', '[[topics/Concept/House Home]]'), '[[topics/segment/MACHINERY]]', '[[topics/Concept/Tool]]'),
+ '[[topics/segment/FURNITURE]]', '[[topics/Concept/Chair]]') AS body FROM customer""",
     "note_body": """SELECT c_custkey, c_name || chr(10) || '## Summary' || chr(10) || chr(10) || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '## Links' || chr(10) || chr(10) || '- http://x.org/' || c_custkey ELSE '' END
  || chr(10) || '## Topics' || chr(10) || chr(10) || '- [[topics/Concept/' || c_mktsegment || ']]' || chr(10) || '- [[topics/Platform/n ' || c_nationkey || ']]' || chr(10) AS body FROM customer""",
     "tag_normalise": "SELECT p_partkey, replace(p_name, ' ', '_') || ',' || replace(p_type, ' ', '_') AS tags FROM part",
@@ -204,4 +261,28 @@ SELECT target, count(*) AS n_links, count(DISTINCT c_custkey) AS n_notes FROM e
     "validated_requests": """SELECT page_id, CASE WHEN page_id % 5 = 3 THEN 'path' ELSE 'url' END AS link_kind,
  CASE WHEN page_id % 4 = 1 THEN 'upload_date' WHEN page_id % 3 = 1 THEN 'already_read' WHEN page_id % 8 > 5 THEN 'read_priority' END AS reason FROM pages""",
     "tags_known": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0)",
+    "enriched_stub": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS link, coalesce(text, '') AS t FROM documents),
+w AS (SELECT link, t, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS w, string_split(regexp_replace(t, '^\\s+', ''), chr(10))[1] AS first FROM d)
+SELECT link, array_to_string(w[:30], ' ') AS summary, CASE WHEN len(w) = 0 THEN 'untitled' ELSE substr(CASE WHEN len(string_split(trim(t), chr(10))) = 1 THEN regexp_replace(first, '\\s+$', '') ELSE first END, 1, 50) END AS title,
+ CAST(least(2, n) AS INTEGER) AS n_topics, 1 AS n_bad_tags, CAST(greatest(0, least(3, n) - 2) AS INTEGER) AS n_bad_topics
+FROM (SELECT *, len(list_distinct(list_filter(w, lambda x: regexp_matches(x, '^\\p{Lu}\\p{L}*$')))) AS n FROM w)""",
+    "resolved_topics": """WITH RECURSIVE n AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS BIGINT) AS content_seq, p_name AS name FROM part WHERE p_partkey % 2 = 1),
+t AS (SELECT content_seq, CAST(row_number() OVER (PARTITION BY content_seq ORDER BY name) - 1 AS INTEGER) AS topic_idx, name FROM n),
+o AS (SELECT DISTINCT p_name AS old FROM part WHERE p_partkey % 2 = 0),
+c AS (SELECT content_seq, topic_idx, name, coalesce(list(old ORDER BY jaro_similarity(name, old) DESC, old) FILTER (old IS NOT NULL), []) AS olds
+ FROM t LEFT JOIN o ON jaro_similarity(name, old) > 0.75 AND substr(name, 1, 3) = substr(old, 1, 3) GROUP BY content_seq, topic_idx, name),
+r AS (SELECT content_seq, -1 AS topic_idx, NULL::VARCHAR AS name, NULL::VARCHAR AS merged, []::VARCHAR[] AS gone FROM (SELECT DISTINCT content_seq FROM c)
+ UNION ALL SELECT c.content_seq, c.topic_idx, c.name, list_filter(olds, lambda x: NOT list_contains(gone, x))[1],
+ CASE WHEN len(list_filter(olds, lambda x: NOT list_contains(gone, x))) = 0 THEN gone ELSE list_append(gone, list_filter(olds, lambda x: NOT list_contains(gone, x))[1]) END
+ FROM r JOIN c ON c.content_seq = r.content_seq AND c.topic_idx = r.topic_idx + 1)
+SELECT content_seq, topic_idx, 'Concept' AS type, coalesce(merged, name) AS name, 'new' AS description, CASE WHEN merged IS NOT NULL THEN 'Concept' END AS merged_type, merged AS merged_name FROM r WHERE topic_idx >= 0""",
+    "pdf_cut": """WITH l AS (SELECT doc_id, string_split(CASE WHEN doc_id % 10 = 7 THEN 'broken' ELSE coalesce(text, '') END, chr(10)) AS p FROM documents), e AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM l),
+r AS (SELECT doc_id, i, t, sum(len(string_split(t, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM e)
+SELECT doc_id, CASE WHEN doc_id % 10 <> 7 THEN coalesce(string_agg(t, '' ORDER BY i) FILTER (s <= 200), '') END AS content, CASE WHEN doc_id % 10 = 7 THEN 'ValueError: no PDF' END AS reason FROM r GROUP BY doc_id""",
+    "ingested_pages": """WITH p AS (SELECT page_id AS n, 'https://x.org/p' || page_id AS link FROM pages), g AS (SELECT * FROM p WHERE n % 11 <> 5 AND n % 10 <> 3), f AS (SELECT min(n) AS n FROM g)
+SELECT 'failed' AS kind, link AS name, CASE WHEN n % 11 = 5 THEN 'upload_date' ELSE 'status 404' END AS value FROM p WHERE n % 11 = 5 OR n % 10 = 3
+UNION ALL SELECT 'content', 'kept', 'l|2020-01-01|see [[topics/Library/Counting]]'
+UNION ALL SELECT 'content', 'Number ' || n, link || '|2024-09-04|Python|' || link || chr(10) || '## Summary' || chr(10) || chr(10) || 'Number ' || n || ' Pages of Python' || chr(10) || '## Links' || chr(10) || chr(10)
+ || '- <a href=' || chr(39) || 'http://y.org/' || n || chr(39) || '>Python</a>' || chr(10) || '## Topics' || chr(10) || chr(10) || '- [[topics/Library/Counting]]' || chr(10) || '- [[topics/Concept/Python]]' || chr(10) FROM g
+UNION ALL SELECT 'topic', 'Library/Counting', '2024-09-04 merged' FROM f UNION ALL SELECT 'topic', 'Concept/Python', '2024-09-04 about Python' FROM f""",
 }

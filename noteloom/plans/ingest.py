@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..operators.enrich import Client, Stub, enrich
 from ..operators.requests import split_valid, validate
 from ..operators.resolve import Judge, drop_merged, resolve, rewrite_links, topic_rows
 from ..operators.sinks import write_artefacts
+from ..operators.staging import stored
 from ..operators.windows import first_writes, last_writes
 from ..schemas import Model
 from ..sources.readers import fetch, load_contents, split_fetched
@@ -19,27 +21,28 @@ from ..sources.readers import fetch, load_contents, split_fetched
 
 def ingest_batch(
     raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub,
-    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit,
+    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit, base: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """raw requests (seq, ...): new topic notes, new content notes, and failures with their reason.
 
-    All contents of the batch meet the notes as they were before it; the sequential order of contents is the
-    caller's to keep, one batch after the other, where later contents must see what earlier ones wrote.
+    All contents of the batch meet the notes as they were before it; see ingest_in_order for the other way. Paths of
+    texts are shown from base, the driver's folder if not given.
     Web pages are parsed, texts taken whole, and of PDFs, whose pages extract gives, the first of at most token_limit / 2
-    words in all; without extract they are failures. With a vault the PDFs are saved there at once, and what was fetched is kept.
+    words in all; without extract they are failures. With a vault the PDFs are saved there. Each page is fetched once, each
+    model and judge asked once: what they answer is written, and all that follows reads it there.
     """
     valid, invalid = split_valid(validate(raw))
-    fetched = fetch(valid.withColumn("loader", loader(F.col("link"))), get)
-    loaded, unloaded = split_fetched(fetched if vault is None else fetched.persist())
+    fetched = stored(fetch(valid.withColumn("loader", loader(F.col("link"))), get), "fetched")
+    loaded, unloaded = split_fetched(fetched)
     if vault is not None:
         write_artefacts(loaded.where("loader = 'pdf'").select(last_segment(F.col("link")).alias("name"), F.col("body").alias("content")), vault)
     contents, unread = load_contents(loaded, extract, token_limit / 2)
-    done = enrich(contents.drop("body", "status", "error"), client).withColumn("content_seq", F.col("seq").cast("long"))
+    done = stored(enrich(contents.drop("body", "status", "error"), client).withColumn("content_seq", F.col("seq").cast("long")), "enriched")
     topics = done.select("content_seq", F.posexplode("topics").alias("topic_idx", "t")).select("content_seq", "topic_idx", "t.type", "t.name", "t.description")
-    resolved = resolve(topics, topic_notes, judge)
+    resolved = stored(resolve(topics, topic_notes, judge), "resolved")
     new_topics = first_writes(topic_rows(resolved, done.select("content_seq", "upload_date")), ["type", "name"], ["content_seq", "topic_idx"], drop_merged(topic_notes, resolved)).select("type", "name", "date", "description")
     by_content = resolved.groupBy("content_seq").agg(F.array_sort(F.collect_list(F.struct("topic_idx", "type", "name"))).alias("resolved"))
-    body = note_body(hyperlink(F.col("link")), F.col("summary"), F.col("links"), F.coalesce("resolved", F.array().cast("array<struct<topic_idx:int,type:string,name:string>>")))
+    body = note_body(hyperlink(F.col("link"), base=base), F.col("summary"), F.col("links"), F.coalesce("resolved", F.array().cast("array<struct<topic_idx:int,type:string,name:string>>")))
     notes = done.join(by_content, "content_seq", "left").select(
         "content_seq", F.col("description.content_type").alias("content_type"), note_name(F.col("description.title")).alias("title"), "link", F.date_format("upload_date", "yyyy-MM-dd").alias("upload_date"),
         "already_read", "read_priority", "source", normalise_tags(F.col("description.tags.name")).alias("tags"), body.alias("body"),
@@ -50,3 +53,17 @@ def ingest_batch(
     failed = invalid.select("seq", "link", "reason").unionByName(unloaded.select("seq", "link", F.coalesce("error", F.concat(F.lit("status "), F.col("status"))).alias("reason")))
     failed = failed.unionByName(unread.select("seq", "link", F.col("error").alias("reason")))
     return drop_merged(topic_notes, resolved).unionByName(new_topics), contents, failed
+
+
+def ingest_in_order(raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ingest_batch, but one content after the other in order of seq, so that each meets the notes that those before it wrote.
+
+    This is as slow as it sounds, a few jobs for each content: for the short lists of a day, not for a corpus.
+    """
+    failures = []
+    for row in raw.select("seq").distinct().orderBy("seq").toLocalIterator():
+        topic_notes, content_notes, failed = ingest_batch(raw.where(F.col("seq") == row.seq), topic_notes, content_notes, get, judge, **options)
+        topic_notes, content_notes = stored(topic_notes, "topics"), stored(content_notes, "contents")
+        failures.append(stored(failed, "failures"))
+    empty = raw.limit(0).select("seq", "link", F.lit("").alias("reason"))
+    return topic_notes, content_notes, reduce(DataFrame.unionByName, failures, empty)

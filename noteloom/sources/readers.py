@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.requests import from_offset
 from ..operators.windows import prefix_cut_array
 from ..schemas import RAW_REQUEST
 
@@ -21,7 +22,7 @@ def read_requests(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "array<string>")
     row = F.from_json("entry", RAW_REQUEST, {"mode": "PERMISSIVE", "primitivesAsString": "true"})
-    return raw.select(F.posexplode(entries).alias("seq", "entry")).where(F.col("seq") >= start).select("seq", row.alias("r")).select("seq", "r.*")
+    return from_offset(raw.select(F.posexplode(entries).alias("seq", "entry")), start).select("seq", row.alias("r")).select("seq", "r.*")
 
 
 def single_request(spark: SparkSession, link: str, upload_date: str, already_read: bool = False) -> DataFrame:
@@ -30,9 +31,7 @@ def single_request(spark: SparkSession, link: str, upload_date: str, already_rea
 
 def read_texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Whole text files: link, content."""
-    reader = spark.read.option("wholetext", True)
-    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    return reader.text(path).select(F.col("_metadata.file_path").alias("link"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("link"), F.col("value").alias("content"))
 
 
 def fetch(links: DataFrame, client: Callable[[], Callable[[str], tuple[int, bytes]]]) -> DataFrame:
@@ -59,6 +58,10 @@ def split_fetched(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fetched.where(good), fetched.where(~good)
 
 
+#: Tags that never have an end tag.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
 class _Page(HTMLParser):
     SILENT = {"script", "style", "template"}
 
@@ -71,7 +74,7 @@ class _Page(HTMLParser):
         self.strip = strip_classes
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.SILENT or (self.silent and tag not in {"br", "img", "hr", "meta", "link", "input"}) or self.strip & set((dict(attrs).get("class") or "").split()):
+        if tag not in VOID and (tag in self.SILENT or self.silent or self.strip & set((dict(attrs).get("class") or "").split())):
             self.silent += 1
         for _, outer in self.open:
             outer.append(self.get_starttag_text())
@@ -86,7 +89,7 @@ class _Page(HTMLParser):
         if tag == "a" and self.open:
             href, outer = self.open.pop()
             self.links[outer[1]] = (href, "".join(x for x in outer if isinstance(x, str)))
-        if self.silent and tag not in {"br", "img", "hr", "meta", "link", "input"}:
+        if self.silent and tag not in VOID:
             self.silent -= 1
 
     def handle_data(self, data):
@@ -133,14 +136,15 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", ""), r"<[^>]*>", "")
 
 
-def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """files (path, content binary): path, page, text. extract gives the pages' texts of one file."""
+def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]], first: int | None = None) -> DataFrame:
+    """files (path, content binary): path, page, text, of all pages or the first so many. extract gives the pages' texts of one file."""
 
     @F.pandas_udf("array<string>")
     def pages(content: pd.Series) -> pd.Series:
         return content.map(lambda raw: extract(bytes(raw)))
 
-    return files.select("path", F.posexplode(pages("content")).alias("page", "text"))
+    found = pages("content") if first is None else F.slice(pages("content"), 1, first)
+    return files.select("path", F.posexplode(found).alias("page", "text"))
 
 
 def pdf_texts(body: Column, extract: Callable[[bytes], list[str]] | None) -> Column:
@@ -184,8 +188,8 @@ def load_contents(loaded: DataFrame, extract: Callable[[bytes], list[str]] | Non
 
 
 def read_notes(spark: SparkSession, vault: str, directory: str) -> DataFrame:
-    """Notes of vault/directory/<type>/<name>.md: type, name, meta (front matter), body."""
-    note = spark.read.option("wholetext", True).text(f"{vault}/{directory}/*/*.md").select("value", F.col("_metadata.file_path").alias("file"))
+    """Notes of vault/directory/<type>/<name>.md: type, name, meta (front matter), body. Names with a colon are not for Hadoop's file systems."""
+    note = spark.read.text(f"{vault}/{directory}/*/*.md", wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     parts = lambda k: F.regexp_extract("value", r"(?s)^(?:---\n(.*?)\n---\s*\n?)?(.*)$", k)
 
     @F.pandas_udf("map<string,string>")
@@ -219,29 +223,46 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_config(kind: type, path: str):
-    """YAML over the dataclass's defaults; ${oc.env:NAME} is the environment's value; unknown keys and missing required ones are errors."""
-    import os
-    import re
-
+    """YAML over the dataclass's defaults, nested dataclasses too; ${oc.env:NAME} is the environment's value; unknown keys and missing required ones are errors."""
     import yaml
 
     with open(path, encoding="utf-8") as f:
-        values = yaml.safe_load(f) or {}
-    unknown = set(values) - {f.name for f in dataclasses.fields(kind)}
-    if unknown:
-        raise KeyError(f"unknown settings: {sorted(unknown)}")
-    env = lambda v: re.sub(r"\$\{oc\.env:(\w+)\}", lambda m: os.environ[m[1]], v) if isinstance(v, str) else v
-    return kind(**{k: env(v) for k, v in values.items()})
+        return _configured(kind, yaml.safe_load(f) or {}, "")
+
+
+def _configured(kind: type, values: dict, place: str):
+    import os
+    import re
+    from typing import get_type_hints
+
+    known = {f.name: f for f in dataclasses.fields(kind)}
+    if set(values) - set(known):
+        raise KeyError(f"unknown settings: {sorted(place + str(k) for k in set(values) - set(known))}")
+    kinds, found = get_type_hints(kind), {}
+    for name, f in known.items():
+        if name in values:
+            value = values[name]
+        elif f.default is not dataclasses.MISSING:
+            value = f.default
+        elif f.default_factory is not dataclasses.MISSING:
+            value = {} if dataclasses.is_dataclass(kinds[name]) else f.default_factory()
+        else:
+            raise KeyError(f"missing setting: {place}{name}")
+        if dataclasses.is_dataclass(kinds[name]) and isinstance(value, dict):
+            value = _configured(kinds[name], value, f"{place}{name}.")
+        found[name] = re.sub(r"\$\{oc\.env:(\w+)\}", lambda m: os.environ[m[1]], value) if isinstance(value, str) else value
+    return kind(**found)
 
 
 class MissingPrompt(FileNotFoundError):
     pass
 
 
-def load_prompt(directory: str, name: str) -> str:
+def load_prompt(name: str, directory: str | None = None) -> str:
+    """A prompt file's text; the package's own prompts where no directory is given."""
     from pathlib import Path
 
-    file = Path(directory) / name
+    file = Path(directory or Path(__file__).parents[1] / "prompts") / name
     if not file.exists():
-        raise MissingPrompt(f"no prompt {name} in {directory}")
+        raise MissingPrompt(f"no prompt {name} in {file.parent}")
     return file.read_text(encoding="utf-8")

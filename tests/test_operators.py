@@ -85,10 +85,10 @@ def test_batch_of_each_loader(spark, tmp_path):
             raise ValueError("no PDF")
         return raw.decode().split("|")
 
-    _, contents, failed = ingest_batch(raw, topics, notes, web, judge, extract=extract, vault=str(tmp_path), token_limit=8)
+    _, contents, failed = ingest_batch(raw, topics, notes, web, judge, extract=extract, vault=str(tmp_path), token_limit=8, base="/v")
     found = {r.link: r.body.split("\n## Topics")[0] for r in contents.collect()}
     assert {k: v.rstrip() for k, v in found.items()} == {
-        "https://x.com/p.pdf": "![](artefacts/p.pdf)\n## Summary\n\n%PDF <b>one two</b>three", "notes/t.txt": "notes/t.txt\n## Summary\n\na <b>tag</b> end", "https://x.com/h": "https://x.com/h\n## Summary\n\npage\n## Links\n\nno links",
+        "https://x.com/p.pdf": "![](artefacts/p.pdf)\n## Summary\n\n%PDF <b>one two</b>three", "notes/t.txt": "/v/notes/t.txt\n## Summary\n\na <b>tag</b> end", "https://x.com/h": "https://x.com/h\n## Summary\n\npage\n## Links\n\nno links",
     }
     assert {r.link: r.reason for r in failed.collect()} == {"https://arxiv.org/pdf/bad": "ValueError: no PDF"}
     assert {f.name: f.read_bytes() for f in (tmp_path / "artefacts").iterdir() if not f.name.startswith(".")} == {"p.pdf": bodies["https://x.com/p.pdf"], "bad": b"broken"}
