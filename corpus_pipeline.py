@@ -18,9 +18,8 @@ from pyspark.sql.window import Window
 from noteloom.llm import neardup, packing, quality, secrets, suffixes
 from noteloom.llm.common import materialize, numbered
 
-#: Strings of so many bytes that occur twice are taken out: 50 words of five bytes, the blank included, so that a passage of
-#: more words is caught unless its words are shorter on average. op1_suffix_dedup keeps its contract's 400.
-PASSAGE_BYTES = 250
+#: Strings of so many bytes that occur twice are taken out; op1_suffix_dedup keeps its contract's 400.
+PASSAGE_BYTES = suffixes.PASSAGE
 
 
 def _counted(documents: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -126,11 +127,17 @@ class Bpe:
         return b"".join(bytes(self.byte_of[c] for c in s) if all(c in self.byte_of for c in s) else s.encode() for s in strings).decode(errors="replace")
 
 
+@cache
+def own_bpe(path: str) -> Bpe:
+    """One for each worker process."""
+    return Bpe(path)
+
+
 def encode_documents(documents: DataFrame, tokenizer: str, keep_ids: bool = True) -> DataFrame:
     """documents (doc_id, text): doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256, and with keep_ids ids and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(tokenizer)
+        bpe = own_bpe(tokenizer)
         numbers: dict[str, str] = {}  # a word's ids in decimal
         strings: dict[str, str] = {}  # its decoded string
         whole = bpe.decodes_bytes

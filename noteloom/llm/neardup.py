@@ -7,13 +7,14 @@
 3. Each list's most central class (the one whose values are the commonest) is its leader; all members are compared
    with it: the union's sketch estimates the similarity, full sets then decide. Pairs within a list of n copies are
    thus n, not n squared.
-4. Lists that still span several components are looked through again. Where few members are outside
-   the main component (more in each round) they are compared with all,
-   first by odd sketches, which bound from below by how many values two sets differ and so lose no link. Else all members are compared with its smallest set L. Let x and y be linked members of different components: one of
-   them is not linked to L, so it shares too few values with L, and since y is not smaller than L, x and y must share
-   values that L lacks: at least 4/9 (|x| + |y|) less what either shares with L. Members are therefore listed anew under
-   (L, value) for the rarest of their values outside L, by the same prefix rule, and the lists so made are looked
-   through in the same way. Each such list lacks L, so this ends. No link between components is lost, whatever the
+4. Lists that still span several components are looked through again, one of those with the same members. Where at most
+   SHORT_LIST members are outside the main component they are compared with all, first by odd sketches, which bound from
+   below by how many values two sets differ and so lose no link. Else all members are compared with its smallest set L.
+   Let x and y be linked members of different components: one of them is not linked to L, so it shares too few values
+   with L, and since y is not smaller than L, x and y must share values that L lacks: at least 4/9 (|x| + |y|) less what
+   either shares with L. Members are therefore listed anew under (L, value) for the rarest of their values outside L
+   that a member outside the main component has, by the same prefix rule, and the lists so made are looked through in
+   the same way. Each such list lacks L, so this ends. No link between components is lost, whatever the
    size of a list, and no list of n members is turned into n squared pairs.
 5. Components: minimum labels with pointer jumping.
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, free_shuffles, materialize, only, table
+from .common import byte_blocks, free_shuffles, materialize, only, table, tidied
 from .words import U64, hash_words, mix
 
 K = 64
@@ -88,18 +89,18 @@ def may_link(n: Column, odd_a: Column, odd_b: Column) -> Column:
     return (100 + PERCENT) * bits <= (100 - PERCENT) * n
 
 
-def need(n: Column) -> Column:
-    """How many sketch values a set of n shingles shares with any set that is 80 % similar."""
-    return F.when(n <= 51, F.ceil(n * PERCENT / 100)).otherwise(F.lit(K // 2)).cast("int")
+def need(n: Column, k: int) -> Column:
+    """How many sketch values a set of n shingles shares with any set that is 80 % similar: certain where the union of both fits into a sketch."""
+    return F.when(n <= k * PERCENT // 100, F.ceil(n * PERCENT / 100)).otherwise(F.lit(k // 2)).cast("int")
 
 
-def sketches(documents: DataFrame, width: int) -> DataFrame:
+def sketches(documents: DataFrame, width: int, k: int) -> DataFrame:
     """documents (doc_id, text): doc_id, text_hash, n_shingles, class (of the whole set), sketch, odd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_blocks(batches):
             sets = shingle_sets(texts, width)
-            sketch = [(s[:K] ^ SIGN).view(np.int64) for s in sets]
+            sketch = [(s[:k] ^ SIGN).view(np.int64) for s in sets]
             classes = [int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
             odd = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([odd_sketch(s) for s in sets])), ODD_BITS // 64).cast(pa.list_(pa.int64()))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sketch])))
@@ -122,16 +123,16 @@ def full_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "class long, members binary")
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, k: int) -> Column:
     """Jaccard similarity as the union's sketch shows it."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, K)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
 
 
-def compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """pairs (a, b): those with an estimate of LINK_FLOOR or more, with common and joint (sizes of intersection and union)."""
     side = lambda x: classes.select(F.col("class").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= LINK_FLOOR).select("a", "b")
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b"), k) >= LINK_FLOOR).select("a", "b")
     whole = lambda x: sets.select(F.col("class").alias(x), F.col("members").alias(f"set_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +179,13 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.union(over.select(F.col("label").alias("node"), F.col("to").alias("label"))).distinct(), "labels")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
+def inverted_lists(classes: DataFrame, k: int) -> DataFrame:
     """value, class, weight (how common the class's values are): each class under its rarest values, where it is not alone."""
     pairs = classes.select("class", F.explode("sketch").alias("value"))
     # written, so that both sides of the join are shuffled for it, and Spark can split a value that many classes have
     shared = materialize(pairs.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     listed = pairs.join(shared, "value").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.sum(F.log2("df")).alias("weight"))
-    sizes = classes.select("class", F.size("sketch").alias("size"), need(F.col("n_shingles")).alias("need"))
+    sizes = classes.select("class", F.size("sketch").alias("size"), need(F.col("n_shingles"), k).alias("need"))
     room = F.size("found") - F.col("need") + 1  # values with no other class come first among the rarest
     return listed.join(sizes, "class").where(room > 0).select("class", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("f")).select(F.col("f.value").alias("value"), "class", "weight")
 
@@ -239,7 +240,7 @@ def pairs_within(short: DataFrame) -> DataFrame:
     return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
-def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """lists (key, class, weight): node, label, the components by edges and by all links between lists' members."""
     share = PERCENT / (100 + PERCENT)
     linked = 100 * F.col("common") >= PERCENT * (F.col("size") + F.col("leader_size") - F.col("common"))
@@ -268,17 +269,17 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
         room = F.size("found") - F.col("need") + 1
         listed = found.where(room > 0).select("leader", "class", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("f"))
         lists = materialize(listed.select(F.xxhash64("leader", "f.value").alias("key"), "class", "weight"), "lists")
-    rest = compared(near.distinct(), classes, sets).where(100 * F.col("common") >= PERCENT * F.col("joint"))
+    rest = compared(near.distinct(), classes, sets, k).where(100 * F.col("common") >= PERCENT * F.col("joint"))
     return joined(labels, links.union(rest.select("a", "b")))
 
 
-def linked(documents: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def linked(documents: DataFrame, width: int, k: int) -> tuple[DataFrame, DataFrame]:
     """documents (doc_id, text): their sketches, a row each, and the classes' components by their links (node, label)."""
     spark = documents.sparkSession
     documents = only(documents, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
-    rows = materialize(sketches(documents, width), "sketches")
+    rows = materialize(sketches(documents, width, k), "sketches")
     classes = materialize(rows.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd")), "classes")
-    lists = materialize(inverted_lists(classes), "lists")
+    lists = materialize(inverted_lists(classes, k), "lists")
     free_shuffles(spark)
     wanted = classes.join(lists.select("class").distinct(), "class", "left_semi").select("class", "one.doc_id", "one.text_hash")
     sets = materialize(full_sets(documents, wanted, width), "sets")
@@ -287,24 +288,33 @@ def linked(documents: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     led = materialize(lists.groupBy("value").agg(F.max(F.struct("weight", "class")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", F.col("top.class").alias("leader")), "leaders")
     members = materialize(lists.join(led, "value").select("value", "class", "leader"), "members")
     stars = members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    edges = materialize(compared(stars, classes, sets).where(100 * F.col("common") >= PERCENT * F.col("joint")).select("a", "b"), "stars")
-    return rows, across(lists.withColumnRenamed("value", "key"), classes, sets, edges)
+    edges = materialize(compared(stars, classes, sets, k).where(100 * F.col("common") >= PERCENT * F.col("joint")).select("a", "b"), "stars")
+    return rows, across(lists.withColumnRenamed("value", "key"), classes, sets, edges, k)
 
 
-def representatives(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+def representatives(documents: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     """documents (doc_id, text): doc_id and text_hash of the row with the least of each group of linked texts, and of each row with an empty set.
 
     Rows with equal doc_id are texts like any others here: only links put them into one group.
     """
-    rows, labels = linked(documents, width)
+    return tidied("representatives", lambda: least_rows(*linked(documents, width, k)))
+
+
+def least_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     placed = rows.where("n_shingles > 0").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = placed.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
     return least.union(rows.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
 
 
-def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """documents (doc_id, text): doc_id, n_shingles, component_id, kept, in one row for each of documents."""
-    rows, labels = linked(documents, width)
+def near_duplicates(documents: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
+    """documents (doc_id, text): doc_id, n_shingles, component_id, kept, in one row for each of documents.
+
+    With a k of a quarter more than the largest set, sketches are whole sets, and no link at all can be lost.
+    """
+    return tidied("near-duplicates", lambda: with_components(*linked(documents, width, k)))
+
+
+def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
     # classes that share a document are one component too
     placed = rows.where("n_shingles > 0").select("doc_id", "class").join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("doc_id", "class", F.coalesce("label", "class").alias("label"))
     repeated = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("a", "b")
@@ -325,4 +335,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_near_dedup": op3}
-ORACLES: dict[str, str] = {}
+#: All pairs of classes that share a shingle, and all that can be reached from each class.
+ORACLES = {
+    "op3_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), d AS (SELECT doc_id, s, len(s) AS n, md5(array_to_string(s, chr(10))) AS c FROM s),
+c AS (SELECT c, min(doc_id) AS least, any_value(s) AS s, any_value(n) AS n FROM d WHERE n > 0 GROUP BY c),
+x AS (SELECT c, n, unnest(s) AS x FROM c),
+p AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+m AS (SELECT r.a AS c, min(least) AS component_id FROM r JOIN c ON r.b = c.c GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM d LEFT JOIN m USING (c)
+"""
+}

@@ -1,10 +1,11 @@
 """Best-fit packing of documents' tokens into sequences, certified by lower bounds.
 
 Pieces of documents (of `capacity` tokens at most) are dealt to partitions; each packs its own by best-fit decreasing
-and computes, from dual-feasible functions, how many sequences its pieces need at least. Full sequences stay. A
-partition that uses more than its bound hands on its emptiest sequences' pieces, any other those of sequences with
-much room; these pieces meet in fewer partitions and are packed anew, round after round, until one partition packs
-the rest. Only lengths travel; a piece's tokens never do.
+and computes, from dual-feasible functions, how many sequences its pieces need at least, parts of a sequence included.
+A partition that uses no more than that is certified and keeps its sequences. Any other hands on the pieces of its
+emptiest sequences, in proportion to its gap; they meet those of other partitions and are packed anew, round after
+round, until a round leaves one partition or saves no sequence. A task never packs more than `group_pieces` at once.
+Only lengths travel; a piece's tokens never do. report() certifies the whole: sequences, lower bound, gap.
 
 Null texts count as empty; an empty text has the end id alone. Rows with equal doc_id are packed each. Ties are
 broken by doc_id and piece. An empty table gives an empty result.
@@ -14,6 +15,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -22,28 +26,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, only, table, text_blocks
-from .tokens import TextEncoder, vocabulary_path
+from .tokens import text_encoder, vocabulary_path
 
 CAPACITY = 2048
-#: Pieces that one partition packs at most, about.
+#: Pieces that one task packs at once at most.
 GROUP_PIECES = 40_000
+#: Sequences that a partition hands on for each one over its bound: enough pieces to find better partners among.
+HANDED = 8
 
 
-def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
-    """No packing of the sizes has fewer bins: the best of the dual-feasible functions u(k), U(eps) and the plain sum."""
-    if not len(sizes):
-        return 0
-    n = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
-    x = np.arange(capacity + 1, dtype=np.int64)
-    best = -(-int((n * x).sum()) // capacity)
+def bound_of_counts(n: np.ndarray, capacity: int = CAPACITY) -> Fraction:
+    """n: how many pieces have each size from 0 to capacity. No packing has fewer bins: the best of the dual-feasible functions u(k), U(eps) and the plain sum, not rounded."""
+    n, x = n.astype(object), np.arange(capacity + 1, dtype=np.int64)
+    best = Fraction(int((n * x).sum()), capacity)
     for k in range(1, 33):  # u(k): x stays where (k+1)x/C is whole, else it becomes floor((k+1)x/C) C/k; all times k
         scaled = (k + 1) * x
         value = np.where(scaled % capacity == 0, k * x, scaled // capacity * capacity)
-        best = max(best, -(-int((n * value).sum()) // (k * capacity)))
+        best = max(best, Fraction(int((n * value).sum()), k * capacity))
     count_to, sum_to = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * x)))  # over sizes below i
     eps = np.arange(1, capacity // 2 + 1)  # U(eps): above C-eps a whole bin, below eps nothing
     value = (count_to[-1] - count_to[capacity - eps + 1]) * capacity + sum_to[capacity - eps + 1] - sum_to[eps]
-    return max(best, -(-int(value.max()) // capacity))
+    return max(best, Fraction(int(value.max(initial=0)), capacity))
+
+
+def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
+    """No packing of the sizes has fewer bins."""
+    return ceil(bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity))
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,46 +78,71 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return bins, offsets, np.array(fills, np.int64)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, fan_in: int = 8) -> DataFrame:
-    """pieces (doc_id, piece, length and more columns): the same with sequence_id and offset.
+def open_bins(sizes: np.ndarray, fills: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """Which bins a partition hands on: none if their number is certified by its bound, else the emptiest, HANDED times as many as the gap."""
+    gap = len(fills) - bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity)
+    out = np.zeros(len(fills), bool)
+    out[np.argsort(fills, kind="stable")[: ceil(HANDED * gap)]] = True
+    return out
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """pieces (doc_id, piece, start, length and more columns): the same with sequence_id and offset.
 
     Each round's rows are written to the shared folder, as later rounds read what earlier ones decided.
     """
     columns = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, open boolean"
 
-    def run(round_: int, last: bool):
+    def run(round_: int):
+        def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            for frame in frames:
+                while len(frame):
+                    room = group_pieces - sum(map(len, held))
+                    held.append(frame[:room])
+                    frame = frame[room:]
+                    if sum(map(len, held)) == group_pieces:
+                        yield pd.concat(held, ignore_index=True)
+                        held = []
+            if held:
+                yield pd.concat(held, ignore_index=True)
+
         def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
-            got = [f for f in frames if len(f)]
-            if not got:
-                return
-            rows = pd.concat(got, ignore_index=True).sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-            bins, offsets, fills = best_fit_decreasing(rows["length"].to_numpy(), capacity)
-            gap = len(fills) - lower_bound(rows["length"].to_numpy(), capacity)
-            open_ = fills <= capacity - capacity // 32
-            if gap:
-                open_[np.argsort(fills, kind="stable")[: 8 * gap + 8]] = True
-            rows["sequence_id"] = (np.int64(round_) << 56) + (np.int64(TaskContext.get().partitionId()) << 32) + bins
-            rows["offset"] = offsets
-            rows["open"] = False if last else open_[bins]
-            yield rows
+            first = (np.int64(round_) << 56) + (np.int64(TaskContext.get().partitionId()) << 32)
+            for rows in chunks(frames):
+                rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+                sizes = rows["length"].to_numpy()
+                bins, offsets, fills = best_fit_decreasing(sizes, capacity)
+                yield rows.assign(sequence_id=first + bins, offset=offsets, open=open_bins(sizes, fills, capacity)[bins])
+                first += len(fills)
 
         return packed
 
-    out, rest, round_ = None, pieces, 0
-    groups = max(1, -(-pieces.count() // group_pieces))
+    out, rest, n, before, round_ = [], pieces, pieces.count(), None, 0
     while True:
+        # a task's share varies by a few roots of its size: with a tenth of room, a second chunk is rare
+        groups = -(-10 * n // (9 * group_pieces)) if n > group_pieces else 1
         # by what tells pieces apart, not round-robin: a task that runs again gets the same rows
         dealt = rest.repartition(groups, F.xxhash64("doc_id", "piece", "start", F.lit(round_))) if groups > 1 else rest.coalesce(1)
-        done = materialize(dealt.mapInPandas(run(round_, groups == 1), schema), "packing")
-        kept = done.where(~F.col("open")).drop("open")
-        out = kept if out is None else out.unionByName(kept)
-        if groups == 1:
-            return out
-        rest = done.where("open").select(columns)
-        groups, round_ = max(1, min(groups // fan_in, -(-rest.count() // group_pieces))), round_ + 1
+        done = materialize(dealt.mapInPandas(run(round_), schema), "packing")
+        # distinct sequences of this round, as each fills its offsets from 0
+        got = done.agg(F.count(F.when(F.col("offset") == 0, 1)).alias("bins"), F.count(F.when(F.col("open") & (F.col("offset") == 0), 1)).alias("open"), F.count(F.when(F.col("open"), 1)).alias("pieces")).first()
+        if groups == 1 or not got.open or (before is not None and got.bins >= before):
+            return reduce(DataFrame.unionByName, [*out, done.drop("open")])
+        out.append(done.where(~F.col("open")).drop("open"))
+        rest, n, before, round_ = done.where("open").select(columns), got.pieces, got.open, round_ + 1
+
+
+def report(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """sequences, bound (no packing of the same pieces has fewer) and gap. At most one row for each length comes to the driver."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").agg(F.count(F.lit(1))).collect():
+        counts[length] = n
+    sequences, bound = packed.where("offset = 0").count(), ceil(bound_of_counts(counts, capacity))
+    return {"sequences": sequences, "bound": bound, "gap": sequences - bound}
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -117,7 +150,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer)
+        encoder = text_encoder(tokenizer)
         for batch, texts in text_blocks(batches):
             rows: list[tuple] = []
             for number, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):

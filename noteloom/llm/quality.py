@@ -12,6 +12,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ le la les de des du et un une en que qui est pour dans par sur au ce pas plus
 der die das und ist von den mit zu ein eine nicht sich auf im dem es als auch für
 el los las y del se una por con no para su al lo como más o""".split()
 RULES = ("length", "symbols", "duplicate_lines", "repeated_words", "word_length", "capitals", "stopwords", "marks", "digits")
-ROUNDS, TOLERANCE = 25, 1e-4
+#: Expectation-maximisation goes on until no estimate moves by TOLERANCE; ROUNDS only ends what would never settle, with a warning.
+ROUNDS, TOLERANCE = 500, 1e-4
 
 
 def with_features(documents: DataFrame, prefix: str = "q_") -> DataFrame:
@@ -146,6 +148,8 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS, prefix: str = "q_v_") -> dict
         model = new
         if moved < TOLERANCE:
             break
+    else:
+        warnings.warn(f"the rules' accuracies still moved by {TOLERANCE} or more after {rounds} rounds", stacklevel=2)
     return model
 
 

@@ -20,7 +20,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only, table, text_blocks
+from .common import numbered, only, table, text_blocks
 from .tokens import vocabulary_path
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -41,10 +41,17 @@ ninja mustang michael jordan hunter killer soccer hockey george charlie andrew t
 summer winter spring autumn flower orange banana cookie computer internet server system service client database
 private public demo sample dummy placeholder your here none null true false string value insert enter xxxx todo
 redacted masked hidden undefined empty""".split()
-ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
+#: Rows of keys, each with its shift to the right, in widths of a key.
+ROWS = (("1234567890", 0.0), ("qwertyuiop", 0.5), ("asdfghjkl", 0.75), ("zxcvbnm", 1.25))
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 LEET = str.maketrans("013457$@", "oleastsa")
 DATE = re.compile(r"(?:19|20)\d{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d{2}|(?:19|20)\d{2}")
-NEXT = {row[i : i + 2] for line in ROWS for row in (line, line[::-1]) for i in range(len(line) - 1)}
+_PLACE = {c: (x + shift, y) for y, (row, shift) in enumerate(ROWS) for x, c in enumerate(row)}
+#: The direction from each key to those beside, above and below it, and from each letter to those before and after it.
+STEPS = (
+    {a + b: (x2 > x1, y2 - y1) for a, (x1, y1) in _PLACE.items() for b, (x2, y2) in _PLACE.items() if a != b and abs(x2 - x1) <= 1 and abs(y2 - y1) <= 1},
+    {line[i : i + 2]: line[0] for line in (ALPHABET, ALPHABET[::-1]) for i in range(len(line) - 1)},
+)
 SEGMENT = math.log10(2)
 #: Vocabularies in order of merges, so the commoner the earlier: English words, and words of many languages.
 VOCABULARIES = ("word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken")
@@ -99,14 +106,17 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                 i = j - period + 1
             else:
                 i += 1
-    i = 0
-    while i < n - 2:  # walks along a row of keys, or the alphabet
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in NEXT:
-            j += 1
-        if j - i >= 3:
-            spans[j].append((i, math.log10(50 * (j - i)), "walk"))
-        i = max(j - 1, i + 1)
+    for steps in STEPS:  # walks over the keys, or the alphabet; each turn has four ways to go
+        i = 0
+        while i < n - 2:
+            j, turns, before = i + 1, -1, None
+            while j < n and (way := steps.get(low[j - 1 : j + 1])) is not None:
+                turns += way != before
+                before = way
+                j += 1
+            if j - i >= 3:
+                spans[j].append((i, math.log10(50 * (j - i)) + turns * math.log10(4), "walk"))
+            i = max(j - 1, i + 1)
     for m in DATE.finditer(value):
         spans[m.end()].append((m.start(), math.log10(365 * 120 * 4 if len(m[0]) > 4 else 120), "date"))
     rank_of, longest = ranks()
@@ -179,16 +189,17 @@ def scan_documents(documents: DataFrame, guess_limit: float = GUESS_LIMIT) -> Da
 
 
 def redact_documents(documents: DataFrame, guess_limit: float = GUESS_LIMIT) -> DataFrame:
-    """documents with each secret replaced by a mark; the other columns stay as they are."""
+    """documents with each secret replaced by a mark; the other columns, whatever their names, stay as they are."""
+    rows, at = numbered(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_blocks(batches):
-            place = batch.schema.get_field_index("text")
+        for batch, texts in text_blocks(batches, at["text"]):
+            place = batch.schema.get_field_index(at["text"])
             column = batch.column(place)
             clean = pa.array([redact(t, scan(t, guess_limit)) if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], column.type)
             yield batch.set_column(place, batch.schema.field(place), clean)
 
-    return documents.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*documents.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

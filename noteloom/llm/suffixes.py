@@ -35,6 +35,8 @@ from .common import byte_blocks, free_shuffles, materialize, numbered, table, ti
 from .words import U64, mix
 
 LENGTH, GRAM = 400, 64
+#: 50 words of five bytes, the blank included: a passage of more words is caught unless its words are shorter on average.
+PASSAGE = 250
 #: Fragments of one group that a task sorts at most (3 MB at LENGTH 400); larger groups are split PARTS ways a round. It steers cost, not results.
 GROUP, PARTS = 4000, 4
 #: Fragments sorted at once (whole groups, so up to GROUP more).
@@ -524,38 +526,60 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = keyed(table(spark, sf_dir, "documents"))
-    joined = documents.join(repeated_runs(documents), ["k1", "k2"], "left").select("k1", "text", "runs")
+    """What strings of LENGTH bytes leave, as digests; besides, text: what strings of PASSAGE bytes leave, so that shorter passages can be seen to go too."""
+    rows = keyed(table(spark, sf_dir, "documents"))
+    passages = repeated_runs(rows, PASSAGE).withColumnRenamed("runs", "passages")
+    joined = rows.join(repeated_runs(rows), ["k1", "k2"], "left").join(passages, ["k1", "k2"], "left").select("k1", "text", "runs", "passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
-            rows = []
-            for k1, text, runs in zip(*(batch.column(c).to_pylist() for c in ("k1", "text", "runs")), strict=True):
+            out = []
+            for k1, text, runs, passages in zip(*(batch.column(c).to_pylist() for c in ("k1", "text", "runs", "passages")), strict=True):
                 raw, runs = text.encode(), merged(runs)
-                rows.append((None if k1 == NO_ID else k1, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept = without(raw, within_characters(raw, merged(passages))).decode() if passages else text
+                out.append((None if k1 == NO_ID else k1, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest(), kept))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 QUERIES = {"op1_suffix_dedup": op1}
-#: All strings of 400 bytes, two hexadecimal digits a byte; texts are cut into overlapping parts first, as substr() walks a string from its start.
+def runs_sql(length: int, name: str) -> str:
+    """CTEs to name (r, a, b): the maximal runs of bytes that a string of that length covers which starts twice, of the table n (r, h: text in hexadecimal digits, n_bytes).
+
+    Texts are cut into overlapping parts first, as substr() walks a string from its start.
+    """
+    return f"""
+c_{name} AS (SELECT r, j, substr(h, 4000 * j + 1, 4000 + 2 * {length} - 2) AS h, least(2000, n_bytes - {length} + 1 - 2000 * j) AS k FROM (SELECT r, h, n_bytes, unnest(range(0, (n_bytes - {length}) // 2000 + 1)) AS j FROM n WHERE n_bytes >= {length})),
+w_{name} AS (SELECT r, 2000 * j + i AS i, md5(substr(h, 2 * i + 1, 2 * {length})) AS m FROM (SELECT r, j, h, unnest(range(0, k)) AS i FROM c_{name})),
+t_{name} AS (SELECT r, i FROM w_{name} JOIN (SELECT m FROM w_{name} GROUP BY m HAVING count(*) > 1) USING (m)),
+s_{name} AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM t_{name}),
+g_{name} AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM s_{name}),
+{name} AS (SELECT r, min(i) AS a, max(i) + {length} AS b FROM g_{name} GROUP BY r, k)"""
+
+
+def kept_sql(runs: str, name: str) -> str:
+    """A CTE name (r, h): what is left of n without the runs."""
+    return f"""
+cuts_{name} AS (SELECT r, 0 AS p, coalesce(min(a), any_value(n_bytes)) AS q FROM n LEFT JOIN {runs} USING (r) GROUP BY r
+ UNION ALL SELECT r, b, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), n_bytes) FROM {runs} JOIN n USING (r)),
+{name} AS (SELECT r, string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS h FROM cuts_{name} JOIN n USING (r) GROUP BY r)"""
+
+
+#: Whether the byte at a place, counted from 0, goes on a character.
+_INSIDE = "substr(h, 2 * ({}) + 1, 1) IN ('8', '9', 'A', 'B')"
+_FIRST = f"a + CASE WHEN NOT {_INSIDE.format('a')} THEN 0 WHEN NOT {_INSIDE.format('a + 1')} THEN 1 WHEN NOT {_INSIDE.format('a + 2')} THEN 2 ELSE 3 END"
+_LAST = f"b - CASE WHEN b = n_bytes OR NOT {_INSIDE.format('b')} THEN 0 WHEN NOT {_INSIDE.format('b - 1')} THEN 1 WHEN NOT {_INSIDE.format('b - 2')} THEN 2 ELSE 3 END"
 ORACLES = {
-    "op1_suffix_dedup": r"""
+    "op1_suffix_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-n AS (SELECT r, doc_id, h, length(h) // 2 AS n_bytes FROM d),
-c AS (SELECT r, j, substr(h, 4000 * j + 1, 4798) AS h, least(2000, n_bytes - 399 - 2000 * j) AS k FROM (SELECT r, h, n_bytes, unnest(range(0, (n_bytes - 400) // 2000 + 1)) AS j FROM n WHERE n_bytes >= 400)),
-w AS (SELECT r, 2000 * j + i AS i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, j, h, unnest(range(0, k)) AS i FROM c)),
-t AS (SELECT r, i FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
-s AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM t),
-g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM s),
-runs AS (SELECT r, k, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, k),
-cuts AS (SELECT r, 0 AS p, coalesce(min(a), any_value(n_bytes)) AS q, any_value(n_bytes) AS n_bytes FROM n LEFT JOIN runs USING (r) GROUP BY r
- UNION ALL SELECT r, b, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), n_bytes), n_bytes FROM runs JOIN n USING (r)),
-kept AS (SELECT r, string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS h FROM cuts JOIN n USING (r) GROUP BY r),
+n AS (SELECT r, doc_id, h, length(h) // 2 AS n_bytes FROM d),{runs_sql(LENGTH, "runs")},{kept_sql("runs", "kept")},{runs_sql(PASSAGE, "passages")},
+whole AS (SELECT r, {_FIRST} AS a, {_LAST} AS b FROM passages JOIN n USING (r)),{kept_sql("whole", "rest")},
 sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
-SELECT n.doc_id, n.n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
-FROM n JOIN kept USING (r) LEFT JOIN sums USING (r)
+SELECT n.doc_id, n.n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256, decode(unhex(rest.h)) AS text
+FROM n JOIN kept USING (r) JOIN rest USING (r) LEFT JOIN sums USING (r)
 """
 }

@@ -1,8 +1,8 @@
 """Token-ID output: Re-Pair compressed shards of token ids, with random access to each document.
 
 A shard (one row of the written table, at most `shard_tokens` ids unless one document is longer) is compressed by
-itself: frequent pairs of neighbouring ids become nonterminals, round after round. It stores the rules, the length
-each nonterminal expands to, the shortened sequence and, for each document, its id, its place in the sequence and
+itself: frequent pairs of neighbouring ids become nonterminals, the commonest first, until none pays for its rule. It
+stores the rules, the length each nonterminal expands to, the shortened sequence and, for each document, its id, its place in the sequence and
 its token count, so that one document, or any part of it, is decoded without the rest.
 
 Pairs never reach across documents. Null texts count as empty; an empty text has the end id alone. Rows with equal
@@ -23,85 +23,137 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, only, table, text_blocks
-from .tokens import TextEncoder, vocabulary_path
+from .tokens import text_encoder, vocabulary_path
 
 MAGIC = b"RPR1"
 HEADER = struct.Struct("<4sIIIIB3x")
 END_ID = 0
+#: Ids of one shard, unless one document has more.
+SHARD_TOKENS = 1 << 18
+#: A rule takes 12 bytes in a shard, as much as six symbols of two bytes; a pair that is replaced less often gains nothing.
+MIN_COUNT = 6
+#: Pairs of about the same frequency are replaced in one round; it steers cost and, a little, the size of the grammar.
+FALL = 64
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- grammar -----------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, last: np.ndarray, rounds: int = 4, min_count: int = 12, pairs_a_round: int = 2048, min_gain: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Replace the most frequent pairs by nonterminals, many pairs a round, until a round shortens the sequence by less than min_gain.
+def frequent_pairs(key: np.ndarray, min_count: int, fall: int) -> tuple[np.ndarray, int]:
+    """The pairs that occur at least as often as a fall-th of the commonest, rising in frequency; and that least count."""
+    ordered = np.sort(key)
+    edge = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    counts = np.diff(np.append(edge, len(ordered)))
+    counts[ordered[edge] < 0] = 0  # no pair: the end of a document
+    least = max(min_count, int(counts.max()) // fall)
+    often = counts >= least
+    return ordered[edge[often]][np.argsort(counts[often], kind="stable")], least
 
-    last marks ids that end a document; no pair starts there. Returns the sequence, its marks, the rules (n x 2), the
-    expansion lengths of the nonterminals, and the first nonterminal's number. Where chosen pairs overlap, the more
-    frequent one is replaced, of equal ones the left one.
+
+def occurrences(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chosen pairs begin, and which they are, without overlaps: the more frequent pair comes first, and of a run of one pair (as in aaaa) every second.
+
+    Pairs are looked up in a hash table in which a pair may hide a less frequent one, whose turn then comes in a later round.
+    """
+    bits = max(8, (4 * len(chosen)).bit_length())
+    slot = lambda pairs: (pairs.view(np.uint64) * SPREAD) >> np.uint64(64 - bits)
+    slots = np.full(1 << bits, -1, np.int32)
+    slots[slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+    place = slots[slot(key)]
+    at = np.flatnonzero(place >= 0)
+    place = place[at]
+    hit = chosen[place] == key[at]
+    at, place = at[hit], place[hit]
+    touches = np.diff(at) == 1
+    follows = np.flatnonzero(touches & (place[1:] == place[:-1])) + 1
+    if len(follows):
+        begin = np.arange(len(at))
+        begin[follows] = 0
+        second = (at - at[np.maximum.accumulate(begin)]) % 2 == 1
+        at, place = at[~second], place[~second]
+        touches = np.diff(at) == 1
+    wins = np.ones(len(at), bool)
+    wins[1:] &= ~touches | (place[1:] > place[:-1])
+    wins[:-1] &= ~touches | (place[:-1] > place[1:])
+    return at[wins], place[wins]
+
+
+def repair(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, fall: int = FALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Replace frequent pairs by nonterminals, from the commonest down, until no round finds a pair that occurs min_count times.
+
+    A round replaces all pairs that occur at least as often as a fall-th of the commonest, and are replaced min_count
+    times. last marks ids that end a document; no pair starts there. Returns the sequence, its marks, the rules (n x 2),
+    the expansion lengths of the nonterminals, and the first nonterminal's number.
     """
     sequence, base = ids.astype(np.int64), int(ids.max()) + 1 if len(ids) else 1
-    rules: list[np.ndarray] = []
-    lengths = np.ones(0, np.int64)
-    symbol = base
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
+    rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(base, np.int64)
+    only_once = False
+    while len(sequence) > 1:
         key = (sequence[:-1] << 32) | sequence[1:]
         key[last[:-1]] = -1
-        ordered = np.sort(key)
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(edge, len(ordered)))
-        frequent = (counts >= min_count) & (ordered[edge] >= 0)
-        found, counts = ordered[edge][frequent], counts[frequent]
-        if not len(found):
+        chosen, least = frequent_pairs(key, min_count, 1 << 40 if only_once else fall)
+        if not len(chosen):
             break
-        best = np.argsort(-counts, kind="stable")[:pairs_a_round]
-        rank_of = np.argsort(np.argsort(found[best]))  # place of each of the best in key order
-        chosen = np.sort(found[best])
-        rank = np.empty(len(best), np.int64)
-        rank[rank_of] = np.arange(len(best))
-        top = int(chosen[-1] >> 32)
-        starts = np.zeros(max(top, int(sequence.max())) + 1, bool)
-        starts[chosen >> 32] = True
-        at = np.flatnonzero(starts[sequence[:-1]])
-        place = np.searchsorted(chosen, key[at])
-        place[place == len(chosen)] = 0
-        hit = chosen[place] == key[at]
-        at, place = at[hit], place[hit]
-        ranks = rank[place]
-        touches = np.diff(at) == 1
-        beats_left, beats_right = np.ones(len(at), bool), np.ones(len(at), bool)
-        beats_left[1:] = ~touches | (ranks[1:] < ranks[:-1])
-        beats_right[:-1] = ~touches | (ranks[:-1] <= ranks[1:])
-        take = beats_left & beats_right
-        at, place = at[take], place[take]
-        used, number = np.unique(place, return_inverse=True)
-        pairs = chosen[used]
-        new_rules = np.stack((pairs >> 32, pairs & 0xFFFFFFFF), 1)
-        all_lengths = np.concatenate((np.ones(base, np.int64), lengths))
-        lengths = np.concatenate((lengths, all_lengths[new_rules].sum(1)))
-        rules.append(new_rules)
-        sequence[at] = symbol + number
+        at, place = occurrences(key, chosen)
+        pays = np.bincount(place, minlength=len(chosen)) >= min_count
+        at, place = at[pays[place]], place[pays[place]]
+        if not len(at):  # what is common only overlaps itself or others: one look at all pairs, then an end
+            if least == min_count:
+                break
+            only_once = True
+            continue
+        only_once = False
+        pairs = chosen[pays]
+        new = np.stack((pairs >> 32, pairs & 0xFFFFFFFF), 1)
+        number = len(lengths) + np.cumsum(pays) - 1
+        lengths = np.concatenate((lengths, lengths[new].sum(1)))
+        rules.append(new)
+        sequence[at] = number[place]
         last[at] = last[at + 1]
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
-        before = len(sequence)
         sequence, last = sequence[keep], last[keep]
-        symbol += len(used)
-        if len(at) < min_gain * before:
-            break
-    return sequence, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths, base
+    return sequence, last, np.concatenate(rules), lengths[base:], base
+
+
+class Expansions:
+    """Decodes symbols: what stands for at most SHORT ids is looked up, longer nonterminals are first replaced by their rules."""
 
+    SHORT = 64
 
-def expand(sequence: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    while len(sequence) and (big := sequence >= base).any():
-        out = np.repeat(sequence, 1 + big)
-        at = np.flatnonzero(big) + np.arange(int(big.sum()))
-        pair = rules[sequence[big] - base]
+    def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int):
+        self.rules, self.base = rules, base
+        self.sizes = np.concatenate((np.ones(base, np.int64), lengths.astype(np.int64)))
+        short = np.flatnonzero(lengths <= self.SHORT) + base
+        flat, owner = short, np.arange(len(short))
+        while len(flat) and (big := flat >= base).any():  # all short rules at once, a step deeper each time
+            flat, owner = self._step(flat, big), np.repeat(owner, 1 + big)
+        self.starts = np.zeros(base + len(rules), np.int64)
+        self.starts[short] = np.cumsum(self.sizes[short]) - self.sizes[short]
+        self.flat = flat
+
+    def _step(self, sequence: np.ndarray, which: np.ndarray) -> np.ndarray:
+        out = np.repeat(sequence, 1 + which)
+        at = np.flatnonzero(which) + np.arange(int(which.sum()))
+        pair = self.rules[sequence[which] - self.base]
         out[at], out[at + 1] = pair[:, 0], pair[:, 1]
-        sequence = out
-    return sequence
+        return out
+
+    def of(self, sequence: np.ndarray) -> np.ndarray:
+        while len(sequence) and (long := self.sizes[sequence] > self.SHORT).any():
+            sequence = self._step(sequence, long)
+        sizes = self.sizes[sequence]
+        ends = np.cumsum(sizes)
+        out = np.repeat(sequence, sizes)
+        inside = out >= self.base
+        place = np.arange(len(out)) - np.repeat(ends - sizes - self.starts[sequence], sizes)
+        out[inside] = self.flat[place[inside]]
+        return out
+
+
+def expand(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    return Expansions(rules, lengths, base).of(sequence)
 
 
 def pack_shard(doc_ids: list[int | None], ids: list[bytes], **options) -> bytes:
@@ -146,7 +198,7 @@ class Shard:
         self.sequence = sum((planes[k].astype(np.int64) << (8 * k) for k in range(width)), np.zeros(n, np.int64))
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.sequence, self.rules, self.base)
+        return expand(self.sequence, self.rules, self.lengths, self.base)
 
     def ids(self, index: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start..stop of the index-th document; only the symbols that reach into that span are expanded."""
@@ -160,20 +212,26 @@ class Shard:
         ends = np.cumsum(sizes)
         a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
         skipped = int(ends[a - 1]) if a else 0
-        return expand(symbols[a:b], self.rules, self.base)[start - skipped : stop - skipped]
+        return self.few(symbols[a:b])[start - skipped : stop - skipped]
+
+    def few(self, symbols: np.ndarray) -> np.ndarray:
+        """As all_ids(), for a few symbols: without a table of all rules."""
+        while len(symbols) and (big := symbols >= self.base).any():
+            symbols = Expansions._step(self, symbols, big)
+        return symbols
 
 
 # --- tables ------------------------------------------------------------------
 
 
-def write_token_files(documents: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: int = 1 << 19, **options) -> DataFrame:
-    """Encode documents (doc_id, text) in ascending doc_id order; the written table of shards: part, shard, first_doc, last_doc, n_docs, n_tokens, payload."""
+def write_token_files(documents: DataFrame, tokenizer: str, ranks: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, **options) -> DataFrame:
+    """Encode documents (doc_id, text) in ascending doc_id order (ranks: as in TextEncoder); the written table of shards: part, shard, first_doc, last_doc, n_docs, n_tokens, payload."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, shard = TextEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, shard = text_encoder(tokenizer, ranks), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
 
@@ -223,7 +281,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table written by write_token_files() and read back: doc_id, start, n_tokens, ids_crc32."""
-    shards = write_token_files(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+    shards = write_token_files(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken"))
     return read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -1,7 +1,10 @@
 """Exact top-k inner-product search with vector-approximation files.
 
 A block of vectors is quantised into cells; a scan of the cells alone gives each vector's highest possible score.
-Exact vectors are then read in falling order of that bound until no other vector can reach the kth score.
+Exact vectors are then taken in falling order of that bound until no other vector can reach the kth score. Cells and
+exact vectors come from one scan of the table: many queries are asked at once, so that every block holds vectors that
+one of them must look at, and a file of cells apart would only be read besides. What the cells save is exact products.
+Equal vectors of a block are looked at up to k + 1 ids, as no query needs more of them: ties go to the smaller id.
 
 Components x become floor(1024 x). Vectors that are null, or hold a null or non-finite component, and null ids take
 no part; vectors of another length than the query's are no candidates. Ties go to the smaller id. Repeated rows are
@@ -19,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import only, table
+from .common import materialize, only, table
 
 SCALE = 1024
-#: Bytes of query vectors that one pass broadcasts at most; more queries take more passes.
+#: Bytes of query vectors that one pass broadcasts at most; more queries take more passes, one after the other.
 PASS_BYTES = 16 << 20
+#: Bytes of bounds (vectors x queries) that are held at once at most.
+BOUND_BYTES = 32 << 20
 BLOCK_ROWS = 4096
 CELL_BITS = 6
 EXACT = 1 << 53
@@ -78,9 +83,38 @@ class Best:
         self.ids, self.scores = ids[order], scores[order]
 
 
+def without_needless_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors the k + 1 least ids, and of rows that are equal in id too k: more can't be in anyone's best k, whichever id is left out."""
+    if len(ids) <= k:
+        return ids, vectors
+    raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel() if vectors.shape[1] else np.zeros(len(ids), "V1")
+    group = np.unique(raw, return_inverse=True)[1]
+    if int(group.max()) + 1 == len(ids):
+        return ids, vectors
+    order = np.lexsort((ids, group))
+    g, i = group[order], ids[order]
+    first = np.concatenate(([True], g[1:] != g[:-1]))
+    new = first | np.concatenate(([True], i[1:] != i[:-1]))
+    number = np.cumsum(new)
+    number -= np.maximum.accumulate(np.where(first, number, 0))  # the id's place among those of its vector, from 0
+    place = np.arange(len(i))
+    place -= np.maximum.accumulate(np.where(new, place, 0))
+    keep = np.sort(order[(number <= k) & (place < k)])
+    return ids[keep], vectors[keep]
+
+
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: list[Best]) -> int:
-    """Bring a block's vectors into best; returns how many exact vectors were read."""
-    bounds = ApproximationFile(vectors).twice_bounds(queries)
+    """Bring a block's vectors into best; returns how many exact vectors were looked at."""
+    if not best:
+        return 0
+    ids, vectors = without_needless_copies(ids, vectors, best[0].k)
+    file = ApproximationFile(vectors)
+    step = max(1, BOUND_BYTES // (8 * len(ids)))
+    return sum(_search(file, ids, vectors, query_ids[at : at + step], queries[at : at + step], best[at : at + step]) for at in range(0, len(queries), step))
+
+
+def _search(file: ApproximationFile, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: list[Best]) -> int:
+    bounds = file.twice_bounds(queries)
     read = 0
     for j in range(len(queries)):
         bound, own = bounds[:, j], ids == query_ids[j]
@@ -112,10 +146,16 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[rows], whole_numbers(flat[starts[rows][:, None] + np.arange(n)]).reshape(len(rows), int(n))
 
 
+def best_ranks(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def exact_top_k(vectors: DataFrame, is_query, k: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """vectors (vec_id, embedding); is_query: a condition on vec_id. Result: query_id, rank, vec_id, score.
 
-    Queries are taken in passes of bounded size, each broadcast to all tasks, which scan their own rows.
+    Queries are taken in passes of bounded size, each broadcast to all tasks, which scan their own rows; a task's best k of
+    each query are what is shuffled.
     """
     spark = vectors.sparkSession
     sound = only(vectors, vec_id="long", embedding="array<double>").where(
@@ -156,10 +196,12 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, pass_bytes: int = PAS
                 if sum(sizes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[n][0], sizes)), pa.array(np.concatenate([b.ids for b in best[n]])), pa.array(np.concatenate([b.scores for b in best[n]]))], names=["query_id", "vec_id", "score"])
 
-        part = sound.mapInArrow(run, "query_id long, vec_id long, score long")
+        part = best_ranks(sound.mapInArrow(run, "query_id long, vec_id long, score long"), k)
+        if passes > 1:  # asked now, so that neither the driver nor the workers hold the queries of more than one pass
+            part = materialize(part, "top-k")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
