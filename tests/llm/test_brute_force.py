@@ -454,16 +454,20 @@ def plain_ppm(trained, text, order=4):
     return total
 
 
-def test_ppm_scores(spark):
+@pytest.mark.parametrize(("order", "group_bytes"), [(4, 1 << 20), (4, 400), (2, 150), (5, 400)])
+def test_ppm_scores(spark, order, group_bytes, monkeypatch):
+    """With groups of few bytes common contexts are dealt to parts, whose sums are added in several rounds."""
+    monkeypatch.setattr(ppm, "FAN_IN", 2)
+    monkeypatch.setattr(ppm, "HELD_KEYS", 50)
     r = random.Random(14)
     texts = [None, "", "a", "abracadabra" * 3, "unseen € sign", *("".join(r.choice("abc de\n") for _ in range(r.randrange(200))) for _ in range(50))]
     texts += [texts[5], texts[6]]  # repeated rows
     rows = [(3 * i, t) for i, t in enumerate(texts)]
-    found = {x.doc_id: x for x in ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=900).collect()}
+    found = {x.doc_id: x for x in ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), order, block_bytes=500, group_bytes=group_bytes).collect()}
     raw = {i: (t or "").encode() for i, t in rows}
     trained = [t for i, t in raw.items() if zlib.crc32(str(i).encode()) % 5 != 1]
     for i, text in raw.items():
-        assert abs(found[i].score - plain_ppm(trained, text)) < 1e-8 * max(1, abs(found[i].score))
+        assert abs(found[i].score - plain_ppm(trained, text, order)) < 1e-8 * max(1, abs(found[i].score))
         assert found[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
 
 
