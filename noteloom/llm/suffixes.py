@@ -137,6 +137,17 @@ def find_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     return out
 
 
+def clipped(found: tuple[np.ndarray, ...], windows: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """Anchors as in find_anchors(), of the windows that start from one of the first to the last places only; an anchor may come several times."""
+    hashes, place, first, last = found
+    starts, stops = (np.array([x[k] for x in windows], np.int64) for k in (0, 1))
+    begin = np.searchsorted(stops, first)
+    n = np.maximum(np.searchsorted(starts, last, "right") - begin, 0)
+    at = np.repeat(np.arange(len(first)), n)
+    run = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return hashes[at], place[at], np.maximum(first[at], starts[run]), np.minimum(last[at], stops[run])
+
+
 # --- sorting -----------------------------------------------------------------
 
 
@@ -312,11 +323,17 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def anchors(documents: DataFrame, length: int, gram: int) -> DataFrame:
-    """k1, k2, n_bytes, same (a digest of the text), found: array of (hash, place, first, last)."""
+    """k1, k2, n_bytes, same (a digest of the text), found: array of (hash, place, first, last). Where documents have a column inside, of the windows in these runs only."""
+    limited = "inside" in documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_blocks(batches):
-            found = find_anchors(texts, length, gram)
+            if limited:
+                windows = [[(a, b - length) for a, b in merged(runs) if b - a >= length] for runs in batch.column("inside").to_pylist()]
+                searched = find_anchors([t if w else b"" for t, w in zip(texts, windows, strict=True)], length, gram)
+                found = [clipped(f, w) for f, w in zip(searched, windows, strict=True)]
+            else:
+                found = find_anchors(texts, length, gram)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))), pa.int32())
             hashes, place, first, last = (np.concatenate([f[k] for f in found]) for k in range(4))
             items = pa.StructArray.from_arrays([pa.array(hashes.view(np.int64)), pa.array(place, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["hash", "place", "first", "last"])
@@ -340,8 +357,8 @@ def part_of(row: dict, low: int, high: int, length: int) -> dict | None:
     return row | changed
 
 
-def fragments_of(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, copied, found, text): the fragment of each anchor found."""
+def fragments_of(batches: Iterator[pa.RecordBatch], length: int, gram: int, split: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (k1, k2, copied, found, text): the fragment of each anchor found; split: as a fragment of a group that is to be split."""
 
     def rows() -> Iterator[dict]:
         for batch in batches:
@@ -350,7 +367,8 @@ def fragments_of(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
                 raw = text.encode()
                 for f in batch.column("found")[row].as_py():
                     first, last = f["first"], f["last"]
-                    yield {"key": f["hash"], "same": None, "k1": k1, "k2": k2, "copied": copied, "low": 0, "high": length - gram, "first": first, "before": f["place"] - first, "spans": last - first + 1, "data": raw[first : last + length]}
+                    fragment = {"key": f["hash"], "same": None, "k1": k1, "k2": k2, "copied": copied, "low": 0, "high": length - gram, "first": first, "before": f["place"] - first, "spans": last - first + 1, "data": raw[first : last + length]}
+                    yield part_of(fragment, 0, length - gram, length) if split else fragment
 
     yield from fragment_batches(rows())
 
@@ -369,7 +387,7 @@ def fragment_batches(rows: Iterator[dict], limit: int = 4 << 20) -> Iterator[pa.
 
 
 def split_groups(fragments: DataFrame, length: int, group: int, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
-    """fragments of groups of any size: fragments of groups of at most `group`, and the runs (k1, k2, start, end) found while splitting."""
+    """fragments of groups of any size, keyed by part_of(): fragments of groups of at most `group`, and the runs (k1, k2, start, end) found while splitting."""
 
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
@@ -383,11 +401,8 @@ def split_groups(fragments: DataFrame, length: int, group: int, parts: int = PAR
 
         yield from fragment_batches(rows())
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fragment_batches(part_of(row, row["low"], row["high"], length) for batch in batches for row in batch.to_pylist())
-
     rest, runs = [], []
-    large = fragments.mapInArrow(whole, FRAGMENTS)
+    large = fragments
     while True:
         large = materialize(large, "large")
         # written before they are joined, so that Spark can split a group with many rows
@@ -445,6 +460,16 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     return tidied("runs", lambda: found_runs(documents, length, gram, group))
 
 
+def longer_runs(documents: DataFrame, shorter: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """As repeated_runs(), given its result for a shorter length: whatever is repeated at this length lies in a run of that."""
+
+    def found() -> DataFrame:
+        inside = shorter.select("k1", "k2", F.col("runs").alias("inside"))
+        return found_runs(materialize(documents.join(inside, ["k1", "k2"]), "inside"), length, gram, group)
+
+    return tidied("longer-runs", found)
+
+
 def found_runs(documents: DataFrame, length: int, gram: int, group: int) -> DataFrame:
     spark = documents.sparkSession
     scanned = materialize(anchors(documents, length, gram), "anchors")
@@ -459,7 +484,7 @@ def found_runs(documents: DataFrame, length: int, gram: int, group: int) -> Data
 
     def fragments(large: bool) -> DataFrame:
         rows = documents.join(wanted.where(F.col("large") == large).drop("large"), ["k1", "k2"])
-        return rows.select("k1", "k2", "copied", "found", "text").mapInArrow(lambda batches: fragments_of(batches, length, gram), FRAGMENTS)
+        return rows.select("k1", "k2", "copied", "found", "text").mapInArrow(lambda batches: fragments_of(batches, length, gram, large), FRAGMENTS)
 
     sent, runs = fragments(False), None
     if not wanted.where("large").isEmpty():
@@ -528,8 +553,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What strings of LENGTH bytes leave, as digests; besides, text: what strings of PASSAGE bytes leave, so that shorter passages can be seen to go too."""
     rows = keyed(table(spark, sf_dir, "documents"))
-    passages = repeated_runs(rows, PASSAGE).withColumnRenamed("runs", "passages")
-    joined = rows.join(repeated_runs(rows), ["k1", "k2"], "left").join(passages, ["k1", "k2"], "left").select("k1", "text", "runs", "passages")
+    passages = repeated_runs(rows, PASSAGE)
+    both = passages.withColumnRenamed("runs", "passages").join(longer_runs(rows, passages), ["k1", "k2"], "left")
+    joined = rows.join(both, ["k1", "k2"], "left").select("k1", "text", "runs", "passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]

@@ -83,6 +83,9 @@ def test_suffix_runs(spark, length, group, parts, monkeypatch):
     wanted = repeated_bytes([t.encode() for t in texts], length)
     assert [found.get(i, []) for i in range(len(texts))] == wanted
     assert sum(map(len, wanted)) > 10
+    shorter = suffixes.repeated_runs(docs, length - 30)
+    within = {r.k1: suffixes.merged(r.runs) for r in suffixes.longer_runs(docs, shorter, length, group=group).collect()}
+    assert [within.get(i, []) for i in range(len(texts))] == wanted
 
 
 def test_suffix_text_of_megabytes(spark):
