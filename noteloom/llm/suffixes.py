@@ -46,9 +46,9 @@ _PLACE_BITS = 21
 _random = np.random.Generator(np.random.PCG64(77))
 _BYTES = _random.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASES = [0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1]
-#: A fragment: the bytes of spans windows from first on, with `before` bytes before the anchor; the anchor's offset in a window is from low to high.
-FRAGMENT = {"key": pa.int64(), "same": pa.binary(), "k1": pa.int64(), "k2": pa.int64(), "copied": pa.bool_(), "low": pa.int32(), "high": pa.int32(), "first": pa.int64(), "before": pa.int64(), "spans": pa.int64(), "data": pa.binary()}
-FRAGMENTS = "key long, same binary, k1 long, k2 long, copied boolean, low int, high int, first long, before long, spans long, data binary"
+#: A fragment: the bytes of spans windows from first on, with `before` bytes before the anchor; the anchor's offset in a window is from low to high; salts: parts to which a large group's equal fragments are dealt.
+FRAGMENT = {"key": pa.int64(), "same": pa.binary(), "k1": pa.int64(), "k2": pa.int64(), "copied": pa.bool_(), "low": pa.int32(), "high": pa.int32(), "salts": pa.int64(), "first": pa.int64(), "before": pa.int64(), "spans": pa.int64(), "data": pa.binary()}
+FRAGMENTS = "key long, same binary, k1 long, k2 long, copied boolean, low int, high int, salts long, first long, before long, spans long, data binary"
 RUNS = "k1 long, k2 long, start long, end long"
 
 
@@ -367,7 +367,7 @@ def fragments_of(batches: Iterator[pa.RecordBatch], length: int, gram: int, spli
                 raw = text.encode()
                 for f in batch.column("found")[row].as_py():
                     first, last = f["first"], f["last"]
-                    fragment = {"key": f["hash"], "same": None, "k1": k1, "k2": k2, "copied": copied, "low": 0, "high": length - gram, "first": first, "before": f["place"] - first, "spans": last - first + 1, "data": raw[first : last + length]}
+                    fragment = {"key": f["hash"], "same": None, "k1": k1, "k2": k2, "copied": copied, "low": 0, "high": length - gram, "salts": f["salts"], "first": first, "before": f["place"] - first, "spans": last - first + 1, "data": raw[first : last + length]}
                     yield part_of(fragment, 0, length - gram, length) if split else fragment
 
     yield from fragment_batches(rows())
@@ -403,18 +403,19 @@ def split_groups(fragments: DataFrame, length: int, group: int, parts: int = PAR
 
     rest, runs = [], []
     large = fragments
+    salt = F.pmod(F.xxhash64("k1", "k2", "first"), F.col("salts"))
+    # what is least of equal fragments is their witness; an anchor's windows occur once at a place, and equal rows of a table are one witness
+    row = F.struct("k1", "k2", "first", *(c for c in FRAGMENT if c not in ("k1", "k2", "first", "key", "same")))
     while True:
-        large = materialize(large, "large")
-        # written before they are joined, so that Spark can split a group with many rows
-        same = large.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one"))
-        kinds = materialize(same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("members")).where("members > 1"), "kinds")
-        same = materialize(same.join(kinds, "key").where("n > 1 or kinds > 1"), "same")
-        told = materialize(large.join(same.select("key", "same", "n", "one", "kinds"), ["key", "same"]), "told")
-        repeated = told.where("n > 1 and not copied")
-        runs.append(repeated.select("k1", "k2", F.col("first").alias("start"), (F.col("first") + F.col("spans") - 1 + length).alias("end")))
-        first = F.struct("k1", "k2", "first") == F.col("one")
-        # an anchor occurs once at a place, so that this leaves one row of each kind; equal rows of a table are one witness
-        left = told.where(first & (F.col("kinds") > 1)).withColumn("copied", F.col("copied") | (F.col("n") > 1))
+        # the bytes of equal fragments travel once from each task, and no list of places is longer than a part
+        places = F.collect_list(F.struct("k1", "k2", F.col("first").alias("start"), (F.col("first") + F.col("spans") - 1 + length).alias("end"), "copied"))
+        salted = materialize(large.groupBy("key", "same", salt.alias("salt")).agg(F.min(row).alias("one"), places.alias("places")), "salted")
+        free_shuffles(fragments.sparkSession)
+        kinds = materialize(salted.groupBy("key", "same").agg(F.sum(F.size("places")).alias("n"), F.min("one").alias("one")), "kinds")
+        numbers = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        equal = salted.select("key", "same", "places").join(kinds.where("n > 1").select("key", "same"), ["key", "same"])
+        runs.append(equal.select(F.explode("places").alias("p")).where("not p.copied").select("p.k1", "p.k2", "p.start", "p.end"))
+        left = kinds.join(numbers, "key").select("key", "same", "one.*", "n", "kinds").withColumn("copied", F.col("copied") | (F.col("n") > 1))
         rest.append(left.where(F.col("kinds") <= group).select(*FRAGMENT))
         large = left.where(F.col("kinds") > group).select(*FRAGMENT)
         if large.isEmpty():
@@ -465,7 +466,9 @@ def longer_runs(documents: DataFrame, shorter: DataFrame, length: int = LENGTH,
 
     def found() -> DataFrame:
         inside = shorter.select("k1", "k2", F.col("runs").alias("inside"))
-        return found_runs(materialize(documents.join(inside, ["k1", "k2"]), "inside"), length, gram, group)
+        limited = materialize(documents.join(inside, ["k1", "k2"]), "inside")
+        free_shuffles(documents.sparkSession)
+        return found_runs(limited, length, gram, group)
 
     return tidied("longer-runs", found)
 
@@ -478,7 +481,7 @@ def found_runs(documents: DataFrame, length: int, gram: int, group: int) -> Data
     placed = witness.dropDuplicates(["k1", "k2"]).select("k1", "k2", (F.col("n") > 1).alias("copied"), F.explode("found").alias("f")).select("k1", "k2", "copied", "f.*")
     # written, so that both sides of the join are shuffled for it, and Spark can split a hash that many places have
     counts = materialize(placed.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "counts")
-    found = F.collect_list(F.struct("hash", "place", "first", "last"))
+    found = F.collect_list(F.struct("hash", "place", "first", "last", F.ceil(F.col("members") / group).alias("salts")))
     wanted = materialize(placed.join(counts, "hash").withColumn("large", F.col("members") > group).groupBy("k1", "k2", "large").agg(F.first("copied").alias("copied"), found.alias("found")), "wanted")
     free_shuffles(spark)
 
@@ -490,7 +493,7 @@ def found_runs(documents: DataFrame, length: int, gram: int, group: int) -> Data
     if not wanted.where("large").isEmpty():
         rest, runs = split_groups(fragments(True), length, group)
         sent = sent.union(rest)
-    found = sorted_runs(sent.drop("same", "low", "high"), length)
+    found = sorted_runs(sent.drop("same", "low", "high", "salts"), length)
     whole = scanned.where(f"n_bytes >= {length}").join(copies.where("n > 1"), "same").select("k1", "k2", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")).distinct()
     found = found.union(whole) if runs is None else found.union(whole).union(runs)
     return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
