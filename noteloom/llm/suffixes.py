@@ -359,18 +359,29 @@ def part_of(row: dict, low: int, high: int, length: int) -> dict | None:
 
 def fragments_of(batches: Iterator[pa.RecordBatch], length: int, gram: int, split: bool) -> Iterator[pa.RecordBatch]:
     """Rows (k1, k2, copied, found, text): the fragment of each anchor found; split: as a fragment of a group that is to be split."""
-
-    def rows() -> Iterator[dict]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                k1, k2, copied, text = (batch.column(c)[row].as_py() for c in ("k1", "k2", "copied", "text"))
-                raw = text.encode()
-                for f in batch.column("found")[row].as_py():
-                    first, last = f["first"], f["last"]
-                    fragment = {"key": f["hash"], "same": None, "k1": k1, "k2": k2, "copied": copied, "low": 0, "high": length - gram, "salts": f["salts"], "first": first, "before": f["place"] - first, "spans": last - first + 1, "data": raw[first : last + length]}
-                    yield part_of(fragment, 0, length - gram, length) if split else fragment
-
-    yield from fragment_batches(rows())
+    for batch in batches:
+        found = plain_fragments(batch, length, gram)
+        if split:
+            yield from fragment_batches(part_of(row, 0, length - gram, length) for part in found for row in part.to_pylist())
+        else:
+            yield from found
+
+
+def plain_fragments(batch: pa.RecordBatch, length: int, gram: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    lists = batch.column("found")
+    items = lists.flatten()
+    hashes, place, first, last, salts = (np.asarray(x).astype(np.int64) for x in items.flatten())
+    row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+    texts = [t.encode() for t in batch.column("text").to_pylist()]
+    edges = np.flatnonzero(np.diff(np.cumsum(last - first + length) // limit)) + 1
+    for part in np.split(np.arange(len(row)), edges) if len(row) else ():
+        a, b, owner = first[part], last[part], row[part]
+        data = [texts[r][i:j] for r, i, j in zip(owner.tolist(), a.tolist(), (b + length).tolist(), strict=True)]
+        columns = {
+            "key": hashes[part], "same": pa.nulls(len(part), pa.binary()), "low": np.zeros(len(part), np.int32), "high": np.full(len(part), length - gram, np.int32), "salts": salts[part],
+            "first": a, "before": place[part] - a, "spans": b - a + 1, "data": data,
+        } | {c: batch.column(c).take(pa.array(owner)) for c in ("k1", "k2", "copied")}
+        yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[c], pa.Array) else pa.array(x, kind) for c, kind in FRAGMENT.items()], names=list(FRAGMENT))
 
 
 def fragment_batches(rows: Iterator[dict], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -428,27 +439,28 @@ def sorted_runs(fragments: DataFrame, length: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of key."""
-        held: list[dict] = []
+        names = ("key", "k1", "k2", "copied", "first", "before", "spans", "data")
+        held: list[tuple] = []
         groups = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(held) > groups:  # else each is alone
-                first = np.array([h["first"] for h in held], np.int64)
-                flags = repeated_windows([h["data"] for h in held], np.array([h["before"] for h in held], np.int64), np.array([h["spans"] for h in held], np.int64), length)
-                flags[[h["copied"] for h in held]] = False
+                _, k1, k2, copied, first, before, spans, data = zip(*held, strict=True)
+                k1, k2, first, before, spans = (np.array(x, np.int64) for x in (k1, k2, first, before, spans))
+                flags = repeated_windows(list(data), before, spans, length)
+                flags[np.array(copied, bool)] = False
                 row, a, b = runs_of(flags)
                 if len(row):
-                    k1, k2 = (np.array([h[k] for h in held], np.int64)[row] for k in ("k1", "k2"))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, first[row] + a, first[row] + b + length)], names=["k1", "k2", "start", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[row], k2[row], first[row] + a, first[row] + b + length)], names=["k1", "k2", "start", "end"])
 
         current = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["key"] != current:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[0] != current:
                     if len(held) >= SORT_MEMBERS:
                         yield from flush()
                         held, groups = [], 0
-                    current = row["key"]
+                    current = row[0]
                     groups += 1
                 held.append(row)
         yield from flush()
