@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_blocks, materialize, only, table, tidied
+from .common import byte_blocks, free_shuffles, materialize, only, table, tidied
 
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 UNKNOWN = "und"
@@ -231,7 +231,10 @@ def _mined(documents: DataFrame, longest: int, least: int, covered: int, top: in
     docs = only(documents, lang="string", text="string").select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     cells = min(LARGEST, max(SMALLEST, 1 << (size // BYTES_A_CELL).bit_length()))
-    counts = materialize(counted(docs, sketched(docs, cells, least, longest), cells, longest), "phrase-counts")
+    marked = sketched(docs, cells, least, longest)
+    free_shuffles(docs.sparkSession)
+    counts = materialize(counted(docs, marked, cells, longest), "phrase-counts")
+    free_shuffles(docs.sparkSession)
     total = counts.where("n_words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = counts.where(F.col("f") >= least).select("lang", "n_words", "phrase", "f")
     candidates = frequent.where("n_words > 1").withColumn("w", F.split("phrase", " ", -1))
