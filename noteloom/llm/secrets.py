@@ -2,8 +2,9 @@
 
 Spans are code points, end exclusive. Base kinds: assign, access, hex. The method adds kind guess: the value of a
 credential-like name is segmented into words (of the tokenizers' vocabularies), dates, repeats, keyboard walks and brute-force characters so that the
-logarithm of the guesses is least; values that still take 10 ** GUESS_LIMIT guesses or more are reported.
-Null and empty texts have no spans; texts are scanned whole, the cost is linear in a value's length. Repeated rows
+logarithm of the guesses is least; values that still take 10 ** GUESS_LIMIT guesses or more are reported. A value that is
+cheap to guess is judged once: of the names in it, only one at its end, whose value comes after it, is looked at.
+Null and empty texts have no spans; texts are scanned whole, in time linear in their length. Repeated rows
 and ids are scanned each. An empty table gives an empty result.
 """
 
@@ -33,6 +34,8 @@ CONTEXT = re.compile(
     r"""(?:(?ai:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|client|auth)[_-]?(?:key|secret|token)|credentials?|authorization)"""
     r"""|(?:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z]))(?ai:pass|auth|bearer|login))["']?[\x20\t]*[:=][\x20\t]*["']?(?ai:(?:bearer|basic|token)[\x20\t]+)?([!-&(-~À-ÖØ-öø-ɏ]{6,})"""
 )
+#: No name with its quote and sign takes more characters.
+LONGEST_NAME = 32
 GUESS_LIMIT = 10.0
 #: Common words of passwords and placeholders, commonest first; those of the vocabularies follow.
 WORDS = """password secret token admin user login test example changeme default root guest welcome letmein master access
@@ -120,8 +123,11 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     for m in DATE.finditer(value):
         spans[m.end()].append((m.start(), math.log10(365 * 120 * 4 if len(m[0]) > 4 else 120), "date"))
     rank_of, longest = ranks()
-    for end in range(4, n + 1):
-        for start in range(max(0, end - longest), end - 3):
+    letters = 0  # where the run of letters that ends here begins: words have no others
+    for end in range(1, n + 1):
+        if not plain[end - 1].isalpha():
+            letters = end
+        for start in range(max(letters, end - longest), end - 3):
             rank = rank_of.get(plain[start:end])
             if rank:
                 raw = value[start:end]
@@ -153,12 +159,17 @@ def scan(text: str, guess_limit: float = GUESS_LIMIT) -> list[tuple[int, int, in
     spans = []
     if ":" in text or "=" in text:
         spans += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= 6]
-        at = 0
+        at, judged = 0, 0
         while m := CONTEXT.search(text, at):
-            value, at = m[1].rstrip("\",;)]}"), m.start(1)
+            if m.start(1) < judged:  # the end of a run that is cheap
+                at = m.start() + 1
+                continue
+            value, judged = m[1].rstrip("\",;)]}"), m.end()
+            at = judged
             if len(value) >= 6 and guess_cost(value)[0] >= guess_limit:
                 spans.append((m.start(1), m.start(1) + len(value), 3))
-                at = m.end()  # else the value may hold, or be, the name before a secret
+            else:  # its end may be the name before a secret
+                at = max(m.start(1), judged - LONGEST_NAME)
     if "AKIA" in text:
         spans += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
