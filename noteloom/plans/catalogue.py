@@ -85,6 +85,13 @@ def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     return best.select("name_a", F.col("m.name_b").alias("name_b"), (-F.col("m.s")).alias("score"))
 
 
+def near_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document's two-word title: the other titles that are similar, how many and the best."""
+    titles = _t(spark, d, "documents").select(F.regexp_replace(F.substring_index(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " ", 2), "[^ -~]", "").alias("name_a")).distinct()
+    pairs = similar_names(titles, titles.withColumnRenamed("name_a", "name_b"), "name_a", "name_b").where("name_a <> name_b")
+    return pairs.groupBy("name_a").agg(F.count(F.lit(1)).alias("n_near"), F.round(F.max("score"), 6).alias("best"))
+
+
 def enum_filter(spark: SparkSession, d: str) -> DataFrame:
     by_user = _t(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("name"))).alias("items"))
     kept, dropped = C.keep_valid(F.col("items"), ["click", "purchase"])
@@ -215,7 +222,7 @@ def tags_known(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    route_loader, medium_redirect, anchor_links, html_text, page_extract, prefix_cut, word_counts, forward_fill, topic_candidates, best_candidate, enum_filter, insert_if_absent, last_write_wins,
+    route_loader, medium_redirect, anchor_links, html_text, page_extract, prefix_cut, word_counts, forward_fill, topic_candidates, best_candidate, near_titles, enum_filter, insert_if_absent, last_write_wins,
     edges_backlinks, link_replace, note_body, tag_normalise, snapshot_rows, offset_slice, failed_split, validated_requests, enriched_stub, resolved_topics, tags_known, pdf_cut, ingested_pages,
 )}
 
@@ -244,6 +251,9 @@ SELECT doc_id, coalesce(string_agg(t, '' ORDER BY i) FILTER (s <= 200), '') AS c
     "forward_fill": """SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value FROM events""",
     "topic_candidates": f"WITH {_PAIRS} SELECT name_a, name_b, round(s, 6) AS score FROM pairs",
     "best_candidate": f"WITH {_PAIRS}, r AS (SELECT name_a, name_b, round(s, 6) AS score, row_number() OVER (PARTITION BY name_a ORDER BY round(s, 6) DESC, name_b) AS k FROM pairs) SELECT name_a, name_b, score FROM r WHERE k = 1",
+    "near_titles": """WITH w AS (SELECT string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') AS w FROM documents),
+t AS (SELECT DISTINCT regexp_replace(array_to_string(w[:2], ' '), '[^ -~]', '', 'g') AS t FROM w)
+SELECT a.t AS name_a, count(*) AS n_near, round(max(jaro_similarity(a.t, b.t)), 6) AS best FROM t a JOIN t b ON a.t <> b.t WHERE jaro_similarity(a.t, b.t) > 0.75 GROUP BY a.t""",
     "enum_filter": "SELECT user_id, count(*) FILTER (event_type IN ('click', 'purchase')) AS n_kept, count(*) FILTER (event_type IS NULL OR event_type NOT IN ('click', 'purchase')) AS n_dropped FROM events GROUP BY user_id",
     "insert_if_absent": """WITH k AS (SELECT md5(text) AS key, doc_id, lang, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents)
 SELECT key, doc_id, lang FROM k WHERE n = 1 AND key NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 7 = 0)""",
