@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import keep_valid
-from ..schemas import TAGS, TOPIC_CATEGORIES, Extraction
+from ..schemas import CONTENT_TYPES, TAGS, TOPIC_CATEGORIES, Extraction
 from ..sources.readers import load_prompt
+from .answers import Answers, key_of
+from .staging import stored
 
 
 class Client(Protocol):
@@ -76,26 +78,80 @@ class Prompted:
         return answer.get("topic") if answer.get("merge_topic") else None
 
 
-OUT = "summary string, description struct<title:string,content_type:string,tags:array<struct<name:string>>>, topics array<struct<type:string,name:string,description:string>>, links string"
+DESCRIPTION = "struct<title:string,content_type:string,tags:array<struct<name:string>>>"
+TOPICS = "array<struct<type:string,name:string,description:string>>"
+#: What is asked of a model, in this order.
+STEPS = ("summary", "description", "topics", "links")
 
 
-def enrich(contents: DataFrame, client: Callable[[], Client] = Stub, tags: list[str] = TAGS, categories: list[str] = TOPIC_CATEGORIES, most_topics: int | None = None) -> DataFrame:
-    """contents (link, loader, content, content_links, ...) with summary, description, topics, links, n_bad_tags, n_bad_topics.
+def enrich(
+    contents: DataFrame, client: Callable[[], Client] = Stub, tags: list[str] = TAGS, categories: list[str] = TOPIC_CATEGORIES, most_topics: int | None = None,
+    answers: Answers | None = None, content_types: list[str] = CONTENT_TYPES,
+) -> DataFrame:
+    """contents (link, loader, content, content_links, ...) with summary, description, topics, links, n_bad_tags, n_bad_topics, bad_content_type, and error.
 
-    One client a task. most_topics keeps the first so many valid topics; by default all, as the prompt alone asks for five. Links are asked for web pages only; write the result before it is used twice, as each use asks anew.
+    One client a task. most_topics keeps the first so many valid topics; by default all, as the prompt alone asks for five. Links are asked for web pages only. What a client raises for a
+    content, and an answer of another form than asked for, is that content's error (the step and the exception), and its later steps are not asked.
+    With answers, what was answered before is not asked again, and what is answered now is kept, also that of a content that fails later; the
+    result is then written already. Without, write it before it is used twice, as each use asks anew. An unknown content type is kept, and told by bad_content_type.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contents.schema) + ", " + OUT
+    spark = contents.sparkSession
+    keyed = contents.withColumn("_key", key_of("link", "loader", "content", "content_links"))
+    if answers:
+        keyed = keyed.join(answers.known(spark, *STEPS).withColumnsRenamed({"key": "_key", "known": "_known"}), "_key", "left")
+    else:
+        keyed = keyed.withColumn("_known", F.lit(None).cast("map<string,string>"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.drop("_known").schema) + ", _answers map<string,string>, _new array<string>, error string"
+    kept = keyed.drop("_known").columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = client()
+        ask = None
         for frame in frames:
-            text = frame["content"].fillna("")
-            links = [ask.links(r.link, r.content or "", "\n".join(r.content_links if r.content_links is not None else [])) if r.loader == "url" else None for r in frame.itertuples(index=False)]
-            yield frame.assign(summary=text.map(ask.summary), description=text.map(ask.description), topics=text.map(ask.topics), links=links)
-
-    asked = contents.mapInPandas(run, schema)
+            rows = []
+            for r in frame[["link", "loader", "content", "content_links", "_known"]].itertuples(index=False, name=None):
+                link, loader, content, content_links, known = r
+                found, new, error = dict(known) if known is not None else {}, [], None
+                for step in STEPS if loader == "url" else STEPS[:-1]:
+                    if step in found:
+                        continue
+                    try:
+                        ask = ask or client()
+                        answer = ask.links(link, content or "", "\n".join(content_links if content_links is not None else [])) if step == "links" else getattr(ask, step)(content or "")
+                        found[step] = json.dumps(_sound(step, answer))
+                        new.append(step)
+                    except Exception as e:  # the content's failure, not the batch's
+                        error = f"{step}: {type(e).__name__}: {e}"
+                        break
+                rows.append((found, new, error))
+            yield frame[kept].assign(**{n: [row[i] for row in rows] for i, n in enumerate(("_answers", "_new", "error"))})
+
+    asked = keyed.mapInPandas(run, schema)
+    if answers:
+        asked = stored(asked, "asked")
+        told = asked.select(F.col("_key").alias("key"), F.explode("_new").alias("step"), "_answers").select("key", "step", F.element_at("_answers", F.col("step")).alias("answer"))
+        answers.add(told.dropDuplicates(["key", "step"]))
+    of = lambda step, kind: F.from_json(F.concat(F.lit('{"x":'), F.try_element_at("_answers", F.lit(step)), F.lit("}")), f"struct<x:{kind}>")["x"]
+    known = asked.withColumns({"summary": of("summary", "string"), "description": of("description", DESCRIPTION), "topics": of("topics", TOPICS), "links": of("links", "string")}).drop("_key", "_answers", "_new")
     good_tags, bad_tags = keep_valid(F.col("description.tags"), tags)
     good_topics, bad_topics = keep_valid(F.col("topics"), categories, "type")
     if most_topics is not None:
         good_topics = F.slice(good_topics, 1, most_topics)
-    return asked.withColumns({"n_bad_tags": bad_tags, "n_bad_topics": bad_topics, "description": F.col("description").withField("tags", good_tags), "topics": good_topics})
+    bad_type = ~F.coalesce(F.col("description.content_type").isin(content_types), F.lit(False))
+    return known.withColumns({"n_bad_tags": bad_tags, "n_bad_topics": bad_topics, "bad_content_type": bad_type, "description": F.col("description").withField("tags", good_tags), "topics": good_topics})
+
+
+def _sound(step: str, answer: object) -> object:
+    """The answer in the form asked for, or an error: a text, or the fields of a description or of topics."""
+    if step in ("summary", "links"):
+        if not isinstance(answer, str):
+            raise TypeError(f"a text was asked for, not {type(answer).__name__}")
+        return answer
+    if step == "description":
+        return {"title": _text(answer["title"]), "content_type": _text(answer["content_type"]), "tags": [{"name": _text(t["name"])} for t in answer["tags"]]}
+    return [{k: _text(t[k]) for k in ("type", "name", "description")} for t in answer]
+
+
+def _text(value: object) -> str | None:
+    if value is not None and not isinstance(value, str):
+        raise TypeError(f"a text was asked for, not {type(value).__name__}")
+    return value

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import note_path
@@ -56,6 +56,12 @@ def export_notes(notes: DataFrame, vault: str, directory: str, kind: str, name:
     return rows.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
 
+def sound_names(name: Column) -> Column:
+    """Whether a name's last part names a file."""
+    last = F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1)
+    return F.coalesce(~last.isin("", ".", ".."), F.lit(False))
+
+
 def write_artefacts(files: DataFrame, vault: str, directory: str = "artefacts") -> int:
     """files (name, content binary) as files of that folder; of a name that is a path only the last part counts, and what names no file is refused."""
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.columns import word_count
+from .staging import stored
 
 
 def prefix_cut(pages: DataFrame, key: str, order: str, text: str, limit: float) -> DataFrame:
@@ -33,12 +35,36 @@ def prefix_cut_array(pages: Column, limit: float) -> Column:
 
 
 def forward_fill(df: DataFrame, value: str, order: list[str], by: list[str] | None = None, empty: Column | None = None) -> DataFrame:
-    """Empty values (null, or where the condition holds) take the last one before them."""
+    """Empty values (null, or where the condition holds) take the last one before them, of the same key if by names one.
+
+    Without a key the rows are dealt to ranges of their order and written; each range is filled in a task of its own, and begins with the last value
+    of the ranges before it. Of those there is one for each range: so many rows pass through the driver. Rows equal in their order are in any order among each other.
+    """
     gap = F.col(value).isNull() if empty is None else empty
-    over = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not by:
+        return _filled_by_ranges(df, value, order, gap)
+    over = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(value, F.last(F.when(~gap, F.col(value)), ignorenulls=True).over(over))
 
 
+def _filled_by_ranges(df: DataFrame, value: str, order: list[str], gap: Column) -> DataFrame:
+    marked = df.withColumn("_known", F.when(~F.coalesce(gap, F.lit(True)), F.struct(F.col(value).alias("v"))))
+    ranges = stored(marked.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ends = ranges.where("_known is not null").groupBy("_range").agg(F.max_by("_known", F.struct(*order)).alias("_last"))
+    held, carried = sorted(ends.collect(), key=lambda r: r["_range"]), []
+    for r in range(max((e["_range"] for e in held), default=-1) + 2):
+        before = [e["_last"] for e in held if e["_range"] < r]
+        carried.append((r, before[-1] if before else None))
+    last = max((r for r, _ in carried), default=0)
+    spark = df.sparkSession
+    starts = spark.createDataFrame(carried, StructType([StructField("_range", IntegerType()), StructField("_before", ends.schema["_last"].dataType)]))
+    over = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # ranges behind the last known value begin with it
+    met = ranges.withColumn("_at", F.least(F.col("_range"), F.lit(last))).join(F.broadcast(starts.withColumnRenamed("_range", "_at")), "_at", "left")
+    filled = F.coalesce(F.last("_known", ignorenulls=True).over(over), F.col("_before"))["v"]
+    return met.withColumn(value, filled).select(*df.columns)
+
+
 def first_writes(df: DataFrame, key: list[str], order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """Insert if absent: of each key the first row, unless the key exists. Partial aggregation, so a hot key is no burden."""
     first = df.groupBy(*key).agg(F.min(F.struct(*order, *[c for c in df.columns if c not in {*order, *key}])).alias("_r")).select(*key, "_r.*").select(df.columns)

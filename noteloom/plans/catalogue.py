@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import windows
-from ..operators.enrich import enrich
+from ..operators.enrich import Stub, enrich
 from ..operators.requests import from_offset, validate
 from ..operators.resolve import resolve, rewrite_links, similar_names
 from ..operators.sinks import snapshot
@@ -122,6 +122,40 @@ def link_replace(spark: SparkSession, d: str) -> DataFrame:
     return rewrite_links(notes, merges).select("title", "body")
 
 
+def link_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Merges of several contents: a chain of three, and two contents that merge the same note, of which the earlier one's counts."""
+    notes = _t(spark, d, "customer").select(F.lit("Customer").alias("content_type"), F.col("c_name").alias("title"), F.expr(BODY).alias("body"))
+    of = lambda *values: F.element_at(F.array(*map(F.lit, values)), F.col("r_regionkey") + 1)
+    merges = _t(spark, d, "region").where("r_regionkey < 5").select(
+        of(3, 1, 2, 2, 1).cast("long").alias("content_seq"), of(0, 1, 1, 0, 2).cast("int").alias("topic_idx"), of("Library", "segment", "Concept", "segment", "segment").alias("merged_type"), of("Houses", "BUILDING", "House", "MACHINERY", "MACHINERY").alias("merged_name"),
+        of("Library", "Concept", "Library", "Concept", "Platform").alias("type"), of("Home/Houses", "House", "Houses", "Late", "Tool").alias("name"),
+    )
+    return rewrite_links(notes, merges).select("title", "body")
+
+
+def fill_by_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Forward fill over a whole table in one order, without a key."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = _t(spark, d, "lineitem").select(*keys, F.when(F.pmod(F.col("l_partkey") * 7 + F.col("l_linenumber"), F.lit(13)) == 0, F.col("l_quantity")).alias("value"))
+    return windows.forward_fill(rows, "value", keys)
+
+
+def failed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A model that raises for one content, or answers in another form, costs that content alone."""
+
+    class Shaky(Stub):
+        def topics(self, content: str) -> list[dict]:
+            if len(content) % 10 == 3:
+                raise ValueError("no JSON")
+            return super().topics(content)
+
+        def description(self, content: str) -> dict:
+            return {"title": "t"} if len(content) % 10 == 7 else super().description(content)
+
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("link"), F.lit("text").alias("loader"), F.coalesce("text", F.lit("")).alias("content"), F.array().cast("array<string>").alias("content_links"))
+    return enrich(docs, Shaky).select("link", "error", F.size("topics").alias("n_topics"), "bad_content_type")
+
+
 def note_body(spark: SparkSession, d: str) -> DataFrame:
     topics = F.array(F.struct(F.lit("Concept").alias("type"), F.col("c_mktsegment").alias("name")), F.struct(F.lit("Platform").alias("type"), F.concat(F.lit("n/"), F.col("c_nationkey").cast("string")).alias("name")))
     links = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("- http://x.org/"), F.col("c_custkey").cast("string")))
@@ -223,7 +257,7 @@ def tags_known(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     route_loader, medium_redirect, anchor_links, html_text, page_extract, prefix_cut, word_counts, forward_fill, topic_candidates, best_candidate, near_titles, enum_filter, insert_if_absent, last_write_wins,
-    edges_backlinks, link_replace, note_body, tag_normalise, snapshot_rows, offset_slice, failed_split, validated_requests, enriched_stub, resolved_topics, tags_known, pdf_cut, ingested_pages,
+    edges_backlinks, link_replace, link_chains, fill_by_ranges, failed_answers, note_body, tag_normalise, snapshot_rows, offset_slice, failed_split, validated_requests, enriched_stub, resolved_topics, tags_known, pdf_cut, ingested_pages,
 )}
 
 _LOADER = """CASE WHEN NOT regexp_matches(link, '^https?://[^/?#]') THEN 'text' WHEN regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1) LIKE '%.pdf'
@@ -262,6 +296,13 @@ SELECT key, doc_id, lang FROM k WHERE n = 1 AND key NOT IN (SELECT md5(text) FRO
 SELECT target, count(*) AS n_links, count(DISTINCT c_custkey) AS n_notes FROM e GROUP BY target""",
     "link_replace": f"""SELECT c_name AS title, replace(replace(replace({BODY}, '[[topics/segment/BUILDING]]', '[[topics/Concept/House Home]]'), '[[topics/segment/MACHINERY]]', '[[topics/Concept/Tool]]'),
  '[[topics/segment/FURNITURE]]', '[[topics/Concept/Chair]]') AS body FROM customer""",
+    "link_chains": f"""SELECT c_name AS title, replace(replace({BODY}, '[[topics/segment/BUILDING]]', '[[topics/Library/Home Houses]]'), '[[topics/segment/MACHINERY]]', '[[topics/Platform/Tool]]') AS body FROM customer""",
+    "fill_by_ranges": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, last_value(CASE WHEN (l_partkey * 7 + l_linenumber) % 13 = 0 THEN l_quantity END IGNORE NULLS)
+ OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS value FROM lineitem""",
+    "failed_answers": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS link, coalesce(text, '') AS t FROM documents),
+w AS (SELECT link, length(t) % 10 AS k, len(list_distinct(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: regexp_matches(x, '^\\p{Lu}\\p{L}*$')))) AS n FROM d)
+SELECT link, CASE k WHEN 3 THEN 'topics: ValueError: no JSON' WHEN 7 THEN 'description: KeyError: ' || chr(39) || 'content_type' || chr(39) END AS error,
+ CASE WHEN k NOT IN (3, 7) THEN CAST(least(2, n) AS INTEGER) END AS n_topics, k = 7 AS bad_content_type FROM w""",
     "note_body": """SELECT c_custkey, c_name || chr(10) || '## Summary' || chr(10) || chr(10) || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '## Links' || chr(10) || chr(10) || '- http://x.org/' || c_custkey ELSE '' END
  || chr(10) || '## Topics' || chr(10) || chr(10) || '- [[topics/Concept/' || c_mktsegment || ']]' || chr(10) || '- [[topics/Platform/n ' || c_nationkey || ']]' || chr(10) AS body FROM customer""",
     "tag_normalise": "SELECT p_partkey, replace(p_name, ' ', '_') || ',' || replace(p_type, ' ', '_') AS tags FROM part",

@@ -9,61 +9,145 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hyperlink, last_segment, loader, normalise_tags, note_body, note_name
+from ..operators.answers import Answers
 from ..operators.enrich import Client, Stub, enrich
 from ..operators.requests import split_valid, validate
-from ..operators.resolve import Judge, drop_merged, resolve, rewrite_links, topic_rows
-from ..operators.sinks import write_artefacts
+from ..operators.resolve import Judge, drop_merged, resolve_asking, rewrite_links, similar_names, topic_rows
+from ..operators.sinks import sound_names, write_artefacts
 from ..operators.staging import stored
 from ..operators.windows import first_writes, last_writes
 from ..schemas import Model
 from ..sources.readers import fetch, load_contents, split_fetched
 
+NOTE = ("content_type", "title", "link", "upload_date", "already_read", "read_priority", "source", "tags", "body")
 
-def ingest_batch(
-    raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub,
-    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit, base: str | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """raw requests (seq, ...): new topic notes, new content notes, and failures with their reason.
 
-    All contents of the batch meet the notes as they were before it; see ingest_in_order for the other way. Paths of
-    texts are shown from base, the driver's folder if not given.
-    Web pages are parsed, texts taken whole, and of PDFs, whose pages extract gives, the first of at most token_limit / 2
-    words in all; without extract they are failures. With a vault the PDFs are saved there. Each page is fetched once, each
-    model and judge asked once: what they answer is written, and all that follows reads it there.
-    """
+def _enriched(raw: DataFrame, get: Callable, client: Callable[[], Client], extract: Callable | None, vault: str | None, token_limit: int, answers: Answers | None) -> tuple[DataFrame, DataFrame]:
+    """Contents with what a model says of them (content_seq, ...), and failures (seq, link, reason)."""
     valid, invalid = split_valid(validate(raw))
     fetched = stored(fetch(valid.withColumn("loader", loader(F.col("link"))), get), "fetched")
     loaded, unloaded = split_fetched(fetched)
+    named = F.lit(True)
     if vault is not None:
-        write_artefacts(loaded.where("loader = 'pdf'").select(last_segment(F.col("link")).alias("name"), F.col("body").alias("content")), vault)
-    contents, unread = load_contents(loaded, extract, token_limit / 2)
-    done = stored(enrich(contents.drop("body", "status", "error"), client).withColumn("content_seq", F.col("seq").cast("long")), "enriched")
-    topics = done.select("content_seq", F.posexplode("topics").alias("topic_idx", "t")).select("content_seq", "topic_idx", "t.type", "t.name", "t.description")
-    resolved = stored(resolve(topics, topic_notes, judge), "resolved")
-    new_topics = first_writes(topic_rows(resolved, done.select("content_seq", "upload_date")), ["type", "name"], ["content_seq", "topic_idx"], drop_merged(topic_notes, resolved)).select("type", "name", "date", "description")
+        name = last_segment(F.col("link"))
+        named = (F.col("loader") != "pdf") | sound_names(name)
+        files = loaded.where(named & (F.col("loader") == "pdf")).select(name.alias("name"), F.col("body").alias("content"), "seq")
+        write_artefacts(last_writes(files, ["name"], ["seq"]), vault)  # of equal names the last request's
+    contents, unread = load_contents(loaded.where(named), extract, token_limit / 2)
+    asked = stored(enrich(contents.drop("body", "status", "error"), client, answers=answers).withColumn("content_seq", F.col("seq").cast("long")), "enriched")
+    failed = [
+        invalid.select("seq", "link", "reason"), unloaded.select("seq", "link", F.coalesce("error", F.concat(F.lit("status "), F.col("status"))).alias("reason")),
+        loaded.where(~named).select("seq", "link", F.lit("no file name").alias("reason")), unread.select("seq", "link", F.col("error").alias("reason")), asked.where("error is not null").select("seq", "link", F.col("error").alias("reason")),
+    ]
+    return asked.where("error is null").drop("error"), reduce(DataFrame.unionByName, failed)
+
+
+def _topics(done: DataFrame) -> DataFrame:
+    return done.select("content_seq", F.posexplode("topics").alias("topic_idx", "t")).select("content_seq", "topic_idx", "t.type", "t.name", "t.description")
+
+
+def _written(done: DataFrame, judged: DataFrame, content_notes: DataFrame, base: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merges of the contents that no judge failed, content notes after them (with content_seq, -1 for earlier ones), and failures."""
+    failed = judged.where("error is not null").groupBy("content_seq").agg(F.min("error").alias("reason"))
+    resolved = judged.where("error is null").drop("error")
+    sound = done.join(failed, "content_seq", "left_anti")
     by_content = resolved.groupBy("content_seq").agg(F.array_sort(F.collect_list(F.struct("topic_idx", "type", "name"))).alias("resolved"))
     body = note_body(hyperlink(F.col("link"), base=base), F.col("summary"), F.col("links"), F.coalesce("resolved", F.array().cast("array<struct<topic_idx:int,type:string,name:string>>")))
-    notes = done.join(by_content, "content_seq", "left").select(
+    notes = sound.join(by_content, "content_seq", "left").select(
         "content_seq", F.col("description.content_type").alias("content_type"), note_name(F.col("description.title")).alias("title"), "link", F.date_format("upload_date", "yyyy-MM-dd").alias("upload_date"),
         "already_read", "read_priority", "source", normalise_tags(F.col("description.tags.name")).alias("tags"), body.alias("body"),
     )
-    kept = rewrite_links(content_notes, resolved)
-    contents = last_writes(notes, ["content_type", "title"], ["content_seq"]).drop("content_seq")
-    contents = kept.join(contents.select("content_type", "title"), ["content_type", "title"], "left_anti").unionByName(contents)
-    failed = invalid.select("seq", "link", "reason").unionByName(unloaded.select("seq", "link", F.coalesce("error", F.concat(F.lit("status "), F.col("status"))).alias("reason")))
-    failed = failed.unionByName(unread.select("seq", "link", F.col("error").alias("reason")))
-    return drop_merged(topic_notes, resolved).unionByName(new_topics), contents, failed
+    new = last_writes(notes, ["content_type", "title"], ["content_seq"])
+    kept = content_notes.select(*NOTE).join(new.select("content_type", "title"), ["content_type", "title"], "left_anti").withColumn("content_seq", F.lit(-1).cast("long"))
+    return resolved, kept.unionByName(new), done.join(failed, "content_seq").select("seq", "link", "reason")
 
 
-def ingest_in_order(raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As ingest_batch, but one content after the other in order of seq, so that each meets the notes that those before it wrote.
+def ingest_batch(
+    raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub,
+    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit, base: str | None = None, answers: Answers | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """raw requests (seq, ...): all topic notes, all content notes, and failures (seq, link, reason).
 
-    This is as slow as it sounds, a few jobs for each content: for the short lists of a day, not for a corpus.
+    All contents of the batch meet the notes as they were before it; see ingest_in_order for the other way. Paths of
+    texts are shown from base, the driver's folder if not given.
+    Web pages are parsed, texts taken whole, and of PDFs, whose pages extract gives, the first of at most token_limit / 2
+    words in all; without extract they are failures. With a vault the PDFs are saved there, of equal names the last one; a link without a file's name is a failure then. Each page is fetched once, each
+    model and judge asked once: what they answer is written, and all that follows reads it there; with answers it is kept for later batches too. What a page, model or
+    judge raises is the failure of its content, which writes nothing.
+    """
+    done, failed = _enriched(raw, get, client, extract, vault, token_limit, answers)
+    judged = stored(resolve_asking(_topics(done), topic_notes, judge, answers), "resolved")
+    resolved, notes, refused = _written(done, judged, content_notes, base)
+    old = content_notes.select(*NOTE).join(notes.where("content_seq >= 0").select("content_type", "title"), ["content_type", "title"], "left_anti")
+    contents = rewrite_links(old, resolved).unionByName(notes.where("content_seq >= 0").drop("content_seq"))
+    left = drop_merged(topic_notes, resolved)
+    new_topics = first_writes(topic_rows(resolved, done.select("content_seq", "upload_date")), ["type", "name"], ["content_seq", "topic_idx"], left).select("type", "name", "date", "description")
+    return left.unionByName(new_topics), contents, failed.unionByName(refused)
+
+
+def ingest_in_order(
+    raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub,
+    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit, base: str | None = None, answers: Answers | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ingest_batch, but each content meets the notes that those before it (by seq) have left: the same as one batch for each content.
+
+    Only contents that may meet wait for each other: see resolve_in_order. Links are rewritten once, at the end, by all merges in their order.
     """
-    failures = []
-    for row in raw.select("seq").distinct().orderBy("seq").toLocalIterator():
-        topic_notes, content_notes, failed = ingest_batch(raw.where(F.col("seq") == row.seq), topic_notes, content_notes, get, judge, **options)
-        topic_notes, content_notes = stored(topic_notes, "topics"), stored(content_notes, "contents")
-        failures.append(stored(failed, "failures"))
-    empty = raw.limit(0).select("seq", "link", F.lit("").alias("reason"))
-    return topic_notes, content_notes, reduce(DataFrame.unionByName, failures, empty)
+    done, failed = _enriched(raw, get, client, extract, vault, token_limit, answers)
+    topics = stored(_topics(done), "topics")
+    judged, notes, _ = resolve_in_order(topics, done.select("content_seq", "upload_date"), topic_notes, judge, answers)
+    resolved, contents, refused = _written(done, judged, content_notes, base)
+    return notes, rewrite_links(contents, resolved).drop("content_seq"), failed.unionByName(refused)
+
+
+def resolve_in_order(topics: DataFrame, dates: DataFrame, topic_notes: DataFrame, judge: Judge, answers: Answers | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Topics resolved as if one content came after the other: judged topics, all topic notes after them, and in how many levels.
+
+    For each name that is stored or may be written, the contents with a topic similar to it form a group; what one of them writes another may meet, so
+    that those of a group go by content_seq. A content is ready when it is the first that remains in all its groups; all that are ready form a level and
+    are resolved together. Names that a judge invents can't be known before: where one would have been met by a content that has had its
+    turn too early or has still to come, its writer joins the group of that name, and all levels start anew. What judges answered is asked again then, unless answers are kept.
+    """
+    names = topics.where("name is not null").select("name").distinct()
+    wrote = topics.sparkSession.createDataFrame([], "other string, content_seq long")
+    levels = 0
+    while True:
+        judged, notes, found, n = _levels(topics, names, dates, topic_notes.select("type", "name", "date", "description"), judge, answers, wrote)
+        levels += n
+        if found is None:
+            return judged, notes, levels
+        wrote = stored(wrote.unionByName(found).distinct(), "writers")
+
+
+def _levels(topics: DataFrame, names: DataFrame, dates: DataFrame, notes: DataFrame, judge: Judge, answers: Answers | None, wrote: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame | None, int]:
+    """One go through all levels; wrote: writers of names that they have no topic like. If some are missing they are the third result, and the first is None."""
+    universe = stored(names.union(names.select(note_name(F.col("name")))).union(notes.select("name")).union(wrote.select("other")).distinct().toDF("other"), "universe")
+    similar = stored(similar_names(names, universe, "name", "other"), "similar")
+    members = stored(topics.join(similar, "name").select("other", "content_seq").union(wrote).distinct(), "members")
+    waiting, parts, n = stored(topics.select("content_seq").distinct(), "waiting"), [], 0
+    while not waiting.isEmpty():
+        n += 1
+        open_ = members.join(waiting, "content_seq")
+        first = open_.groupBy("other").agg(F.min("content_seq").alias("first"))
+        behind = open_.join(first, "other").where("content_seq > first").select("content_seq").distinct()
+        ready = stored(waiting.join(behind, "content_seq", "left_anti"), "ready")
+        waiting = stored(waiting.join(ready, "content_seq", "left_anti"), "waiting")
+        judged = stored(resolve_asking(topics.join(ready, "content_seq", "left_semi"), notes, judge, answers, similar), "resolved")
+        parts.append(judged)
+        resolved = judged.where("error is null").drop("error")
+        left = drop_merged(notes, resolved)
+        new = first_writes(topic_rows(resolved, dates), ["type", "name"], ["content_seq", "topic_idx"], left)
+        notes = stored(left.unionByName(new.select("type", "name", "date", "description")), "topic-notes")
+        strange = stored(resolved.select(note_name(F.col("name")).alias("other"), "content_seq").distinct().join(members, ["other", "content_seq"], "left_anti"), "strange")
+        if strange.isEmpty():
+            continue
+        unknown = strange.select("other").distinct().join(universe, "other", "left_anti")
+        more = stored(similar_names(names, unknown, "name", "other"), "similar")
+        grown = stored(members.union(topics.join(more, "name").select("other", "content_seq")).union(strange).distinct(), "members")
+        others = grown.select("other", F.col("content_seq").alias("member")).join(waiting.select(F.col("content_seq").alias("member"), F.lit(True).alias("waits")), "member", "left")
+        wrong = strange.join(others, "other").where("member > content_seq and waits is null or member < content_seq and waits")
+        if not wrong.isEmpty():
+            return None, notes, strange, n
+        members, similar, universe = grown, stored(similar.unionByName(more), "similar"), stored(universe.union(unknown), "universe")
+    none = topics.limit(0).selectExpr("content_seq", "topic_idx", "type", "name", "description", "type as merged_type", "name as merged_name", "type as error")
+    return reduce(DataFrame.unionByName, parts, none), notes, None, n
