@@ -1,10 +1,10 @@
 """Phrase collocation mining with merged count-min sketches.
 
-1. Each task counts the phrases of its texts in a count-min sketch, by language; the sketches are merged by slices of cells.
+1. Each task counts the words and phrases of its texts in a count-min sketch, by language; the sketches are merged by slices of cells.
    Cells stop at the least count asked for, so one byte each is enough and merging loses nothing that matters: a phrase's cells hold at least
    the smaller of its count and that.
-2. The cells that reached it, a bit each, go to all tasks, which aggregate exactly the words and those phrases whose every cell
-   is marked. The sketch only overestimates, so that nothing frequent is lost; what it lets through too much falls to its exact count.
+2. The cells that reached it, a bit each, go to all tasks, which aggregate exactly those words and phrases whose every cell
+   is marked, and the number of all words. The sketch only overestimates, so that nothing frequent is lost; what it lets through too much falls to its exact count.
 3. A phrase's cuts, and the longer phrases that hold it, are looked up by key; scores are whole numbers from exact decimals.
 
 A sketch has about a cell for each 16 bytes of text, within bounds that fit into a task (SMALLEST, LARGEST cells a row): beyond them more
@@ -156,7 +156,7 @@ def sketched(documents: DataFrame, cells: int, least: int, longest: int) -> np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch(cells, least)
         for lang, found in by_language(batches):
-            for n in range(2, longest + 1):
+            for n in range(1, longest + 1):
                 rows, counts = found.of(n)
                 for d, places in enumerate(found.cells(rows, lang, cells)):
                     sketch.add(d, places, counts)
@@ -193,27 +193,28 @@ def packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=["slice", "cells"])
 
 
+def told(lang: str, n: int, names: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([lang] * len(names), pa.string()), pa.array(np.full(len(names), n, np.int32)), pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "phrase", "f"])
+
+
 def counted(documents: DataFrame, bits: np.ndarray, cells: int, longest: int) -> DataFrame:
-    """lang, n_words, phrase, f: exact counts of all words, and of the longer phrases whose cells are all marked."""
+    """lang, n_words, phrase, f: exact counts of the words and phrases whose cells are all marked; with n_words 0, of all words together."""
     sent = documents.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = sent.value
         for lang, found in by_language(batches):
+            yield told(lang, 0, [b""], found.counts.sum(keepdims=True))
             for n in range(1, longest + 1):
-                if n == 1:
-                    keep = np.flatnonzero(found.counts)
-                    names, counts = [found.words[i] for i in keep], found.counts[keep]
-                else:
-                    rows, counts = found.of(n)
-                    alive = np.arange(len(rows))
-                    for d, places in enumerate(found.cells(rows, lang, cells)):
-                        at = places[alive] + d * cells
-                        alive = alive[(marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                    names, counts = [found.phrase(rows[i]) for i in alive], counts[alive]
+                rows, counts = found.of(n)
+                alive = np.arange(len(rows))
+                for d, places in enumerate(found.cells(rows, lang, cells)):
+                    at = places[alive] + d * cells
+                    alive = alive[(marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                names, counts = [found.phrase(rows[i]) for i in alive], counts[alive]
                 for at in range(0, len(names), 1 << 16):
-                    some = names[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), n, np.int32)), pa.array(some, pa.binary()).cast(pa.string()), pa.array(counts[at : at + (1 << 16)].astype(np.int64))], names=["lang", "n_words", "phrase", "f"])
+                    yield told(lang, n, names[at : at + (1 << 16)], counts[at : at + (1 << 16)])
 
     parts = documents.mapInArrow(run, "lang string, n_words int, phrase string, f long")
     return parts.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
@@ -235,8 +236,8 @@ def _mined(documents: DataFrame, longest: int, least: int, covered: int, top: in
     free_shuffles(docs.sparkSession)
     counts = materialize(counted(docs, marked, cells, longest), "phrase-counts")
     free_shuffles(docs.sparkSession)
-    total = counts.where("n_words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = counts.where(F.col("f") >= least).select("lang", "n_words", "phrase", "f")
+    total = counts.where("n_words = 0 and f > 0").select("lang", F.col("f").alias("n"))
+    frequent = counts.where((F.col("f") >= least) & (F.col("n_words") > 0)).select("lang", "n_words", "phrase", "f")
     candidates = frequent.where("n_words > 1").withColumn("w", F.split("phrase", " ", -1))
     # what a candidate asks for: its parts' counts; what it tells: to the candidates inside it, its own
     piece = lambda first, n: F.array_join(F.slice("w", first, n), " ")
@@ -246,7 +247,7 @@ def _mined(documents: DataFrame, longest: int, least: int, covered: int, top: in
     )
     asked = candidates.select("lang", "phrase", F.explode(F.flatten(cuts)).alias("c")).select("lang", "phrase", F.col("c.part").alias("part"), F.col("c.k").alias("k"), F.col("c.side").alias("side"))
     known = frequent.select("lang", F.col("phrase").alias("part"), F.col("f").alias("x"))
-    answers = materialize(asked, "phrase-parts").join(known, ["lang", "part"]).select("lang", "phrase", "k", "side", "x")
+    answers = asked.join(known, ["lang", "part"]).select("lang", "phrase", "k", "side", "x")
     shorter = F.flatten(
         F.transform(
             F.when(F.col("n_words") > 2, F.sequence(F.lit(2), F.col("n_words") - 1)).otherwise(F.array().cast("array<int>")),
