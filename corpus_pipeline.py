@@ -77,5 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Sketches, suffix sorting and tokens are not for SQL: tests/llm tests small cases; a brute-force version is still to be written.
+#: Sketches, suffix sorting and tokens are not for SQL: tests/llm holds it against a brute-force version.
 ORACLE_SQL = None
