@@ -5,7 +5,8 @@
    the smaller of its count and that.
 2. The cells that reached it, a bit each, go to all tasks, which aggregate exactly those words and phrases whose every cell
    is marked, and the number of all words. The sketch only overestimates, so that nothing frequent is lost; what it lets through too much falls to its exact count.
-3. A phrase's cuts, and the longer phrases that hold it, are looked up by key; scores are whole numbers from exact decimals.
+3. Of phrases inside longer ones, those that the longer ones cover go; the parts of the others' cuts are looked up by key; scores are whole numbers
+   from exact decimals. Each task gives its best of each language, which are ranked together.
 
 A sketch has about a cell for each 16 bytes of text, within bounds that fit into a task (SMALLEST, LARGEST cells a row): beyond them more
 phrases come through to the exact count, up to all of them, and results stay the same. What is sent to all tasks is at most
@@ -20,13 +21,15 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +45,8 @@ BYTES_A_CELL = 16
 SLICE = 1 << 16
 #: Bytes of text counted at once.
 BLOCK = 1 << 22
+#: Counts that a task adds up before it gives them, and bytes of text for each bucket of counts.
+HELD, BUCKET = 1 << 22, 1 << 23
 
 _SMALL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 U64 = np.uint64
@@ -193,31 +198,97 @@ def packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=["slice", "cells"])
 
 
-def told(lang: str, n: int, names: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([lang] * len(names), pa.string()), pa.array(np.full(len(names), n, np.int32)), pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "phrase", "f"])
+def counted(documents: DataFrame, bits: np.ndarray, cells: int, longest: int, least: int, buckets: int) -> DataFrame:
+    """lang, n_words, phrase, f: exact counts of the words and phrases whose cells are all marked, if they reach the least count; with n_words 0, of all words together.
 
-
-def counted(documents: DataFrame, bits: np.ndarray, cells: int, longest: int) -> DataFrame:
-    """lang, n_words, phrase, f: exact counts of the words and phrases whose cells are all marked; with n_words 0, of all words together."""
+    A task adds up what it has and gives it by buckets of phrases, each in sorted order and packed; a bucket is as much as so many bytes of text have, whatever the size of the input.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(bits)
+    schema = "lang string, n_words int, bucket long, phrases binary, counts binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = sent.value
+        held: dict[tuple[str, int], list[pa.Table]] = defaultdict(list)
+        waiting = 0
         for lang, found in by_language(batches):
-            yield told(lang, 0, [b""], found.counts.sum(keepdims=True))
+            held[lang, 0].append(sums([b""], found.counts.sum(keepdims=True)))
             for n in range(1, longest + 1):
                 rows, counts = found.of(n)
                 alive = np.arange(len(rows))
                 for d, places in enumerate(found.cells(rows, lang, cells)):
                     at = places[alive] + d * cells
                     alive = alive[(marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                names, counts = [found.phrase(rows[i]) for i in alive], counts[alive]
-                for at in range(0, len(names), 1 << 16):
-                    yield told(lang, n, names[at : at + (1 << 16)], counts[at : at + (1 << 16)])
+                held[lang, n].append(sums([found.phrase(rows[i]) for i in alive], counts[alive]))
+                waiting += len(alive)
+            if waiting > HELD:
+                held = defaultdict(list, {key: [added(parts)] for key, parts in held.items()})
+                waiting = sum(parts[0].num_rows for parts in held.values())
+                if waiting > HELD // 2:
+                    yield from dealt(held, buckets)
+                    held, waiting = defaultdict(list), 0
+        yield from dealt(held, buckets)
+
+    def merge(found: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        parts = [sums(unpack.decompress(p).split(b"\n"), np.frombuffer(unpack.decompress(c), np.int64)) for p, c in zip(found.column("phrases").to_pylist(), found.column("counts").to_pylist(), strict=True)]
+        lang, n, whole = found.column("lang")[0].as_py(), found.column("n_words")[0].as_py(), added(parts)
+        if n:
+            whole = whole.filter(pc.greater_equal(whole.column("f"), least))
+        columns = [pa.array([lang] * whole.num_rows, pa.string()), pa.array(np.full(whole.num_rows, n, np.int32)), whole.column("phrase").cast(pa.string()), whole.column("f")]
+        return pa.table(dict(zip(("lang", "n_words", "phrase", "f"), columns, strict=True)))
+
+    return documents.mapInArrow(count, schema).groupBy("lang", "n_words", "bucket").applyInArrow(merge, "lang string, n_words int, phrase string, f long")
+
+
+def sums(names: list[bytes], counts: np.ndarray) -> pa.Table:
+    return pa.table({"phrase": pa.array(names, pa.binary()), "f": pa.array(counts.astype(np.int64))})
+
+
+def added(parts: list[pa.Table]) -> pa.Table:
+    """Tables of counts as one, with each phrase once."""
+    found = pa.concat_tables(parts).group_by("phrase").aggregate([("f", "sum")])
+    return pa.table({"phrase": found.column("phrase"), "f": found.column("f_sum")})
+
+
+def dealt(held: dict[tuple[str, int], list[pa.Table]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts by buckets of phrases: sorted, so that they pack well."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for (lang, n), parts in held.items():
+        whole = added(parts).sort_by("phrase")
+        names, counts = whole.column("phrase").to_pylist(), whole.column("f").to_numpy()
+        of = (pd.util.hash_array(np.array(names, object), categorize=False) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
+        rows: list[tuple] = []
+        for begin, end in zip(np.concatenate(([0], ends[:-1])), ends, strict=True) if len(order) else ():
+            own = order[begin:end]
+            rows.append((lang, n, int(of[own[0]]), pack.compress(b"\n".join(names[i] for i in own)), pack.compress(counts[own].tobytes())))
+            if len(rows) == 256:
+                yield counted_rows(rows)
+                rows = []
+        if rows:
+            yield counted_rows(rows)
 
-    parts = documents.mapInArrow(run, "lang string, n_words int, phrase string, f long")
-    return parts.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
+
+def counted_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "n_words", "bucket", "phrases", "counts"])
+
+
+def best_of_tasks(scored: DataFrame, top: int) -> DataFrame:
+    """Each task's first `top` rows of each language: all that can be among the first of all, and bounded for the task that ranks a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if held is None else pa.concat_tables([held, rows])).sort_by([("lang", "ascending"), ("score", "descending"), ("a", "descending"), ("phrase", "ascending")])
+            lang = pd.Series(rows.column("lang").to_pylist(), dtype=object)
+            held = rows.filter(pa.array((lang.groupby(lang).cumcount() < top).to_numpy(bool))).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    return scored.mapInArrow(run, scored.schema)
 
 
 def mine_phrases(documents: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, top: int | None = TOP) -> DataFrame:
@@ -234,35 +305,36 @@ def _mined(documents: DataFrame, longest: int, least: int, covered: int, top: in
     cells = min(LARGEST, max(SMALLEST, 1 << (size // BYTES_A_CELL).bit_length()))
     marked = sketched(docs, cells, least, longest)
     free_shuffles(docs.sparkSession)
-    counts = materialize(counted(docs, marked, cells, longest), "phrase-counts")
+    counts = materialize(counted(docs, marked, cells, longest, least, 1 + size // BUCKET), "phrase-counts")
     free_shuffles(docs.sparkSession)
     total = counts.where("n_words = 0 and f > 0").select("lang", F.col("f").alias("n"))
-    frequent = counts.where((F.col("f") >= least) & (F.col("n_words") > 0)).select("lang", "n_words", "phrase", "f")
-    candidates = frequent.where("n_words > 1").withColumn("w", F.split("phrase", " ", -1))
-    # what a candidate asks for: its parts' counts; what it tells: to the candidates inside it, its own
-    piece = lambda first, n: F.array_join(F.slice("w", first, n), " ")
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.col("n_words") - 1),
-        lambda k: F.array(F.struct(piece(F.lit(1), k).alias("part"), k.alias("k"), F.lit("l").alias("side")), F.struct(piece(k + 1, F.col("n_words") - k).alias("part"), k.alias("k"), F.lit("r").alias("side"))),
-    )
-    asked = candidates.select("lang", "phrase", F.explode(F.flatten(cuts)).alias("c")).select("lang", "phrase", F.col("c.part").alias("part"), F.col("c.k").alias("k"), F.col("c.side").alias("side"))
-    known = frequent.select("lang", F.col("phrase").alias("part"), F.col("f").alias("x"))
-    answers = asked.join(known, ["lang", "part"]).select("lang", "phrase", "k", "side", "x")
-    shorter = F.flatten(
-        F.transform(
-            F.when(F.col("n_words") > 2, F.sequence(F.lit(2), F.col("n_words") - 1)).otherwise(F.array().cast("array<int>")),
-            lambda m: F.transform(F.sequence(F.lit(1), F.col("n_words") - m + 1), lambda i: piece(i, m)),
-        )
-    )
-    told = candidates.select("lang", F.explode(F.array_distinct(shorter)).alias("phrase"), F.lit(0).alias("k"), F.lit("longer").alias("side"), F.col("f").alias("x"))
-    own = candidates.select("lang", "phrase", F.lit(0).alias("k"), F.lit("own").alias("side"), F.col("f").alias("x"))
-    of = lambda k, side: F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("x")))
-    gathered = answers.unionByName(told).unionByName(own).groupBy("lang", "phrase").agg(of(0, "own").alias("a"), of(0, "longer").alias("longer"), *(of(k, s).alias(f"{s}{k}") for k in range(1, longest) for s in "lr"))
-    gathered = gathered.where(F.col("a").isNotNull() & ~(100 * F.coalesce("longer", F.lit(0)) >= covered * F.col("a")))
+    of_length = {n: counts.where(F.col("n_words") == n).select("lang", "phrase", "f") for n in range(1, longest + 1)}
+    of_length[1] = materialize(of_length[1], "word-counts")  # apart, so that Spark sees its size: below its limit it goes to all tasks
+    words = F.split("phrase", " ", -1)
+
+    def piece(first: int, n: int) -> Column:
+        return F.array_join(F.slice(words, first, n), " ")
+
+    def asked(rows: DataFrame, first: int, n: int, name: str) -> DataFrame:
+        """rows with the count of n of the phrase's words, from the first one."""
+        known = of_length[n].select(F.col("lang").alias("_lang"), F.col("phrase").alias("_part"), F.col("f").alias(name))
+        return rows.withColumn("_piece", piece(first, n)).join(known, (F.col("lang") == F.col("_lang")) & (F.col("_piece") == F.col("_part"))).drop("_lang", "_part", "_piece")
+
     big = "cast({} as decimal(16, 0))"
-    scores = [F.when(F.col(f"l{k}").isNotNull(), F.struct(F.expr(f"(1000000 * {big.format('a')} * {big.format('a')}) div ({big.format(f'l{k}')} * {big.format(f'r{k}')})").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, longest)]
-    cut = scores[0] if longest == 2 else F.least(*scores)
-    scored = gathered.select("lang", "phrase", "a", cut.alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    parts = []
+    for n in range(2, longest + 1):
+        rows = of_length[n].withColumnRenamed("f", "a")
+        inside = [of_length[m].select("lang", piece(i, n).alias("phrase"), "f") for m in range(n + 1, longest + 1) for i in range(1, m - n + 2)]
+        if inside:
+            longer = reduce(DataFrame.unionAll, inside).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+            rows = rows.join(longer, ["lang", "phrase"], "left").where(~(100 * F.coalesce("longer", F.lit(0)) >= covered * F.col("a"))).drop("longer")
+        for first, m, name in sorted([(1, k, f"l{k}") for k in range(1, n)] + [(k + 1, n - k, f"r{k}") for k in range(1, n)], key=lambda x: x[1]):
+            rows = asked(rows, first, m, name)
+        cuts = [F.struct(F.expr(f"(1000000 * {big.format('a')} * {big.format('a')}) div ({big.format(f'l{k}')} * {big.format(f'r{k}')})").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, n)]
+        parts.append(rows.select("lang", "phrase", "a", (F.least(*cuts) if n > 2 else cuts[0]).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
+    scored = reduce(DataFrame.unionAll, parts)
+    if top is not None:
+        scored = best_of_tasks(scored, top)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
     if top is not None:
