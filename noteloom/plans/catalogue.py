@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import windows
+from ..operators import links, windows
 from ..operators.enrich import Stub, enrich
 from ..operators.requests import from_offset, validate
 from ..operators.resolve import resolve, rewrite_links, similar_names
 from ..operators.sinks import snapshot
+from ..operators.staging import stored, staging_folder
 from ..sources import readers
+from ..sources.fetching import Manners, fetch_by_host
+from ..sources.lists import list_entries
 from .ingest import ingest_batch
 
 
@@ -249,6 +253,52 @@ def ingested_pages(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def list_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as JSON lists, many to a file, read by ranges of bytes."""
+    entry = F.to_json(F.struct("doc_id", F.struct("text", F.array("lang").alias("langs")).alias("of")))
+    lists = _t(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 500).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ",\n"), F.lit("]")).alias("value"))
+    path = f"{staging_folder(spark)}/lists-{uuid.uuid4().hex}"
+    lists.select("value", "file").write.partitionBy("file").text(path)
+    row = F.from_json("entry", "doc_id long, of struct<text: string, langs: array<string>>")
+    return list_entries(spark, path).select(row.alias("r")).select("r.doc_id", F.md5("r.of.text").alias("text_md5"), F.get("r.of.langs", F.lit(0)).alias("lang"))
+
+
+def fetched_once(spark: SparkSession, d: str) -> DataFrame:
+    """Two rows for each page's link: some links never answer, some are gone, some answer when they are asked again."""
+    link = F.when(F.col("page_id") % 13 == 5, F.lit(None)).otherwise(F.concat("url", F.lit("#"), F.col("page_id").cast("string")))
+    pages = _t(spark, d, "pages").select("page_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"), link.alias("link"))
+
+    def web():
+        asked: set[str] = set()
+
+        def get(link: str) -> tuple[int, bytes]:
+            kind, again = int(link.rsplit("#", 1)[1]) % 10, link in asked
+            asked.add(link)
+            if kind == 3:
+                raise OSError("reset")
+            return (404, b"") if kind == 4 else (503, b"") if kind == 6 and not again else (200, link.encode())
+
+        return get
+
+    return fetch_by_host(pages, web, Manners(tries=3, pause=0.0)).select("page_id", "copy", "status", F.decode("body", "UTF-8").alias("body"), "error", "tries")
+
+
+def kept_link_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of links after a batch has written every tenth note anew and merged three topics: of each target how many notes, and how many the merges have changed."""
+    notes = _t(spark, d, "customer").select(F.lit("Customer").alias("content_type"), F.col("c_name").alias("title"), F.expr(BODY).alias("body"), (F.col("c_custkey") % 10 == 0).alias("again"))
+    before = links.write_parts(notes.drop("again"), f"{staging_folder(spark)}/notes-{uuid.uuid4().hex}", 64)
+    index = stored(links.link_index(before), "links")
+    again = notes.where("again").select("content_type", "title", F.lit("[[topics/segment/BUILDING]], now alone").alias("body"))
+    after = before.join(again.select("content_type", "title"), ["content_type", "title"], "left_anti").select(*before.columns).unionByName(again.withColumn("part", links.part_of(64)))
+    table = links.write_parts(after.drop("part"), f"{staging_folder(spark)}/notes-{uuid.uuid4().hex}", 64)
+    index = stored(links.with_written(index, again.withColumn("part", links.part_of(64))), "links")
+    of = lambda *values: F.element_at(F.array(*map(F.lit, values)), F.col("r_regionkey") + 1)
+    merges = _t(spark, d, "region").where("r_regionkey < 3").select(of("segment", "nation", "nation").alias("merged_type"), of("BUILDING", "3", "4").alias("merged_name"), F.lit("Concept").alias("type"), of("House", "Sea", "Sea").alias("name"), F.col("r_regionkey").cast("int").alias("topic_idx"))
+    changed, index = links.rewrite_linked(table, index, merges)
+    touched = links.link_index(changed).groupBy("target").agg(F.count(F.lit(1)).alias("n_changed"))
+    return index.groupBy("target").agg(F.count(F.lit(1)).alias("n_notes")).join(touched, "target", "left").select("target", "n_notes", F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+
+
 def tags_known(spark: SparkSession, d: str) -> DataFrame:
     """Membership in a vocabulary as a semi-join: the enumeration is a table."""
     allowed = _t(spark, d, "nation").where("n_nationkey % 2 = 0")
@@ -258,6 +308,7 @@ def tags_known(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     route_loader, medium_redirect, anchor_links, html_text, page_extract, prefix_cut, word_counts, forward_fill, topic_candidates, best_candidate, near_titles, enum_filter, insert_if_absent, last_write_wins,
     edges_backlinks, link_replace, link_chains, fill_by_ranges, failed_answers, note_body, tag_normalise, snapshot_rows, offset_slice, failed_split, validated_requests, enriched_stub, resolved_topics, tags_known, pdf_cut, ingested_pages,
+    list_ranges, fetched_once, kept_link_index,
 )}
 
 _LOADER = """CASE WHEN NOT regexp_matches(link, '^https?://[^/?#]') THEN 'text' WHEN regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1) LIKE '%.pdf'
@@ -327,6 +378,14 @@ r AS (SELECT content_seq, -1 AS topic_idx, NULL::VARCHAR AS name, NULL::VARCHAR
  CASE WHEN len(list_filter(olds, lambda x: NOT list_contains(gone, x))) = 0 THEN gone ELSE list_append(gone, list_filter(olds, lambda x: NOT list_contains(gone, x))[1]) END
  FROM r JOIN c ON c.content_seq = r.content_seq AND c.topic_idx = r.topic_idx + 1)
 SELECT content_seq, topic_idx, 'Concept' AS type, coalesce(merged, name) AS name, 'new' AS description, CASE WHEN merged IS NOT NULL THEN 'Concept' END AS merged_type, merged AS merged_name FROM r WHERE topic_idx >= 0""",
+    "list_ranges": "SELECT doc_id, md5(text) AS text_md5, lang FROM documents",
+    "fetched_once": """SELECT page_id, copy, CAST(CASE WHEN page_id % 13 = 5 OR page_id % 10 = 3 THEN NULL WHEN page_id % 10 = 4 THEN 404 ELSE 200 END AS INTEGER) AS status,
+ CASE WHEN page_id % 13 = 5 OR page_id % 10 = 3 THEN NULL WHEN page_id % 10 = 4 THEN '' ELSE url || '#' || page_id END AS body, CASE WHEN page_id % 13 = 5 THEN 'no link' WHEN page_id % 10 = 3 THEN 'OSError: reset' END AS error,
+ CAST(CASE WHEN page_id % 13 = 5 THEN NULL WHEN page_id % 10 = 3 THEN 3 WHEN page_id % 10 = 6 THEN 2 ELSE 1 END AS INTEGER) AS tries FROM pages, (SELECT unnest([1, 2]) AS copy)""",
+    "kept_link_index": f"""WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '[[topics/segment/BUILDING]], now alone' ELSE {BODY} END AS body FROM customer),
+m AS (SELECT c_custkey, body, replace(replace(replace(body, '[[topics/segment/BUILDING]]', '[[topics/Concept/House]]'), '[[topics/nation/3]]', '[[topics/Concept/Sea]]'), '[[topics/nation/4]]', '[[topics/Concept/Sea]]') AS new FROM n),
+e AS (SELECT c_custkey, body <> new AS changed, unnest(list_distinct(regexp_extract_all(new, '\\[\\[([^\\]|]+)\\]\\]', 1))) AS target FROM m)
+SELECT target, count(*) AS n_notes, count(*) FILTER (changed) AS n_changed FROM e GROUP BY target""",
     "pdf_cut": """WITH l AS (SELECT doc_id, string_split(CASE WHEN doc_id % 10 = 7 THEN 'broken' ELSE coalesce(text, '') END, chr(10)) AS p FROM documents), e AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM l),
 r AS (SELECT doc_id, i, t, sum(len(string_split(t, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM e)
 SELECT doc_id, CASE WHEN doc_id % 10 <> 7 THEN coalesce(string_agg(t, '' ORDER BY i) FILTER (s <= 200), '') END AS content, CASE WHEN doc_id % 10 = 7 THEN 'ValueError: no PDF' END AS reason FROM r GROUP BY doc_id""",

@@ -17,15 +17,16 @@ from ..operators.sinks import sound_names, write_artefacts
 from ..operators.staging import stored
 from ..operators.windows import first_writes, last_writes
 from ..schemas import Model
-from ..sources.readers import fetch, load_contents, split_fetched
+from ..sources.fetching import Manners, fetch_by_host
+from ..sources.readers import load_contents, split_fetched
 
 NOTE = ("content_type", "title", "link", "upload_date", "already_read", "read_priority", "source", "tags", "body")
 
 
-def _enriched(raw: DataFrame, get: Callable, client: Callable[[], Client], extract: Callable | None, vault: str | None, token_limit: int, answers: Answers | None) -> tuple[DataFrame, DataFrame]:
+def _enriched(raw: DataFrame, get: Callable, client: Callable[[], Client], extract: Callable | None, vault: str | None, token_limit: int, answers: Answers | None, manners: Manners) -> tuple[DataFrame, DataFrame]:
     """Contents with what a model says of them (content_seq, ...), and failures (seq, link, reason)."""
     valid, invalid = split_valid(validate(raw))
-    fetched = stored(fetch(valid.withColumn("loader", loader(F.col("link"))), get), "fetched")
+    fetched = fetch_by_host(valid.withColumn("loader", loader(F.col("link"))), get, manners).drop("tries")
     loaded, unloaded = split_fetched(fetched)
     named = F.lit(True)
     if vault is not None:
@@ -64,18 +65,19 @@ def _written(done: DataFrame, judged: DataFrame, content_notes: DataFrame, base:
 
 def ingest_batch(
     raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub,
-    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit, base: str | None = None, answers: Answers | None = None,
+    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit, base: str | None = None, answers: Answers | None = None, manners: Manners = Manners(),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """raw requests (seq, ...): all topic notes, all content notes, and failures (seq, link, reason).
 
     All contents of the batch meet the notes as they were before it; see ingest_in_order for the other way. Paths of
     texts are shown from base, the driver's folder if not given.
     Web pages are parsed, texts taken whole, and of PDFs, whose pages extract gives, the first of at most token_limit / 2
-    words in all; without extract they are failures. With a vault the PDFs are saved there, of equal names the last one; a link without a file's name is a failure then. Each page is fetched once, each
+    words in all; without extract they are failures. With a vault the PDFs are saved there, of equal names the last one; a link without a file's name is a failure then.
+    Each page is fetched once a batch, as manners has it, each
     model and judge asked once: what they answer is written, and all that follows reads it there; with answers it is kept for later batches too. What a page, model or
     judge raises is the failure of its content, which writes nothing.
     """
-    done, failed = _enriched(raw, get, client, extract, vault, token_limit, answers)
+    done, failed = _enriched(raw, get, client, extract, vault, token_limit, answers, manners)
     judged = stored(resolve_asking(_topics(done), topic_notes, judge, answers), "resolved")
     resolved, notes, refused = _written(done, judged, content_notes, base)
     old = content_notes.select(*NOTE).join(notes.where("content_seq >= 0").select("content_type", "title"), ["content_type", "title"], "left_anti")
@@ -87,13 +89,13 @@ def ingest_batch(
 
 def ingest_in_order(
     raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub,
-    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit, base: str | None = None, answers: Answers | None = None,
+    extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit, base: str | None = None, answers: Answers | None = None, manners: Manners = Manners(),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As ingest_batch, but each content meets the notes that those before it (by seq) have left: the same as one batch for each content.
 
     Only contents that may meet wait for each other: see resolve_in_order. Links are rewritten once, at the end, by all merges in their order.
     """
-    done, failed = _enriched(raw, get, client, extract, vault, token_limit, answers)
+    done, failed = _enriched(raw, get, client, extract, vault, token_limit, answers, manners)
     topics = stored(_topics(done), "topics")
     judged, notes, _ = resolve_in_order(topics, done.select("content_seq", "upload_date"), topic_notes, judge, answers)
     resolved, contents, refused = _written(done, judged, content_notes, base)
