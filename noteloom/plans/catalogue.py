@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..operators.staging import stored, staging_folder
 from ..sources import readers
 from ..sources.fetching import Manners, fetch_by_host
 from ..sources.lists import list_entries
+from ..sources.vault import deleted_notes, note_files, read_vault, write_vault
 from .ingest import ingest_batch
 
 
@@ -299,6 +301,17 @@ def kept_link_index(spark: SparkSession, d: str) -> DataFrame:
     return index.groupBy("target").agg(F.count(F.lit(1)).alias("n_notes")).join(touched, "target", "left").select("target", "n_notes", F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
 
 
+def vault_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Two commits to a vault: notes, then some of them anew, some deleted, and others that leave what is there."""
+    vault = f"{urlparse(staging_folder(spark)).path}/vault-{uuid.uuid4().hex}"
+    notes = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name", F.lit("Supplier").alias("kind"))
+    said = lambda rows, word, keep=False: note_files(rows.withColumn("body", F.concat(F.lit(f"{word} "), F.col("s_suppkey").cast("string"))), "kept" if keep else "notes", "kind", "s_name", "body", ["s_nationkey"], keep)
+    write_vault(said(notes, "first").unionByName(said(notes.where("s_suppkey % 4 = 0"), "first", True)), vault)
+    gone = deleted_notes(notes.where("s_suppkey % 5 = 0"), "notes", "kind", "s_name")
+    write_vault(said(notes.where("s_suppkey % 3 = 0"), "second").unionByName(gone).unionByName(said(notes.where("s_suppkey % 2 = 0"), "second", True)), vault)
+    return read_vault(spark, vault, "*/*/*.md", 100).select("path", F.decode("content", "UTF-8").alias("content"))
+
+
 def tags_known(spark: SparkSession, d: str) -> DataFrame:
     """Membership in a vocabulary as a semi-join: the enumeration is a table."""
     allowed = _t(spark, d, "nation").where("n_nationkey % 2 = 0")
@@ -308,7 +321,7 @@ def tags_known(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     route_loader, medium_redirect, anchor_links, html_text, page_extract, prefix_cut, word_counts, forward_fill, topic_candidates, best_candidate, near_titles, enum_filter, insert_if_absent, last_write_wins,
     edges_backlinks, link_replace, link_chains, fill_by_ranges, failed_answers, note_body, tag_normalise, snapshot_rows, offset_slice, failed_split, validated_requests, enriched_stub, resolved_topics, tags_known, pdf_cut, ingested_pages,
-    list_ranges, fetched_once, kept_link_index,
+    list_ranges, fetched_once, kept_link_index, vault_notes,
 )}
 
 _LOADER = """CASE WHEN NOT regexp_matches(link, '^https?://[^/?#]') THEN 'text' WHEN regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1) LIKE '%.pdf'
@@ -386,6 +399,9 @@ SELECT content_seq, topic_idx, 'Concept' AS type, coalesce(merged, name) AS name
 m AS (SELECT c_custkey, body, replace(replace(replace(body, '[[topics/segment/BUILDING]]', '[[topics/Concept/House]]'), '[[topics/nation/3]]', '[[topics/Concept/Sea]]'), '[[topics/nation/4]]', '[[topics/Concept/Sea]]') AS new FROM n),
 e AS (SELECT c_custkey, body <> new AS changed, unnest(list_distinct(regexp_extract_all(new, '\\[\\[([^\\]|]+)\\]\\]', 1))) AS target FROM m)
 SELECT target, count(*) AS n_notes, count(*) FILTER (changed) AS n_changed FROM e GROUP BY target""",
+    "vault_notes": """WITH v AS (SELECT *, 'Supplier/' || s_name || '.md' AS p, '---' || chr(10) || 's_nationkey: ' || s_nationkey || chr(10) || '---' || chr(10) || chr(10) AS f FROM supplier)
+SELECT 'notes/' || p AS path, f || CASE WHEN s_suppkey % 3 = 0 THEN 'second ' ELSE 'first ' END || s_suppkey AS content FROM v WHERE s_suppkey % 3 = 0 OR s_suppkey % 5 <> 0
+UNION ALL SELECT 'kept/' || p, f || CASE WHEN s_suppkey % 4 = 0 THEN 'first ' ELSE 'second ' END || s_suppkey FROM v WHERE s_suppkey % 2 = 0""",
     "pdf_cut": """WITH l AS (SELECT doc_id, string_split(CASE WHEN doc_id % 10 = 7 THEN 'broken' ELSE coalesce(text, '') END, chr(10)) AS p FROM documents), e AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM l),
 r AS (SELECT doc_id, i, t, sum(len(string_split(t, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM e)
 SELECT doc_id, CASE WHEN doc_id % 10 <> 7 THEN coalesce(string_agg(t, '' ORDER BY i) FILTER (s <= 200), '') END AS content, CASE WHEN doc_id % 10 = 7 THEN 'ValueError: no PDF' END AS reason FROM r GROUP BY doc_id""",
