@@ -19,6 +19,7 @@ decimal within 38 digits.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -334,7 +335,9 @@ def _mined(documents: DataFrame, longest: int, least: int, covered: int, top: in
         parts.append(rows.select("lang", "phrase", "a", (F.least(*cuts) if n > 2 else cuts[0]).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
     scored = reduce(DataFrame.unionAll, parts)
     if top is not None:
-        scored = best_of_tasks(scored, top)
+        # twice, the second time by as many tasks as the root of the first: the task that ranks a language gets the square root's rows
+        tasks = math.ceil(math.sqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        scored = best_of_tasks(best_of_tasks(scored, top).repartition(tasks, "phrase"), top)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
     if top is not None:
