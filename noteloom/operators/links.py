@@ -23,6 +23,11 @@ def write_parts(notes: DataFrame, path: str, parts: int = PARTS) -> DataFrame:
     return notes.sparkSession.read.schema(notes.withColumn("part", F.lit(0)).schema).parquet(path)
 
 
+def moved_targets(ways: DataFrame) -> DataFrame:
+    """target: what links say that merges (ways, as followed() gives them) move."""
+    return ways.select(F.expr("substring(old, 3, length(old) - 4)").alias("target")).distinct()
+
+
 def link_index(notes: DataFrame) -> DataFrame:
     """target, part, content_type, title: each [[target]] of each note (with its part) once."""
     targets = F.array_distinct(F.regexp_extract_all("body", F.lit(r"\[\[([^\]|]+)\]\]"), F.lit(1)))
@@ -41,8 +46,7 @@ def without(index: DataFrame, deleted: DataFrame) -> DataFrame:
 
 def linked_notes(index: DataFrame, ways: DataFrame) -> DataFrame:
     """part, content_type, title of the notes with a link that merges (ways, as followed() gives them) move."""
-    moved = ways.select(F.expr("substring(old, 3, length(old) - 4)").alias("target")).distinct()
-    return index.join(moved, "target", "left_semi").select("part", *KEY).distinct()
+    return index.join(moved_targets(ways), "target", "left_semi").select("part", *KEY).distinct()
 
 
 def rewrite_linked(notes: DataFrame, index: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:

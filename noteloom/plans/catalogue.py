@@ -16,11 +16,12 @@ from ..operators.requests import from_offset, validate
 from ..operators.resolve import resolve, rewrite_links, similar_names
 from ..operators.sinks import snapshot
 from ..operators.staging import stored, staging_folder
+from ..operators.store import Store
 from ..sources import readers
 from ..sources.fetching import Manners, fetch_by_host
 from ..sources.lists import list_entries
 from ..sources.vault import deleted_notes, note_files, read_vault, write_vault
-from .ingest import ingest_batch
+from .ingest import ingest_batch, ingest_kept
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -255,6 +256,51 @@ def ingested_pages(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+#: Topics of pages by number: no two of them are similar names.
+SUBJECTS = ("Bakery", "Comet", "Dungeon", "Fjord", "Hymn", "Jigsaw", "Wolf", "Zinc")
+
+
+class _Titled(Stub):
+    """A page says title|topic."""
+
+    def description(self, content: str) -> dict:
+        return {"title": content.split("|")[0], "content_type": "Course", "tags": []}
+
+    def topics(self, content: str) -> list[dict]:
+        return [{"type": "Concept", "name": content.split("|")[1], "description": "of a page"}]
+
+
+def ingested_by_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches into a store by parts: each page, then some of them again with topics that a judge merges with stored ones; the second batch comes twice. Notes, topics and the kept index of links."""
+    pages = _t(spark, d, "pages").select(F.col("page_id").cast("int").alias("seq"))
+    store = Store(spark, f"{staging_folder(spark)}/kept-{uuid.uuid4().hex}")
+
+    def requests(rows: DataFrame, way: str, day: str) -> DataFrame:
+        link = F.concat(F.lit(f"https://x.org/{way}/"), F.col("seq").cast("string"))
+        return rows.select("seq", link.alias("link"), F.lit(day).alias("upload_date"), *(F.lit(None).cast("string").alias(c) for c in ("already_read", "read_priority", "source")))
+
+    def web():
+        def get(link: str) -> tuple[int, bytes]:
+            way, n = link.split("/")[3:]
+            more = "s" if way == "again" and int(n) % 8 < 2 else ""
+            return 200, f"Page {n}|{SUBJECTS[int(n) % 8]}{more}".encode()
+
+        return get
+
+    def judge():
+        return lambda new, old: {"type": "Library", "name": f"All {new['name']}", "description": "merged"} if new["name"] == old["name"] + "s" else None
+
+    ingest_kept(store, requests(pages, "first", "2024-09-04"), web, judge, _Titled, source="pages", batch=0, parts=16)
+    for _ in range(2):
+        ingest_kept(store, requests(pages.where("seq % 9 = 7"), "again", "2024-09-05"), web, judge, _Titled, source="pages", batch=1)
+    rows = [
+        store.read("topics").select(F.lit("topic").alias("kind"), F.concat_ws("/", "type", "name").alias("name"), F.concat_ws(" ", "date", "description").alias("value")),
+        store.read("contents").select(F.lit("content").alias("kind"), F.col("title").alias("name"), F.concat_ws(" ", "upload_date", F.regexp_extract("body", r"\[\[.*\]\]", 0)).alias("value")),
+        store.read("links").groupBy(F.lit("link").alias("kind"), F.col("target").alias("name")).agg(F.count(F.lit(1)).cast("string").alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def list_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Documents as JSON lists, many to a file, read by ranges of bytes."""
     entry = F.to_json(F.struct("doc_id", F.struct("text", F.array("lang").alias("langs")).alias("of")))
@@ -320,7 +366,7 @@ def tags_known(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     route_loader, medium_redirect, anchor_links, html_text, page_extract, prefix_cut, word_counts, forward_fill, topic_candidates, best_candidate, near_titles, enum_filter, insert_if_absent, last_write_wins,
-    edges_backlinks, link_replace, link_chains, fill_by_ranges, failed_answers, note_body, tag_normalise, snapshot_rows, offset_slice, failed_split, validated_requests, enriched_stub, resolved_topics, tags_known, pdf_cut, ingested_pages,
+    edges_backlinks, link_replace, link_chains, fill_by_ranges, failed_answers, note_body, tag_normalise, snapshot_rows, offset_slice, failed_split, validated_requests, enriched_stub, resolved_topics, tags_known, pdf_cut, ingested_pages, ingested_by_parts,
     list_ranges, fetched_once, kept_link_index, vault_notes,
 )}
 
@@ -411,4 +457,9 @@ UNION ALL SELECT 'content', 'kept', 'l|2020-01-01|see [[topics/Library/Counting]
 UNION ALL SELECT 'content', 'Number ' || n, link || '|2024-09-04|Python|' || link || chr(10) || '## Summary' || chr(10) || chr(10) || 'Number ' || n || ' Pages of Python' || chr(10) || '## Links' || chr(10) || chr(10)
  || '- <a href=' || chr(39) || 'http://y.org/' || n || chr(39) || '>Python</a>' || chr(10) || '## Topics' || chr(10) || chr(10) || '- [[topics/Library/Counting]]' || chr(10) || '- [[topics/Concept/Python]]' || chr(10) FROM g
 UNION ALL SELECT 'topic', 'Library/Counting', '2024-09-04 merged' FROM f UNION ALL SELECT 'topic', 'Concept/Python', '2024-09-04 about Python' FROM f""",
+    "ingested_by_parts": f"""WITH p AS (SELECT page_id AS n, list_value({", ".join(f"'{x}'" for x in SUBJECTS)})[CAST(page_id % 8 AS INT) + 1] AS w, page_id % 8 < 2 AS s, page_id % 9 = 7 AS again FROM pages),
+m AS (SELECT w, bool_or(again) AND s AS merged FROM p GROUP BY w, s), t AS (SELECT n, w, again, merged, CASE WHEN merged THEN 'Library/All ' || w || 's' ELSE 'Concept/' || w END AS topic FROM p JOIN m USING (w))
+SELECT 'content' AS kind, 'Page ' || n AS name, CASE WHEN again THEN '2024-09-05' ELSE '2024-09-04' END || ' [[topics/' || topic || ']]' AS value FROM t
+UNION ALL SELECT 'link', 'topics/' || topic, CAST(count(*) AS VARCHAR) FROM t GROUP BY topic
+UNION ALL SELECT DISTINCT 'topic', topic, CASE WHEN merged THEN '2024-09-05 merged' ELSE '2024-09-04 of a page' END FROM t""",
 }

@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from ..functions.columns import hyperlink, last_segment, loader, normalise_tags, note_body, note_name
 from ..operators.answers import Answers
 from ..operators.enrich import Client, Stub, enrich
+from ..operators.links import KEY, PARTS, link_index, linked_notes, moved_targets, part_of
 from ..operators.requests import split_valid, validate
-from ..operators.resolve import Judge, drop_merged, resolve_asking, rewrite_links, similar_names, topic_rows
+from ..operators.resolve import Judge, drop_merged, followed, resolve_asking, rewrite_links, similar_names, topic_rows
 from ..operators.sinks import sound_names, write_artefacts
 from ..operators.staging import stored
+from ..operators.store import Parts, Store
 from ..operators.windows import first_writes, last_writes
 from ..schemas import Model
 from ..sources.fetching import Manners, fetch_by_host
 from ..sources.readers import load_contents, split_fetched
+from ..streaming.landing import CONTENT_ROWS, TOPIC_ROWS
 
 NOTE = ("content_type", "title", "link", "upload_date", "already_read", "read_priority", "source", "tags", "body")
+LINK_ROWS = "target string, part int, content_type string, title string, shelf int"
 
 
 def _enriched(raw: DataFrame, get: Callable, client: Callable[[], Client], extract: Callable | None, vault: str | None, token_limit: int, answers: Answers | None, manners: Manners) -> tuple[DataFrame, DataFrame]:
@@ -47,8 +51,8 @@ def _topics(done: DataFrame) -> DataFrame:
     return done.select("content_seq", F.posexplode("topics").alias("topic_idx", "t")).select("content_seq", "topic_idx", "t.type", "t.name", "t.description")
 
 
-def _written(done: DataFrame, judged: DataFrame, content_notes: DataFrame, base: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Merges of the contents that no judge failed, content notes after them (with content_seq, -1 for earlier ones), and failures."""
+def _new_notes(done: DataFrame, judged: DataFrame, base: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merges of the contents that no judge failed, their notes (with content_seq), and failures."""
     failed = judged.where("error is not null").groupBy("content_seq").agg(F.min("error").alias("reason"))
     resolved = judged.where("error is null").drop("error")
     sound = done.join(failed, "content_seq", "left_anti")
@@ -58,9 +62,14 @@ def _written(done: DataFrame, judged: DataFrame, content_notes: DataFrame, base:
         "content_seq", F.col("description.content_type").alias("content_type"), note_name(F.col("description.title")).alias("title"), "link", F.date_format("upload_date", "yyyy-MM-dd").alias("upload_date"),
         "already_read", "read_priority", "source", normalise_tags(F.col("description.tags.name")).alias("tags"), body.alias("body"),
     )
-    new = last_writes(notes, ["content_type", "title"], ["content_seq"])
+    return resolved, last_writes(notes, ["content_type", "title"], ["content_seq"]), done.join(failed, "content_seq").select("seq", "link", "reason")
+
+
+def _written(done: DataFrame, judged: DataFrame, content_notes: DataFrame, base: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As _new_notes, with all content notes after the batch (content_seq is -1 for earlier ones)."""
+    resolved, new, refused = _new_notes(done, judged, base)
     kept = content_notes.select(*NOTE).join(new.select("content_type", "title"), ["content_type", "title"], "left_anti").withColumn("content_seq", F.lit(-1).cast("long"))
-    return resolved, kept.unionByName(new), done.join(failed, "content_seq").select("seq", "link", "reason")
+    return resolved, kept.unionByName(new), refused
 
 
 def ingest_batch(
@@ -87,6 +96,62 @@ def ingest_batch(
     return left.unionByName(new_topics), contents, failed.unionByName(refused)
 
 
+def _numbers(df: DataFrame, column: str) -> list[int]:
+    """Numbers of parts, at most as many as there are parts."""
+    return sorted(r[0] for r in df.select(column).distinct().collect())
+
+
+def ingest_kept(
+    store: Store, raw: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub, extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit,
+    base: str | None = None, answers: Answers | None = None, manners: Manners = Manners(), source: str | None = None, batch: int | None = None, parts: int = PARTS,
+) -> bool:
+    """The same notes as ingest_batch leaves, in a store that keeps them by parts, with an index of links: a batch reads and writes anew only parts with notes that it concerns.
+
+    Tables of the store: topics, contents, links (target, part, content_type, title: each link of each note once, on the shelf of its target) and
+    failures (of each version apart). Of contents those parts are read that get a new note or have one with a link to a merged topic, as the index says; of
+    links the shelves of merged topics and of what written notes linked to and link to now. Of topics all are read, as any may be similar. All
+    changes are one commit. False if the source's batch was committed before. parts: for a new store; later batches keep to it.
+    """
+    if source is not None and batch is not None and store.seen(source, batch):
+        return False
+    parts = store.parts_of("contents") or parts
+    of_part, of_topic, shelf = part_of(parts), F.pmod(F.xxhash64("type", "name"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int")
+    topics = store.read("topics", f"{TOPIC_ROWS}, part int")
+    done, failed = _enriched(raw, get, client, extract, vault, token_limit, answers, manners)
+    judged = stored(resolve_asking(_topics(done), topics.drop("part"), judge, answers), "resolved")
+    resolved, new, refused = _new_notes(done, judged, base)
+    new = stored(new.drop("content_seq").withColumn("part", of_part), "new-notes")
+
+    ways = stored(followed(resolved), "ways")
+    index = store.read("links", LINK_ROWS, _numbers(moved_targets(ways).select(shelf.alias("shelf")), "shelf"))
+    found = stored(linked_notes(index, ways), "linked")
+    concerned = stored(found.unionByName(new.select("part", *KEY)).distinct(), "concerned")
+    touched = _numbers(concerned, "part")
+    old = store.read("contents", f"{CONTENT_ROWS}, part int", touched)
+    at = ["part", *KEY]
+    changed = stored(rewrite_links(old.join(found, at, "left_semi").join(new, at, "left_anti"), resolved, ways).unionByName(new), "changed-notes")
+    contents = old.join(concerned, at, "left_anti").unionByName(changed)
+
+    after = stored(link_index(changed).withColumn("shelf", shelf), "links-after")
+    before = link_index(old.join(concerned, at, "left_semi")).select(shelf.alias("shelf"))
+    shelves = _numbers(before.union(after.select("shelf")), "shelf")
+    links = store.read("links", LINK_ROWS, shelves).join(concerned, at, "left_anti").unionByName(after)
+
+    left = drop_merged(topics, resolved)
+    fresh = topic_rows(resolved, done.select("content_seq", "upload_date"))
+    first = stored(first_writes(fresh, ["type", "name"], ["content_seq", "topic_idx"], left).select("type", "name", "date", "description").withColumn("part", of_topic), "new-topics")
+    gone = resolved.where("merged_name is not null").select(F.col("merged_type").alias("type"), F.col("merged_name").alias("name"))
+    concerned_topics = _numbers(first.select("part").union(gone.select(of_topic.alias("part"))), "part")
+
+    version = store.manifest()["version"] + 1
+    reasons = failed.unionByName(refused).select(F.lit(version).alias("version"), F.col("seq").cast("long").alias("seq"), "link", "reason")
+    changes = {
+        "topics": Parts(left.unionByName(first), "part", concerned_topics, parts), "contents": Parts(contents, "part", touched, parts),
+        "links": Parts(links, "shelf", shelves, parts), "failures": Parts(reasons, "version", [version]),
+    }
+    return store.commit({}, source, batch, changes)
+
+
 def ingest_in_order(
     raw: DataFrame, topic_notes: DataFrame, content_notes: DataFrame, get: Callable, judge: Judge, client: Callable[[], Client] = Stub,
     extract: Callable[[bytes], list[str]] | None = None, vault: str | None = None, token_limit: int = Model.token_limit, base: str | None = None, answers: Answers | None = None, manners: Manners = Manners(),

@@ -17,6 +17,22 @@ TOPIC_ROWS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TOPIC_NO
 CONTENT_ROWS = ", ".join(f"{f.name} {f.dataType.simpleString() if f.name != 'upload_date' else 'string'}" for f in CONTENT_NOTE)
 
 
+def in_order(requests: DataFrame) -> DataFrame:
+    """Requests with seq, in the order of what they say."""
+    ordered = requests.select(*RAW_REQUEST.names).orderBy("upload_date", "link", "source", "read_priority", "already_read")
+    return stored(ordered.withColumn("seq", F.monotonically_increasing_id()), "requests")
+
+
+def ingest_kept_into(store: Store, ingest: Callable[[Store, DataFrame, str, int], bool], source: str = "landing") -> Callable[[DataFrame, int], None]:
+    """A handler for watch() as ingest_into(), for a store by parts: ingest(store, requests, source, batch) commits the batch, as ingest_kept does."""
+
+    def handle(requests: DataFrame, batch: int) -> None:
+        if not store.seen(source, batch):
+            ingest(store, in_order(requests), source, batch)
+
+    return handle
+
+
 def ingest_into(store: Store, ingest: Callable[[DataFrame, DataFrame, DataFrame], tuple[DataFrame, DataFrame, DataFrame]], source: str = "landing") -> Callable[[DataFrame, int], None]:
     """A handler for watch(): each batch's topics, contents and failures become one version of the store, once, however often the batch comes.
 
@@ -27,8 +43,7 @@ def ingest_into(store: Store, ingest: Callable[[DataFrame, DataFrame, DataFrame]
     def handle(requests: DataFrame, batch: int) -> None:
         if store.seen(source, batch):
             return
-        ordered = requests.select(*RAW_REQUEST.names).orderBy("upload_date", "link", "source", "read_priority", "already_read")
-        numbered = stored(ordered.withColumn("seq", F.monotonically_increasing_id()), "requests")
+        numbered = in_order(requests)
         topics, contents = store.read("topics", TOPIC_ROWS), store.read("contents", CONTENT_ROWS)
         topics, contents, failed = ingest(numbered, topics, contents)
         failures = store.read("failures", "batch long, seq long, link string, reason string")
