@@ -423,7 +423,8 @@ def split_groups(fragments: DataFrame, length: int, group: int, parts: int = PAR
         salted = materialize(large.groupBy("key", "same", salt.alias("salt")).agg(F.min(row).alias("one"), places.alias("places")), "salted")
         free_shuffles(fragments.sparkSession)
         kinds = materialize(salted.groupBy("key", "same").agg(F.sum(F.size("places")).alias("n"), F.min("one").alias("one")), "kinds")
-        numbers = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        # written, so that both sides of its join are shuffled for it, and Spark can split a key that many kinds have
+        numbers = materialize(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "numbers")
         equal = salted.select("key", "same", "places").join(kinds.where("n > 1").select("key", "same"), ["key", "same"])
         runs.append(equal.select(F.explode("places").alias("p")).where("not p.copied").select("p.k1", "p.k2", "p.start", "p.end"))
         left = kinds.join(numbers, "key").select("key", "same", "one.*", "n", "kinds").withColumn("copied", F.col("copied") | (F.col("n") > 1))
