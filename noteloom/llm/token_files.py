@@ -34,37 +34,52 @@ SHARD_TOKENS = 1 << 18
 MIN_COUNT = 6
 #: Pairs of about the same frequency are replaced in one round; it steers cost and, a little, the size of the grammar.
 FALL = 64
+#: Where a document ends, no pair starts: keys from here downwards.
+NO_PAIR = -1
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- grammar -----------------------------------------------------------------
 
 
-def frequent_pairs(key: np.ndarray, min_count: int, fall: int) -> tuple[np.ndarray, int]:
-    """The pairs that occur at least as often as a fall-th of the commonest, rising in frequency; and that least count."""
-    ordered = np.sort(key)
+def frequent_pairs(key: np.ndarray, min_count: int, fall: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """The pairs that occur at least as often as a fall-th of the commonest, rising in frequency; that least count; and the only places where these pairs can be.
+
+    Pairs are counted by hashed buckets first, and only those of buckets with enough of them are sorted.
+    """
+    bits = max(8, len(key).bit_length())
+    bucket = ((key.view(np.uint64) * SPREAD) >> np.uint64(64 - bits)).view(np.int64)
+    sizes = np.bincount(bucket, minlength=1 << bits)
+    fullest = key[bucket == sizes.argmax()]
+    fullest = np.unique(fullest[fullest >= 0], return_counts=True)[1]
+    # the commonest pair occurs as often as this or more
+    bound = max(min_count, int(fullest.max(initial=0)) // fall)
+    places = np.flatnonzero((sizes >= bound)[bucket])
+    ordered = np.sort(key[places])
+    ordered = ordered[np.searchsorted(ordered, 0) :]
+    if not len(ordered):
+        return ordered, min_count, places
     edge = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
     counts = np.diff(np.append(edge, len(ordered)))
-    counts[ordered[edge] < 0] = 0  # no pair: the end of a document
     least = max(min_count, int(counts.max()) // fall)
     often = counts >= least
-    return ordered[edge[often]][np.argsort(counts[often], kind="stable")], least
+    return ordered[edge[often]][np.argsort(counts[often], kind="stable")], least, places
 
 
-def occurrences(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(key: np.ndarray, chosen: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where chosen pairs begin, and which they are, without overlaps: the more frequent pair comes first, and of a run of one pair (as in aaaa) every second.
 
-    Pairs are looked up in a hash table in which a pair may hide a less frequent one, whose turn then comes in a later round.
+    places: where to look. Pairs are looked up in a hash table in which a pair may hide a less frequent one, whose turn then comes in a later round.
     """
     bits = max(8, (4 * len(chosen)).bit_length())
     slot = lambda pairs: (pairs.view(np.uint64) * SPREAD) >> np.uint64(64 - bits)
     slots = np.full(1 << bits, -1, np.int32)
     slots[slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
-    place = slots[slot(key)]
-    at = np.flatnonzero(place >= 0)
-    place = place[at]
-    hit = chosen[place] == key[at]
-    at, place = at[hit], place[hit]
+    pairs = key[places]
+    place = slots[slot(pairs)]
+    hit = np.flatnonzero(place >= 0)
+    hit = hit[chosen[place[hit]] == pairs[hit]]
+    at, place = places[hit], place[hit]
     touches = np.diff(at) == 1
     follows = np.flatnonzero(touches & (place[1:] == place[:-1])) + 1
     if len(follows):
@@ -91,11 +106,11 @@ def repair(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, fall:
     only_once = False
     while len(sequence) > 1:
         key = (sequence[:-1] << 32) | sequence[1:]
-        key[last[:-1]] = -1
-        chosen, least = frequent_pairs(key, min_count, 1 << 40 if only_once else fall)
+        key[last[:-1]] = NO_PAIR - np.flatnonzero(last[:-1])  # each apart
+        chosen, least, places = frequent_pairs(key, min_count, 1 << 40 if only_once else fall)
         if not len(chosen):
             break
-        at, place = occurrences(key, chosen)
+        at, place = occurrences(key, chosen, places)
         pays = np.bincount(place, minlength=len(chosen)) >= min_count
         at, place = at[pays[place]], place[pays[place]]
         if not len(at):  # what is common only overlaps itself or others: one look at all pairs, then an end

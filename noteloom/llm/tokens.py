@@ -23,8 +23,12 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def ranked(path: str):
-    """A byte-level vocabulary in tiktoken's format."""
+#: The pieces of a byte-level vocabulary where no two characters of white space stand side by side: without looking ahead, which is the slow part of the pattern.
+SINGLE_SPACED = f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^ \\n\\t0-9{LETTERS}]+|[ \\n\\t]"
+
+
+def ranked(path: str, pattern: str | None = None):
+    """A byte-level vocabulary in tiktoken's format; pattern: of its pieces, if not its own."""
     import base64
 
     import public_tokenizers
@@ -32,7 +36,7 @@ def ranked(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class TextEncoder:
@@ -52,6 +56,8 @@ class TextEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.ranked = None if ranks is None else ranked(ranks)
+        self.single_spaced = None if ranks is None else ranked(ranks, SINGLE_SPACED)
+        self.wide = re.compile("[ \\n\\t]{2}").search
         self.cache: dict[str, bytes] = {}
         self.cache_pieces = cache_pieces
         self.keeps_space = self.library.normalizer is None
@@ -90,7 +96,7 @@ class TextEncoder:
         if self.ranked is not None:
             whole = [i for i, t in enumerate(texts) if "<|" in t or not self.simple(t)]
             others = dict(zip(whole, self._library_ids([texts[i] for i in whole]) if whole else (), strict=True))
-            return [others[i] if i in others else self.ranked.encode_to_numpy(t).astype("<u4").tobytes() for i, t in enumerate(texts)]
+            return [others[i] if i in others else (self.ranked if self.wide(t) else self.single_spaced).encode_to_numpy(t).astype("<u4").tobytes() for i, t in enumerate(texts)]
         if len(self.cache) > self.cache_pieces:
             self.cache = {}
         cache, out, pending = self.cache, [b""] * len(texts), []
