@@ -147,15 +147,26 @@ def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]], first: in
     return files.select("path", F.posexplode(found).alias("page", "text"))
 
 
-def pdf_texts(body: Column, extract: Callable[[bytes], list[str]] | None) -> Column:
-    """PDFs as bytes: struct(pages: their texts, error: why they could not be read); null pages for null."""
+def first_pages(pages: list[str | None], limit: float) -> list[str]:
+    """Pages up to the first with which there are more than limit words (as word_count counts them) in all, that one included: all that a cut at the limit looks at."""
+    kept, words = [], 0
+    for page in pages:
+        kept.append(page or "")
+        words += kept[-1].count(" ") + 1
+        if words > limit:
+            break
+    return kept
+
+
+def pdf_texts(body: Column, extract: Callable[[bytes], list[str]] | None, limit: float = float("inf")) -> Column:
+    """PDFs as bytes: struct(pages: the texts of their first_pages(), error: why they could not be read); null pages for null."""
 
     @F.pandas_udf("pages array<string>, error string")
     def read(content: pd.Series) -> pd.DataFrame:
         rows = []
         for raw in content:
             try:
-                rows.append((None if raw is None else [t or "" for t in extract(bytes(raw))], None))
+                rows.append((None if raw is None else first_pages(extract(bytes(raw)), limit), None))
             except Exception as e:  # any failure is the row's, not the batch's
                 rows.append((None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["pages", "error"])
@@ -181,7 +192,7 @@ def load_contents(loaded: DataFrame, extract: Callable[[bytes], list[str]] | Non
     PDFs give their first pages of at most limit words in all. Bodies are read in one pass, whatever their loader.
     """
     of = lambda kind: F.when(F.col("loader") == kind, F.col("body"))
-    pages = extract_pages(loaded.withColumn("html", of("url")), "html").withColumns({"pdf": pdf_texts(of("pdf"), extract), "plain": plain_text(of("text"))})
+    pages = extract_pages(loaded.withColumn("html", of("url")), "html").withColumns({"pdf": pdf_texts(of("pdf"), extract, limit), "plain": plain_text(of("text"))})
     content = F.when(F.col("loader") == "pdf", prefix_cut_array(F.col("pdf.pages"), limit)["content"]).when(F.col("loader") == "text", F.col("plain")).otherwise(F.col("content"))
     read = pages.withColumns({"content": content, "content_links": F.when(F.col("loader") == "url", F.col("content_links")), "error": F.col("pdf.error")}).drop("html", "pdf", "plain", "anchors")
     return read.where("error is null"), read.where("error is not null")
