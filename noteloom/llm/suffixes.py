@@ -41,6 +41,8 @@ PASSAGE = 250
 GROUP, PARTS = 4000, 4
 #: Fragments sorted at once (whole groups, so up to GROUP more).
 SORT_MEMBERS = 4000
+#: Places that a task turns into runs of documents at once; more only if one document has them.
+PLACES = 1 << 15
 NO_ID = -(1 << 63)
 _PLACE_BITS = 21
 _random = np.random.Generator(np.random.PCG64(77))
@@ -397,8 +399,65 @@ def fragment_batches(rows: Iterator[dict], limit: int = 4 << 20) -> Iterator[pa.
         yield pa.RecordBatch.from_pylist(held, pa.schema(FRAGMENT))
 
 
+def united(k1: np.ndarray, k2: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of documents in order of k1, k2 and start; overlapping and touching ones are one."""
+    order = np.lexsort((start, k2, k1))
+    k1, k2, start, end = k1[order], k2[order], start[order], end[order]
+    new = np.ones(len(k1), bool)
+    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    above = np.cumsum(new) * (int(end.max(initial=0)) + 1)  # so that no end reaches into the next document
+    reach = np.maximum.accumulate(above + end)
+    new[1:] |= (above + start)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return k1[first], k2[first], start[first], (reach - above)[np.append(first[1:], len(new))[: len(first)] - 1]
+
+
+def listed(counts: np.ndarray, **columns: np.ndarray) -> pa.Array:
+    """Lists of so many structs each."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in columns.values()], names=list(columns)))
+
+
+def document_runs(places: DataFrame, n: int, at_once: int = PLACES) -> DataFrame:
+    """places: lists of (k1, k2, start, end), n of them in all: k1, k2, runs, a row a document.
+
+    Places become no rows: a task gives what it has of a bucket of documents as one list, runs that touch united.
+    """
+    buckets = max(1, -(-n // at_once))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2, start, end = united(*map(np.asarray, batch.column("places").flatten().flatten()))
+            bucket = (mix(k1.view(U64) ^ mix(k2.view(U64))) % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            numbers, counts = np.unique(bucket, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), listed(counts, k1=k1[order], k2=k2[order], start=start[order], end=end[order])], names=["bucket", "places"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of bucket."""
+        held: list[pa.StructArray] = []
+        current = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                k1, k2, start, end = united(*map(np.asarray, pa.concat_arrays(held).flatten()))
+                first = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(k1[first]), pa.array(k2[first]), listed(np.diff(np.append(first, len(k1))), start=start, end=end)], names=["k1", "k2", "runs"])
+
+        for batch in batches:
+            lists = batch.column("places")
+            for i, number in enumerate(batch.column("bucket").to_pylist()):
+                if number != current:
+                    yield from flush()
+                    held, current = [], number
+                held.append(lists.slice(i, 1).flatten())
+        yield from flush()
+
+    dealt = places.mapInArrow(deal, "bucket long, places array<struct<k1: long, k2: long, start: long, end: long>>")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "k1 long, k2 long, runs array<struct<start: long, end: long>>")
+
+
 def split_groups(fragments: DataFrame, length: int, group: int, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
-    """fragments of groups of any size, keyed by part_of(): fragments of groups of at most `group`, and the runs (k1, k2, start, end) found while splitting."""
+    """fragments of groups of any size, keyed by part_of(): fragments of groups of at most `group`, and what was found while splitting, as document_runs()."""
 
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
@@ -412,7 +471,7 @@ def split_groups(fragments: DataFrame, length: int, group: int, parts: int = PAR
 
         yield from fragment_batches(rows())
 
-    rest, runs = [], []
+    rest, found, n = [], [], 0
     large = fragments
     salt = F.pmod(F.xxhash64("k1", "k2", "first"), F.col("salts"))
     # what is least of equal fragments is their witness; an anchor's windows occur once at a place, and equal rows of a table are one witness
@@ -426,12 +485,13 @@ def split_groups(fragments: DataFrame, length: int, group: int, parts: int = PAR
         # written, so that both sides of its join are shuffled for it, and Spark can split a key that many kinds have
         numbers = materialize(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "numbers")
         equal = salted.select("key", "same", "places").join(kinds.where("n > 1").select("key", "same"), ["key", "same"])
-        runs.append(equal.select(F.explode("places").alias("p")).where("not p.copied").select("p.k1", "p.k2", "p.start", "p.end"))
+        found.append(equal.select(F.transform(F.filter("places", lambda p: ~p["copied"]), lambda p: p.dropFields("copied")).alias("places")))
+        n += kinds.where("n > 1").agg(F.sum("n")).first()[0] or 0
         left = kinds.join(numbers, "key").select("key", "same", "one.*", "n", "kinds").withColumn("copied", F.col("copied") | (F.col("n") > 1))
         rest.append(left.where(F.col("kinds") <= group).select(*FRAGMENT))
         large = left.where(F.col("kinds") > group).select(*FRAGMENT)
         if large.isEmpty():
-            return reduce(DataFrame.union, rest), reduce(DataFrame.union, runs)
+            return reduce(DataFrame.union, rest), document_runs(reduce(DataFrame.union, found), n)
         large = large.mapInArrow(children, FRAGMENTS)
 
 
@@ -508,8 +568,8 @@ def found_runs(documents: DataFrame, length: int, gram: int, group: int) -> Data
         sent = sent.union(rest)
     found = sorted_runs(sent.drop("same", "low", "high", "salts"), length)
     whole = scanned.where(f"n_bytes >= {length}").join(copies.where("n > 1"), "same").select("k1", "k2", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")).distinct()
-    found = found.union(whole) if runs is None else found.union(whole).union(runs)
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    found = found.union(whole).select("k1", "k2", F.array(F.struct("start", "end")).alias("runs"))
+    return (found if runs is None else found.union(runs)).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def merged(runs: list[dict] | None) -> list[tuple[int, int]]:
