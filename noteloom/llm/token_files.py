@@ -34,8 +34,6 @@ SHARD_TOKENS = 1 << 18
 MIN_COUNT = 6
 #: Pairs of about the same frequency are replaced in one round; it steers cost and, a little, the size of the grammar.
 FALL = 64
-#: Where a document ends, no pair starts: keys from here downwards.
-NO_PAIR = -1
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,35 +45,40 @@ def frequent_pairs(key: np.ndarray, min_count: int, fall: int) -> tuple[np.ndarr
 
     Pairs are counted by hashed buckets first, and only those of buckets with enough of them are sorted.
     """
+    return frequent_and_alive(key, min_count, fall)[:3]
+
+
+def frequent_and_alive(key: np.ndarray, min_count: int, fall: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """As frequent_pairs(), and which pairs may occur min_count times: a pair that does not never will, as a new symbol stands in each pair that arises."""
     bits = max(8, len(key).bit_length())
     bucket = ((key.view(np.uint64) * SPREAD) >> np.uint64(64 - bits)).view(np.int64)
     sizes = np.bincount(bucket, minlength=1 << bits)
+    around = sizes[bucket]
     fullest = key[bucket == sizes.argmax()]
     fullest = np.unique(fullest[fullest >= 0], return_counts=True)[1]
     # the commonest pair occurs as often as this or more
     bound = max(min_count, int(fullest.max(initial=0)) // fall)
-    places = np.flatnonzero((sizes >= bound)[bucket])
+    alive, places = around >= min_count, np.flatnonzero(around >= bound)
     ordered = np.sort(key[places])
     ordered = ordered[np.searchsorted(ordered, 0) :]
     if not len(ordered):
-        return ordered, min_count, places
+        return ordered, min_count, places, alive
     edge = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
     counts = np.diff(np.append(edge, len(ordered)))
     least = max(min_count, int(counts.max()) // fall)
     often = counts >= least
-    return ordered[edge[often]][np.argsort(counts[often], kind="stable")], least, places
+    return ordered[edge[often]][np.argsort(counts[often], kind="stable")], least, places, alive
 
 
-def occurrences(key: np.ndarray, chosen: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(pairs: np.ndarray, chosen: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where chosen pairs begin, and which they are, without overlaps: the more frequent pair comes first, and of a run of one pair (as in aaaa) every second.
 
-    places: where to look. Pairs are looked up in a hash table in which a pair may hide a less frequent one, whose turn then comes in a later round.
+    pairs: those at the places where to look. Pairs are looked up in a hash table in which a pair may hide a less frequent one, whose turn then comes in a later round.
     """
     bits = max(8, (4 * len(chosen)).bit_length())
-    slot = lambda pairs: (pairs.view(np.uint64) * SPREAD) >> np.uint64(64 - bits)
+    slot = lambda keys: (keys.view(np.uint64) * SPREAD) >> np.uint64(64 - bits)
     slots = np.full(1 << bits, -1, np.int32)
     slots[slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
-    pairs = key[places]
     place = slots[slot(pairs)]
     hit = np.flatnonzero(place >= 0)
     hit = hit[chosen[place[hit]] == pairs[hit]]
@@ -104,13 +107,16 @@ def repair(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, fall:
     sequence, base = ids.astype(np.int64), int(ids.max()) + 1 if len(ids) else 1
     rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(base, np.int64)
     only_once = False
-    while len(sequence) > 1:
-        key = (sequence[:-1] << 32) | sequence[1:]
-        key[last[:-1]] = NO_PAIR - np.flatnonzero(last[:-1])  # each apart
-        chosen, least, places = frequent_pairs(key, min_count, 1 << 40 if only_once else fall)
+    alive = ~last  # where a pair begins that may still be replaced; only these are counted
+    alive[-1:] = False
+    while True:
+        begins = np.flatnonzero(alive)
+        key = (sequence[begins] << 32) | sequence[begins + 1]
+        chosen, least, places, may = frequent_and_alive(key, min_count, 1 << 40 if only_once else fall)
         if not len(chosen):
             break
-        at, place = occurrences(key, chosen, places)
+        alive[begins[~may]] = False
+        at, place = occurrences(key[places], chosen, begins[places])
         pays = np.bincount(place, minlength=len(chosen)) >= min_count
         at, place = at[pays[place]], place[pays[place]]
         if not len(at):  # what is common only overlaps itself or others: one look at all pairs, then an end
@@ -126,9 +132,13 @@ def repair(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, fall:
         rules.append(new)
         sequence[at] = number[place]
         last[at] = last[at + 1]
+        alive[at] = ~last[at]
+        before = at[at > 0] - 1
+        alive[before] = ~last[before]
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
-        sequence, last = sequence[keep], last[keep]
+        sequence, last, alive = sequence[keep], last[keep], alive[keep]
+        alive[-1:] = False
     return sequence, last, np.concatenate(rules), lengths[base:], base
 
 

@@ -57,7 +57,6 @@ class TextEncoder:
         self.library.no_padding()
         self.ranked = None if ranks is None else ranked(ranks)
         self.single_spaced = None if ranks is None else ranked(ranks, SINGLE_SPACED)
-        self.wide = re.compile("[ \\n\\t]{2}").search
         self.cache: dict[str, bytes] = {}
         self.cache_pieces = cache_pieces
         self.keeps_space = self.library.normalizer is None
@@ -70,6 +69,12 @@ class TextEncoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    @staticmethod
+    def wide(text: str) -> bool:
+        """Whether two characters of white space stand side by side, in a text whose only characters up to the blank are white space."""
+        blank = np.frombuffer(text.encode(), np.uint8) <= 32
+        return bool((blank[1:] & blank[:-1]).any())
+
     def _library_ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
