@@ -54,7 +54,7 @@ def frequent_and_alive(key: np.ndarray, min_count: int, fall: int) -> tuple[np.n
     bucket = ((key.view(np.uint64) * SPREAD) >> np.uint64(64 - bits)).view(np.int64)
     sizes = np.bincount(bucket, minlength=1 << bits)
     around = sizes[bucket]
-    fullest = key[bucket == sizes.argmax()]
+    fullest = key[np.flatnonzero(bucket == sizes.argmax())]
     fullest = np.unique(fullest[fullest >= 0], return_counts=True)[1]
     # the commonest pair occurs as often as this or more
     bound = max(min_count, int(fullest.max(initial=0)) // fall)
@@ -81,8 +81,9 @@ def occurrences(pairs: np.ndarray, chosen: np.ndarray, places: np.ndarray) -> tu
     slots[slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
     place = slots[slot(pairs)]
     hit = np.flatnonzero(place >= 0)
-    hit = hit[chosen[place[hit]] == pairs[hit]]
-    at, place = places[hit], place[hit]
+    at, place, pairs = places.take(hit), place.take(hit), pairs.take(hit)
+    same = np.flatnonzero(chosen.take(place) == pairs)
+    at, place = at.take(same), place.take(same)
     touches = np.diff(at) == 1
     follows = np.flatnonzero(touches & (place[1:] == place[:-1])) + 1
     if len(follows):
@@ -104,14 +105,17 @@ def repair(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, fall:
     times. last marks ids that end a document; no pair starts there. Returns the sequence, its marks, the rules (n x 2),
     the expansion lengths of the nonterminals, and the first nonterminal's number.
     """
-    sequence, base = ids.astype(np.int64), int(ids.max()) + 1 if len(ids) else 1
+    base = int(ids.max()) + 1 if len(ids) else 1
+    sequence = ids.astype(np.int32 if base + len(ids) < 1 << 31 else np.int64)
     rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(base, np.int64)
     only_once = False
     alive = ~last  # where a pair begins that may still be replaced; only these are counted
     alive[-1:] = False
     while True:
         begins = np.flatnonzero(alive)
-        key = (sequence[begins] << 32) | sequence[begins + 1]
+        key = sequence.take(begins).astype(np.int64)
+        key <<= 32
+        key |= sequence.take(begins + 1)
         chosen, least, places, may = frequent_and_alive(key, min_count, 1 << 40 if only_once else fall)
         if not len(chosen):
             break
@@ -137,9 +141,10 @@ def repair(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, fall:
         alive[before] = ~last[before]
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
-        sequence, last, alive = sequence[keep], last[keep], alive[keep]
+        left = np.flatnonzero(keep)
+        sequence, last, alive = sequence.take(left), last.take(left), alive.take(left)
         alive[-1:] = False
-    return sequence, last, np.concatenate(rules), lengths[base:], base
+    return sequence.astype(np.int64), last, np.concatenate(rules), lengths[base:], base
 
 
 class Expansions:
