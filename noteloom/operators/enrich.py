@@ -7,10 +7,11 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from ..functions.columns import keep_valid
 from ..schemas import CONTENT_TYPES, TAGS, TOPIC_CATEGORIES, Extraction
 from ..sources.readers import load_prompt
@@ -104,12 +105,11 @@ def enrich(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.drop("_known").schema) + ", _answers map<string,string>, _new array<string>, error string"
     kept = keyed.drop("_known").columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = None
-        for frame in frames:
-            rows = []
-            for r in frame[["link", "loader", "content", "content_links", "_known"]].itertuples(index=False, name=None):
-                link, loader, content, content_links, known = r
+        for part in (part for batch in batches for part in slices(batch)):
+            answered, added, errors = [], [], []
+            for link, loader, content, content_links, known in zip(*(part.column(c).to_pylist() for c in ("link", "loader", "content", "content_links", "_known")), strict=True):
                 found, new, error = dict(known) if known is not None else {}, [], None
                 for step in STEPS if loader == "url" else STEPS[:-1]:
                     if step in found:
@@ -122,10 +122,13 @@ def enrich(
                     except Exception as e:  # the content's failure, not the batch's
                         error = f"{step}: {type(e).__name__}: {e}"
                         break
-                rows.append((found, new, error))
-            yield frame[kept].assign(**{n: [row[i] for row in rows] for i, n in enumerate(("_answers", "_new", "error"))})
+                answered.append(list(found.items()))
+                added.append(new)
+                errors.append(error)
+            told = [pa.array(answered, pa.map_(pa.string(), pa.string())), pa.array(added, pa.list_(pa.string())), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *told], names=[*kept, "_answers", "_new", "error"])
 
-    asked = keyed.mapInPandas(run, schema)
+    asked = keyed.mapInArrow(run, schema)
     if answers:
         asked = stored(asked, "asked")
         told = asked.select(F.col("_key").alias("key"), F.explode("_new").alias("step"), "_answers").select("key", "step", F.element_at("_answers", F.col("step")).alias("answer"))

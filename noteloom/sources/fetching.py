@@ -8,10 +8,11 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import SLICE_BYTES, SLICE_ROWS
 from ..operators.staging import stored
 
 Get = Callable[[str], tuple[int, bytes]]
@@ -94,12 +95,25 @@ def fetch_by_host(links: DataFrame, client: Callable[[], Get], manners: Manners
     lane = F.pmod(F.xxhash64("link"), F.lit(manners.lanes)).cast("int")
     once = links.where("link is not null").select("link").distinct().select("link", host.alias("host"), lane.alias("lane"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asker = Asker(client(), manners)
-        for frame in frames:
-            rows = [(r.link, *asker.ask(r.link, (r.host, r.lane))) for r in frame.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["link", "status", "body", "error", "tries"]).astype({"status": "Int32", "tries": "int32"})
+    out = pa.schema([("link", pa.string()), ("status", pa.int32()), ("body", pa.binary()), ("error", pa.string()), ("tries", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Answers are given as soon as there are SLICE_ROWS of them or their bodies have SLICE_BYTES."""
+        asker, rows, size = Asker(client(), manners), [], 0
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
+
+        for batch in batches:
+            for link, host, lane in zip(*(batch.column(c).to_pylist() for c in ("link", "host", "lane")), strict=True):
+                rows.append((link, *asker.ask(link, (host, lane))))
+                size += len(rows[-1][2] or b"")
+                if len(rows) >= SLICE_ROWS or size >= SLICE_BYTES:
+                    yield given()
+                    rows, size = [], 0
+        if rows:
+            yield given()
 
     turns = once.repartition("host", "lane").sortWithinPartitions(F.xxhash64(F.lit("turn"), "link"))
-    came = stored(turns.mapInPandas(run, "link string, status int, body binary, error string, tries int"), "fetched")
+    came = stored(turns.mapInArrow(run, "link string, status int, body binary, error string, tries int"), "fetched")
     return links.join(came, "link", "left").withColumn("error", F.when(F.col("link").isNull(), "no link").otherwise(F.col("error"))).select(*links.columns, "status", "body", "error", "tries")

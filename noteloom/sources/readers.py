@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from ..operators.requests import from_offset
 from ..operators.windows import prefix_cut_array
 from ..schemas import RAW_REQUEST
@@ -117,10 +119,15 @@ def extract_pages(pages: DataFrame, column: str = "html", strip_classes: tuple[s
     """pages with content and content_links: outer HTML of the anchors whose href starts with http (case counts)."""
     strip = frozenset(strip_classes)
 
-    @F.pandas_udf("content string, anchors array<struct<href: string, outer_html: string>>")
-    def parsed(html: pd.Series) -> pd.DataFrame:
-        found = [parse_page(h.decode("utf-8", "replace") if isinstance(h, bytes) else h or "", strip) for h in html]
-        return pd.DataFrame({"content": [t for t, _ in found], "anchors": [[{"href": h, "outer_html": o} for h, o in links] for _, links in found]})
+    kind = pa.struct([("content", pa.string()), ("anchors", pa.list_(pa.struct([("href", pa.string()), ("outer_html", pa.string())])))])
+
+    @F.arrow_udf("content string, anchors array<struct<href: string, outer_html: string>>")
+    def parsed(html: pa.Array) -> pa.Array:
+        def rows(part: pa.Array) -> pa.Array:
+            found = (parse_page(h.decode("utf-8", "replace") if isinstance(h, bytes) else h or "", strip) for h in part.to_pylist())
+            return pa.array([{"content": t, "anchors": [{"href": h, "outer_html": o} for h, o in links]} for t, links in found], kind)
+
+        return pa.concat_arrays([pa.array([], kind), *map(rows, slices(html))])
 
     web = F.filter("page.anchors", lambda a: F.coalesce(a["href"].startswith("http"), F.lit(False)))
     return pages.withColumn("page", parsed(F.col(column))).withColumns({"content": F.col("page.content"), "anchors": F.col("page.anchors"), "content_links": F.transform(web, lambda a: a["outer_html"])}).drop("page")
@@ -161,15 +168,17 @@ def first_pages(pages: list[str | None], limit: float) -> list[str]:
 def pdf_texts(body: Column, extract: Callable[[bytes], list[str]] | None, limit: float = float("inf")) -> Column:
     """PDFs as bytes: struct(pages: the texts of their first_pages(), error: why they could not be read); null pages for null."""
 
-    @F.pandas_udf("pages array<string>, error string")
-    def read(content: pd.Series) -> pd.DataFrame:
-        rows = []
-        for raw in content:
+    kind = pa.struct([("pages", pa.list_(pa.string())), ("error", pa.string())])
+
+    @F.arrow_udf("pages array<string>, error string")
+    def read(content: pa.Array) -> pa.Array:
+        def row(raw: bytes | None) -> dict:
             try:
-                rows.append((None if raw is None else first_pages(extract(bytes(raw)), limit), None))
+                return {"pages": None if raw is None else first_pages(extract(raw), limit), "error": None}
             except Exception as e:  # any failure is the row's, not the batch's
-                rows.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(rows, columns=["pages", "error"])
+                return {"pages": None, "error": f"{type(e).__name__}: {e}"}
+
+        return pa.concat_arrays([pa.array([], kind), *(pa.array(map(row, part.to_pylist()), kind) for part in slices(content))])
 
     if extract is None:
         return F.struct(F.lit(None).cast("array<string>").alias("pages"), F.when(body.isNotNull(), "no PDF extractor").alias("error"))
@@ -179,9 +188,12 @@ def pdf_texts(body: Column, extract: Callable[[bytes], list[str]] | None, limit:
 def plain_text(body: Column) -> Column:
     """Whole text files as bytes: their text, line ends as \\n."""
 
-    @F.pandas_udf("string")
-    def decoded(content: pd.Series) -> pd.Series:
-        return content.map(lambda raw: None if raw is None else bytes(raw).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
+    @F.arrow_udf("string")
+    def decoded(content: pa.Array) -> pa.Array:
+        def row(raw: bytes | None) -> str | None:
+            return None if raw is None else raw.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+
+        return pa.concat_arrays([pa.array([], pa.string()), *(pa.array(map(row, part.to_pylist()), pa.string()) for part in slices(content))])
 
     return decoded(body)
 
