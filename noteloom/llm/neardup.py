@@ -45,6 +45,8 @@ LINK_FLOOR = 0.5
 SIGN = U64(1 << 63)
 #: In lists with no more members than this outside their main component, these are compared with all; it steers cost only, not results.
 SHORT_LIST = 256
+#: Tables of labels, links and lists with no more rows than this are broadcast; it steers cost only.
+FEW = 1 << 15
 #: Bits of an odd sketch; they steer cost only.
 ODD_BITS = 512
 FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -89,6 +91,19 @@ def may_link(n: Column, odd_a: Column, odd_b: Column) -> Column:
     return (100 + PERCENT) * bits <= (100 - PERCENT) * n
 
 
+def few(table: DataFrame) -> bool:
+    """Whether a written table has at most FEW rows."""
+    return table.count() <= FEW
+
+
+def meet(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner", small: bool = False) -> DataFrame:
+    """left.join(right), dealt out and sorted unless right is known to be small.
+
+    Spark goes by the bytes of files, in which rows that repeat their arrays are few; in a broadcast they are many times that, and it passes whole through the driver.
+    """
+    return left.join(right.hint("broadcast" if small else "merge"), on, how)
+
+
 def need(n: Column, k: int) -> Column:
     """How many sketch values a set of n shingles shares with any set that is 80 % similar: certain where the union of both fits into a sketch."""
     return F.when(n <= k * PERCENT // 100, F.ceil(n * PERCENT / 100)).otherwise(F.lit(k // 2)).cast("int")
@@ -119,7 +134,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.binary())], names=["class", "members"])
 
     same = documents.doc_id.eqNullSafe(wanted.doc_id) & (documents.text_hash == wanted.text_hash)
-    texts = documents.join(wanted, same).select("class", "text").dropDuplicates(["class"])
+    texts = meet(documents, wanted, same).select("class", "text").dropDuplicates(["class"])
     return texts.mapInArrow(run, "class long, members binary")
 
 
@@ -132,7 +147,9 @@ def estimate(a: Column, b: Column, k: int) -> Column:
 def compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """pairs (a, b): those with an estimate of LINK_FLOOR or more, with common and joint (sizes of intersection and union)."""
     side = lambda x: classes.select(F.col("class").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b"), k) >= LINK_FLOOR).select("a", "b")
+    # of few pairs Spark sees itself what is small
+    put = DataFrame.join if few(pairs) else meet
+    likely = put(put(pairs, side("a"), "a"), side("b"), "b").where(estimate(F.col("sketch_a"), F.col("sketch_b"), k) >= LINK_FLOOR).select("a", "b")
     whole = lambda x: sets.select(F.col("class").alias(x), F.col("members").alias(f"set_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,21 +163,22 @@ def compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int) -> D
                 joint.append(len(both) - n)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(joint, pa.int64())], names=["a", "b", "common", "joint"])
 
-    return likely.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(run, "a long, b long, common long, joint long")
+    return put(put(likely, whole("a"), "a"), whole("b"), "b").mapInArrow(run, "a long, b long, common long, joint long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b): node, label (the least node of its component), for nodes with an edge."""
     edges = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    small = few(edges)  # as are all tables made of them
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("next")), "b").groupBy(F.col("a").alias("node")).agg(F.min("next").alias("next"))
-        least = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("next", "label")).alias("to"))
+        near = meet(edges, labels.select(F.col("node").alias("b"), F.col("label").alias("next")), "b", small=small).groupBy(F.col("a").alias("node")).agg(F.min("next").alias("next"))
+        least = meet(labels, near, "node", "left", small).select("node", "label", F.least("label", F.coalesce("next", "label")).alias("to"))
         # the old label hears of the new one, so that whole trees move at once; then labels follow labels
         told = least.select(F.col("label").alias("node"), "to").union(least.select("node", "to")).groupBy("node").agg(F.min("to").alias("to"))
-        step = materialize(labels.join(told, "node", "left").select("node", "label", F.least("label", F.coalesce("to", "label")).alias("to")), "labels")
+        step = materialize(meet(labels, told, "node", "left", small).select("node", "label", F.least("label", F.coalesce("to", "label")).alias("to")), "labels")
         jump = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        new = materialize(step.join(jump, "to", "left").select("node", "label", F.least("to", F.coalesce("further", "to")).alias("to")), "labels")
+        new = materialize(meet(step, jump, "to", "left", small).select("node", "label", F.least("to", F.coalesce("further", "to")).alias("to")), "labels")
         labels = new.select("node", F.col("to").alias("label"))
         if new.where("label <> to").isEmpty():
             return labels
@@ -169,12 +187,13 @@ def components(edges: DataFrame) -> DataFrame:
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after further links (a, b)."""
     name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    ends = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    small = few(labels)
+    ends = meet(meet(links, name("a"), "a", "left", small), name("b"), "b", "left", small).select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
     ends = materialize(ends.where("a <> b").distinct(), "ends")
     if ends.isEmpty():
         return labels
     over = components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    moved = labels.join(over, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
+    moved = meet(labels, over, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
     # labels that are nodes themselves, without links until now
     return materialize(moved.union(over.select(F.col("label").alias("node"), F.col("to").alias("label"))).distinct(), "labels")
 
@@ -184,10 +203,10 @@ def inverted_lists(classes: DataFrame, k: int) -> DataFrame:
     pairs = classes.select("class", F.explode("sketch").alias("value"))
     # written, so that both sides of the join are shuffled for it, and Spark can split a value that many classes have
     shared = materialize(pairs.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    listed = pairs.join(shared, "value").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.sum(F.log2("df")).alias("weight"))
+    listed = meet(pairs, shared, "value").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.sum(F.log2("df")).alias("weight"))
     sizes = classes.select("class", F.size("sketch").alias("size"), need(F.col("n_shingles"), k).alias("need"))
     room = F.size("found") - F.col("need") + 1  # values with no other class come first among the rarest
-    return listed.join(sizes, "class").where(room > 0).select("class", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("f")).select(F.col("f.value").alias("value"), "class", "weight")
+    return meet(listed, sizes, "class").where(room > 0).select("class", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("f")).select(F.col("f.value").alias("value"), "class", "weight")
 
 
 def beside(stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -206,7 +225,7 @@ def beside(stars: DataFrame, sets: DataFrame) -> DataFrame:
             extras = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[3] for r in rows] or [np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([*kept.columns, *sizes, extras], names=[*kept.schema.names, "leader_size", "size", "common", "extras"])
 
-    pairs = stars.join(sets.select(F.col("class").alias("leader"), F.col("members").alias("led")), "leader").join(sets.select("class", F.col("members").alias("own")), "class")
+    pairs = meet(meet(stars, sets.select(F.col("class").alias("leader"), F.col("members").alias("led")), "leader"), sets.select("class", F.col("members").alias("own")), "class")
     return pairs.select("leader", "class", "weight", "outside", "led", "own").mapInArrow(run, "leader long, class long, weight double, outside boolean, leader_size long, size long, common long, extras array<long>")
 
 
@@ -231,12 +250,12 @@ def pairs_within(short: DataFrame) -> DataFrame:
     A pair that meets in several lists is made in the least of them only.
     """
     own = materialize(short.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys")), "own-lists")
-    short = materialize(short.join(own.hint("merge"), "class").select("key", "class", "n", "label", "odd", "main", "keys"), "short")
+    short = materialize(meet(short, own, "class").select("key", "class", "n", "label", "odd", "main", "keys"), "short")
     one, two = (short.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "label", "odd", "keys")), "main") for x in "ab")
     close = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     fits = (F.col("label_a") != F.col("label_b")) & close & may_link(F.col("n_a") + F.col("n_b"), F.col("odd_a"), F.col("odd_b"))
     first = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key")
-    pairs = one.where("label_a <> main").drop("main").join(two.drop("main"), "key").where(fits & first)
+    pairs = meet(one.where("label_a <> main").drop("main"), two.drop("main"), "key").where(fits & first)
     return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
@@ -247,17 +266,19 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
     sizes = classes.select("class", F.col("n_shingles").alias("n"), "odd")
     # links found on the way join the components at the end: members linked to one leader need no link of their own
     labels, near, links = components(edges), None, edges.select("a", "b")
+    small = few(labels)
     while True:
-        told = lists.join(sizes, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        told = meet(meet(lists, sizes, "class"), labels.withColumnRenamed("node", "class"), "class", "left", small).withColumn("label", F.coalesce("label", "class"))
         told = materialize(told, "told")
         spans = materialize(spanning(told), "spans")
-        short = told.join(spans.where(F.col("others") <= SHORT_LIST).select("key", "main"), "key")
+        few_spans = few(spans)
+        short = meet(told, spans.where(F.col("others") <= SHORT_LIST).select("key", "main"), "key", small=few_spans)
         pairs = materialize(pairs_within(short), "near")
         near = pairs if near is None else near.union(pairs)
         long = spans.where(F.col("others") > SHORT_LIST)
         if long.isEmpty():
             break
-        stars = told.join(long, "key").where("class <> leader").groupBy("leader", "class").agg(F.first("weight").alias("weight"), F.max(F.col("label") != F.col("main")).alias("outside"))
+        stars = meet(told, long, "key", small=few_spans).where("class <> leader").groupBy("leader", "class").agg(F.first("weight").alias("weight"), F.max(F.col("label") != F.col("main")).alias("outside"))
         seen = materialize(beside(stars, sets), "beside")
         links = links.union(seen.where(linked).select(F.col("leader").alias("a"), F.col("class").alias("b")))
         need = F.greatest(F.lit(1), F.ceil((F.col("size") + F.col("leader_size")) * share - 1e-6) - F.col("common")).cast("int")
@@ -265,11 +286,11 @@ def across(lists: DataFrame, classes: DataFrame, sets: DataFrame, edges: DataFra
         # of two linked members of different components one is outside the main one, so that only its values count
         shared = held.groupBy("leader", "value").agg(F.count(F.lit(1)).alias("df"), F.max("outside").alias("outside")).where("df > 1 and outside").drop("outside")
         shared = materialize(shared, "shared")
-        found = held.drop("outside").join(shared, ["leader", "value"]).groupBy("leader", "class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.first("weight").alias("weight"), F.first("need").alias("need"))
+        found = meet(held.drop("outside"), shared, ["leader", "value"]).groupBy("leader", "class").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"), F.first("weight").alias("weight"), F.first("need").alias("need"))
         room = F.size("found") - F.col("need") + 1
         listed = found.where(room > 0).select("leader", "class", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("f"))
         lists = materialize(listed.select(F.xxhash64("leader", "f.value").alias("key"), "class", "weight"), "lists")
-    rest = compared(near.distinct(), classes, sets, k).where(100 * F.col("common") >= PERCENT * F.col("joint"))
+    rest = compared(materialize(near.distinct(), "near"), classes, sets, k).where(100 * F.col("common") >= PERCENT * F.col("joint"))
     return joined(labels, links.union(rest.select("a", "b")))
 
 
@@ -281,13 +302,13 @@ def linked(documents: DataFrame, width: int, k: int) -> tuple[DataFrame, DataFra
     classes = materialize(rows.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd")), "classes")
     lists = materialize(inverted_lists(classes, k), "lists")
     free_shuffles(spark)
-    wanted = classes.join(lists.select("class").distinct(), "class", "left_semi").select("class", "one.doc_id", "one.text_hash")
+    wanted = meet(classes, lists.select("class").distinct(), "class", "left_semi").select("class", "one.doc_id", "one.text_hash")
     sets = materialize(full_sets(documents, wanted, width), "sets")
     free_shuffles(spark)
 
     led = materialize(lists.groupBy("value").agg(F.max(F.struct("weight", "class")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", F.col("top.class").alias("leader")), "leaders")
-    members = materialize(lists.join(led, "value").select("value", "class", "leader"), "members")
-    stars = members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
+    members = materialize(meet(lists, led, "value").select("value", "class", "leader"), "members")
+    stars = materialize(members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct(), "star-pairs")
     edges = materialize(compared(stars, classes, sets, k).where(100 * F.col("common") >= PERCENT * F.col("joint")).select("a", "b"), "stars")
     return rows, across(lists.withColumnRenamed("value", "key"), classes, sets, edges, k)
 
@@ -301,7 +322,7 @@ def representatives(documents: DataFrame, width: int = WIDTH, k: int = K) -> Dat
 
 
 def least_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    placed = rows.where("n_shingles > 0").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    placed = meet(rows.where("n_shingles > 0"), labels.withColumnRenamed("node", "class"), "class", "left", few(labels)).withColumn("label", F.coalesce("label", "class"))
     least = placed.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
     return least.union(rows.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
 
@@ -316,17 +337,18 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, k: int = K) -> Dat
 
 def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
     # classes that share a document are one component too
-    placed = rows.where("n_shingles > 0").select("doc_id", "class").join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("doc_id", "class", F.coalesce("label", "class").alias("label"))
+    placed = meet(rows.where("n_shingles > 0").select("doc_id", "class"), labels.select(F.col("node").alias("class"), "label"), "class", "left", few(labels)).select("doc_id", "class", F.coalesce("label", "class").alias("label"))
     repeated = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("a", "b")
-    tied = placed.join(repeated.select("a").union(repeated.select("b")).distinct().withColumnRenamed("a", "label"), "label", "left_semi") if not repeated.isEmpty() else None
+    tied = meet(placed, repeated.select("a").union(repeated.select("b")).distinct().withColumnRenamed("a", "label"), "label", "left_semi") if not repeated.isEmpty() else None
     if tied is not None:
-        links = tied.where("doc_id is not null").join(tied.where("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("least")), "doc_id").where("label <> least").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct()
+        links = meet(tied.where("doc_id is not null"), tied.where("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("least")), "doc_id").where("label <> least").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct()
         over = components(links)
-        placed = placed.join(over.select(F.col("node").alias("label"), F.col("label").alias("over")), "label", "left").select("doc_id", "class", F.coalesce("over", "label").alias("label"))
-    groups = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_class = placed.select("class", "label").distinct().join(groups, "label").select("class", "component_id")
+        placed = meet(placed, over.select(F.col("node").alias("label"), F.col("label").alias("over")), "label", "left").select("doc_id", "class", F.coalesce("over", "label").alias("label"))
+    # written, so that both sides of the join are shuffled for it, and Spark can split a large component
+    groups = materialize(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "groups")
+    by_class = meet(placed.select("class", "label").distinct(), groups, "label").select("class", "component_id")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    out = rows.select("doc_id", "n_shingles", "class").join(by_class, "class", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = meet(rows.select("doc_id", "n_shingles", "class"), by_class, "class", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
