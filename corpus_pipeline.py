@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = rows.withColumns({"id": own, "text_hash": F.xxhash64(at["text"])})
     kept = neardup.representatives(known.select(F.col("id").alias("doc_id"), F.col(at["text"]).alias("text"))).select(F.col("doc_id").alias("id"), "text_hash")
     same = Window.partitionBy("id", "text_hash").orderBy(at["text"])
-    return known.join(kept, ["id", "text_hash"], "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1").select(*at.values()).toDF(*docs.columns)
+    return neardup.meet(known, kept, ["id", "text_hash"], "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1").select(*at.values()).toDF(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
